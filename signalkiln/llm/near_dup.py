@@ -100,22 +100,64 @@ def _confirm(percent: int, width: int):
     return run
 
 
-def _cross(least: float):
-    """Pairs of one block of minor rows and one block of all rows of a bucket, in different components."""
+def _flag(least: float):
+    """Rows of one block that have a partner in another component there, judged by their signatures.
+
+    A pair is looked at in the first band that it shares only.
+    """
 
     def run(_, table):
         minor = np.array(table.column("minor").to_pylist(), bool)
         sig = _sig_matrix(table.column("sig").combine_chunks())
+        comp = np.array(table.column("comp").to_pylist(), np.int64)
+        band = table.column("band")[0].as_py()
+        q, r = np.flatnonzero(minor), np.flatnonzero(~minor)
+        flagged = np.zeros(len(minor), bool)
+        for i in q:
+            same = sig[r] == sig[i]
+            hit = (comp[r] != comp[i]) & (same.mean(axis=1) >= least)
+            hit[hit] = same[hit].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            flagged[r[hit]] = True
+            flagged[i] |= hit.any()
+        return table.filter(pa.array(flagged)).select(["key", "i", "j", "id", "comp", "minor"])
+
+    return run
+
+
+def _links_in_block(percent: int, width: int):
+    """Confirmed links of one block between components, as few as join them: counted by inverted lists."""
+
+    def run(_, table):
+        minor = np.array(table.column("minor").to_pylist(), bool)
         ids, comp = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "comp"))
+        sets = [shingle_set(t.as_py(), width) for t in table.column("text")]
+        size = np.array([len(x) for x in sets])
         q, r = np.flatnonzero(minor), np.flatnonzero(~minor)
+        parent = {c: c for c in comp.tolist()}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         left, right = [], []
-        for i in q:
-            hit = r[(comp[r] != comp[i]) & ((sig[r] == sig[i]).mean(axis=1) >= least)]
-            left.append(np.minimum(ids[hit], ids[i]))
-            right.append(np.maximum(ids[hit], ids[i]))
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(b, pa.int64()), "b": pa.array(a, pa.int64())})
+        if len(q) and len(r):
+            owner = np.repeat(np.arange(len(r)), size[r])
+            every = np.concatenate([sets[k] for k in r])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            for i in q:
+                lo, hi = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+                both = np.bincount(owner[at], minlength=len(r))
+                for k in r[(both > 0) & (100 * both >= percent * (size[r] + size[i] - both))]:
+                    x, y = root(int(comp[i])), root(int(comp[k]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        left.append(int(ids[i]))
+                        right.append(int(ids[k]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
@@ -172,9 +214,9 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str =
     some = sketch.where("n_shingles > 0")
     classes = scratch.write(some.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = scratch.write(sketch.join(classes, (sketch.digest == classes.digest) & (sketch.id == classes.rep), "left_semi").select("id", "n_shingles", "bands", "sig"), "reps")
-    rows = reps.select("id", F.explode("bands").alias("key"))
+    rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     hubs = scratch.write(rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub", "n"), "hubs")
-    bucket = scratch.write(rows.join(hubs, "key").select("key", "id", "hub", "n"), "bucket")
+    bucket = scratch.write(rows.join(hubs, "key").select("key", "band", "id", "hub", "n"), "bucket")
     sig = reps.select("id", "n_shingles", "sig")
     least = percent / 100 - SLACK
 
@@ -203,21 +245,24 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str =
     comp = connected_components(links, scratch)
 
     labelled = scratch.write(
-        bucket.join(comp.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp")), "labelled"
+        bucket.join(comp.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("key", "band", "id", "n", F.coalesce("comp", "id").alias("comp")), "labelled"
     )
     # Of each bucket with several components: the component of the most rows is compared with the others only.
     per = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     major = scratch.write(per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("k"), F.max("c").alias("c"), F.first("n").alias("n")).where("k > 1").withColumn("minors", F.col("n") - F.col("c")), "major")
-    block, chunk = 256, 4096
+    block, chunk = 256, 1024
     h = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), n)
     mixed = labelled.drop("n").join(major, "key").join(sig.select("id", "sig"), "id")
     n_minor, n_all = F.ceil(F.col("minors") / block), F.ceil(F.col("n") / chunk)
-    asks = mixed.where("comp <> major").select("key", h(n_minor, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "id", "comp", "sig", F.lit(True).alias("minor"))
-    answers = mixed.select("key", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), h(n_all, 2).alias("j"), "id", "comp", "sig", F.lit(False).alias("minor"))
-    more = scratch.write(asks.unionByName(answers).groupBy("key", "i", "j").applyInArrow(_cross(least), "a bigint, b bigint").distinct(), "cross")
-    more_links = confirmed(more.join(likely, ["a", "b"], "left_anti"))
+    asks = mixed.where("comp <> major").select("key", "band", h(n_minor, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "id", "comp", "sig", F.lit(True).alias("minor"))
+    answers = mixed.select("key", "band", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), h(n_all, 2).alias("j"), "id", "comp", "sig", F.lit(False).alias("minor"))
+    flagged = scratch.write(asks.unionByName(answers).groupBy("key", "i", "j").applyInArrow(_flag(least), "key bigint, i bigint, j bigint, id bigint, comp bigint, minor boolean"), "flagged")
+    need = scratch.write(flagged.select("id").distinct(), "need")
+    texts = scratch.write(base.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    more_links = scratch.write(flagged.join(texts, "id").groupBy("key", "i", "j").applyInArrow(_links_in_block(percent, width), "a bigint, b bigint").distinct(), "more")
+    scratch.drop(texts, need)
     comp = connected_components(comp.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more_links), scratch)
-    scratch.drop(bucket, labelled, major, more, star_pairs, likely)
+    scratch.drop(bucket, labelled, major, flagged, star_pairs, likely)
 
     members = sketch.select("id", "n_shingles", "digest").join(classes, "digest", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
     out = members.join(comp.select(F.col("u").alias("rep"), "v"), "rep", "left")
