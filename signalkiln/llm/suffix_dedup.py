@@ -49,11 +49,12 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     least = sliding_min(grams, length - gram + 1)
     cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     sizes = np.diff(np.append(cut, n))
-    if sizes.max() > RUN:
-        parts = -(-sizes // RUN)
+    most = min(RUN, length)  # the windows of a segment overlap, so any of them cover one range
+    if sizes.max() > most:
+        parts = -(-sizes // most)
         first = np.repeat(cut, parts)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        cut = first + step * RUN
+        cut = first + step * most
         sizes = np.diff(np.append(cut, n))
     keys = least[cut]
     known, back = np.unique(keys, return_inverse=True)
@@ -86,21 +87,45 @@ def _occurrences(length: int, gram: int):
     return run
 
 
-def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def open_suffixes(texts: list[bytes], windows: list[int], groups: list[int], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of the suffixes of several groups of texts from which a maximal repeat can start.
+
+    Suffixes of a group that share their first ``least`` bytes form a class. Where all of a class have
+    the same byte to their left, every interval inside it extends to the left and none is maximal, so
+    the class is left out; a hash that is equal by chance only merges classes, which leaves out no more.
+    """
+    sizes, count = np.array([len(t) for t in texts]), np.array(windows)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offset = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = offset[text] + place
+    h = range_hash(prefix_hash(data), at, at + least)
+    h = mix64(h ^ mix64(np.array(groups, np.int64).view(np.uint64))[text])
+    left = np.where(place > 0, data[np.maximum(at - 1, 0)].astype(np.int16), np.int16(256))
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    size = np.diff(np.append(first, len(order)))
+    low, high = np.minimum.reduceat(left[order], first), np.maximum.reduceat(left[order], first)
+    chosen = order[np.repeat((size > 1) & ((low != high) | (high == 256)), size)]
+    chosen.sort()
+    return text[chosen], place[chosen]
+
+
+def maximal_repeats(texts: list[bytes], windows: list[int], least: int, chosen: list[tuple[int, int]] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
     """Maximal repeats of ``least`` bytes or more that start at one of the first ``windows`` places of a text.
 
     Returns (length, [(text, start), ...]) with all occurrences of each repeat. The suffixes are sorted,
     neighbours' common prefixes give the LCP array, and a stack scan walks its interval tree; an interval
     is reported where the bytes to the left of its suffixes are not all the same (a start of a text is
-    different from every byte), so that no longer repeat has the same occurrences.
+    different from every byte), so that no longer repeat has the same occurrences. ``chosen`` are the
+    suffixes that open_suffixes left, if it has been asked already.
     """
-    joined = b"".join(texts)
-    at, suffixes = 0, []
-    for k, (t, n) in enumerate(zip(texts, windows, strict=True)):
-        suffixes.extend((t[p:], k, p) for p in range(n))
-        at += len(t)
-    if len(suffixes) < 2:
+    if chosen is None:
+        chosen = list(zip(*(x.tolist() for x in open_suffixes(texts, windows, [0] * len(texts), least)), strict=True)) if sum(windows) else []
+    if len(chosen) < 2:
         return []
+    suffixes = [(texts[k][p:], k, p) for k, p in chosen]
     suffixes.sort()
     n = len(suffixes)
     lcp = [0] * (n + 1)
@@ -120,7 +145,6 @@ def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> list[
             else:
                 hi = mid - 1
         lcp[i] = lo
-    del joined
     left = [texts[k][p - 1] if p else -1 - i for i, (_, k, p) in enumerate(suffixes)]
     out = []
     # stack of [lcp, left bound, left byte shared by all its suffixes or None]
@@ -140,13 +164,19 @@ def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> list[
     return out
 
 
-def covered(texts: list[bytes], windows: list[int], least: int) -> list[list[tuple[int, int]]]:
-    """Byte ranges of each text that its maximal repeats cover, joined."""
-    ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for size, places in maximal_repeats(texts, windows, least):
-        for k, p in places:
-            ranges[k].append((p, p + size))
-    return [join_ranges(r) for r in ranges]
+def covered(texts: list[bytes], windows: list[int], groups: list[int], least: int) -> dict[int, list[tuple[int, int]]]:
+    """Byte ranges, joined, that the maximal repeats of its group cover in each text that has any."""
+    text, place = open_suffixes(texts, windows, groups, least)
+    if not len(text):
+        return {}
+    own = np.array(groups)[text]
+    ranges: dict[int, list[tuple[int, int]]] = {}
+    cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    for a, b in zip(cut, [*cut[1:], len(own)], strict=True):
+        for size, places in maximal_repeats(texts, windows, least, list(zip(text[a:b].tolist(), place[a:b].tolist(), strict=True))):
+            for k, p in places:
+                ranges.setdefault(k, []).append((p, p + size))
+    return {k: join_ranges(r) for k, r in ranges.items()}
 
 
 def join_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -173,11 +203,33 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "seg", "windows", "bytes"])
 
 
-def _bucket(length: int):
-    def run(table):
-        texts, windows = table.column("bytes").to_pylist(), table.column("windows").to_pylist()
-        spans = covered(texts, windows, length)
-        return pa.table({"key": table.column("key"), "seg": table.column("seg"), "spans": pa.array([[{"a": a, "b": e} for a, e in s] for s in spans], _SPANS)})
+def _buckets(length: int):
+    """Covered ranges of the segments of whole keys; rows come ordered by key, a key is never split."""
+
+    def answer(t: pa.Table) -> pa.RecordBatch:
+        keys, segs = t.column("key").to_pylist(), t.column("seg").to_pylist()
+        found = covered(t.column("bytes").to_pylist(), t.column("windows").to_pylist(), keys, length)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([keys[k] for k in found], pa.int64()), pa.array([segs[k] for k in found], pa.int64()), pa.array([[{"a": a, "b": e} for a, e in s] for s in found.values()], _SPANS)],
+            ["key", "seg", "spans"],
+        )
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column("key").to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(keys, keys[-1], "left"))
+            if last:
+                yield answer(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            elif held and held[-1].column("key")[0].as_py() != keys[0]:
+                yield answer(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield answer(pa.Table.from_batches(held))
 
     return run
 
@@ -201,7 +253,7 @@ def _window_hashes(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
-    """(doc, a, b): byte ranges whose union is what repeated strings of ``length`` bytes cover; ids are unique."""
+    """(doc, spans): byte ranges whose union is what repeated strings of ``length`` bytes cover; ids are unique."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix")
@@ -211,7 +263,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     again = scratch.write(occ.drop("twice").join(keys, "key"), "again")
     scratch.drop(occ)
     end = F.col("windows") + (length - 1)
-    whole = again.where("not mixed").select("doc", F.col("start").cast("bigint").alias("a"), (F.col("start") + end).cast("bigint").alias("b"))
+    whole = again.where("not mixed").select("doc", F.array(F.struct(F.col("start").cast("bigint").alias("a"), (F.col("start") + end).cast("bigint").alias("b"))).alias("spans"))
 
     segs = again.where("mixed").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows")).alias("rep"))
     segs = scratch.write(segs.select("key", "seg", "n", "rep.*"), "segs")
@@ -220,12 +272,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     wants = scratch.write(wants.groupBy("doc").agg(F.collect_list("w").alias("wants")), "wants")
     texts = scratch.write(base.join(wants, "doc").select("text", "wants").mapInArrow(_cut, "key bigint, seg bigint, windows int, bytes binary"), "texts")
     usual = texts.join(sizes.where(F.col("members") <= BUCKET), "key", "left_semi")
-    spans = usual.groupBy("key").applyInArrow(_bucket(length), "key bigint, seg bigint, spans array<struct<a:bigint,b:bigint>>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = usual.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_buckets(length), "key bigint, seg bigint, spans array<struct<a:bigint,b:bigint>>")
     crowded = texts.join(sizes.where(F.col("members") > BUCKET), "key", "left_semi")
     hashes = crowded.mapInArrow(_window_hashes(length), "h1 bigint, h2 bigint, key bigint, seg bigint, at bigint")
     hashes = scratch.write(hashes, "hashes")
     twice = scratch.write(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
-    found = hashes.join(twice, ["h1", "h2"]).groupBy("key", "seg").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))).alias("spans"))
+    found = hashes.join(twice, ["h1", "h2"]).groupBy("key", "seg").agg(F.array(F.struct(F.min("at").alias("a"), (F.max("at") + length).alias("b"))).alias("spans"))
     # a segment with several occurrences is covered as a whole
     cover = scratch.write(
         spans.unionByName(found).where(F.size("spans") > 0).select("key", "seg", "spans")
@@ -233,7 +286,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         "cover",
     )
     scratch.drop(texts, hashes, twice, segs, sizes, wants)
-    part = again.where("mixed").join(cover, ["key", "seg"]).select("doc", "start", F.explode("spans").alias("s")).select("doc", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    move = lambda s: F.struct((F.col("start") + s.a).alias("a"), (F.col("start") + s.b).alias("b"))
+    part = again.where("mixed").join(cover, ["key", "seg"]).select("doc", F.transform("spans", move).alias("spans"))
     return whole.unionByName(part), scratch
 
 
@@ -262,6 +316,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     the first included. An empty table gives an empty result. Ids are taken as unique.
     """
     spans, scratch = repeated_spans(docs, length, gram, id_col, text_col)
-    per = scratch.write(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    per = scratch.write(spans.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     return base.join(per, "doc", "left").mapInArrow(_digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:bigint,b:bigint>>")
