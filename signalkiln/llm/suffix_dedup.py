@@ -112,19 +112,15 @@ def open_suffixes(texts: list[bytes], windows: list[int], groups: list[int], lea
     return text[chosen], place[chosen]
 
 
-def maximal_repeats(texts: list[bytes], windows: list[int], least: int, chosen: list[tuple[int, int]] | None = None) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of ``least`` bytes or more that start at one of the first ``windows`` places of a text.
+def repeat_intervals(texts: list[bytes], chosen: list[tuple[int, int]], least: int) -> tuple[list[tuple[bytes, int, int]], list[tuple[int, int, int]]]:
+    """The sorted suffixes (bytes, text, place) that start at ``chosen``, and the intervals (length, from, to) of maximal repeats.
 
-    Returns (length, [(text, start), ...]) with all occurrences of each repeat. The suffixes are sorted,
-    neighbours' common prefixes give the LCP array, and a stack scan walks its interval tree; an interval
-    is reported where the bytes to the left of its suffixes are not all the same (a start of a text is
-    different from every byte), so that no longer repeat has the same occurrences. ``chosen`` are the
-    suffixes that open_suffixes left, if it has been asked already.
+    Neighbours' common prefixes give the LCP array, and a stack scan walks its interval tree, inner
+    intervals first; an interval is reported where the bytes to the left of its suffixes are not all the
+    same (a start of a text is different from every byte), so that no longer repeat has the same occurrences.
     """
-    if chosen is None:
-        chosen = list(zip(*(x.tolist() for x in open_suffixes(texts, windows, [0] * len(texts), least)), strict=True)) if sum(windows) else []
     if len(chosen) < 2:
-        return []
+        return [], []
     suffixes = [(texts[k][p:], k, p) for k, p in chosen]
     suffixes.sort()
     n = len(suffixes)
@@ -155,17 +151,30 @@ def maximal_repeats(texts: list[bytes], windows: list[int], least: int, chosen:
             size, start, inner = stack.pop()
             same = inner if inner == same else None
             if same is None:
-                out.append((size, [(k, p) for _, k, p in suffixes[start:i]]))
+                out.append((size, start, i))
         if lcp[i] >= least:
             if stack and stack[-1][0] == lcp[i]:
                 stack[-1][2] = stack[-1][2] if stack[-1][2] == same else None
             else:
                 stack.append([lcp[i], start, same])
-    return out
+    return suffixes, out
+
+
+def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Maximal repeats of ``least`` bytes or more that start at one of the first ``windows`` places of a text.
+
+    Returns (length, [(text, start), ...]) with all occurrences of each repeat.
+    """
+    chosen = list(zip(*(x.tolist() for x in open_suffixes(texts, windows, [0] * len(texts), least)), strict=True)) if sum(windows) else []
+    suffixes, intervals = repeat_intervals(texts, chosen, least)
+    return [(size, [(k, p) for _, k, p in suffixes[a:b]]) for size, a, b in intervals]
 
 
 def covered(texts: list[bytes], windows: list[int], groups: list[int], least: int) -> dict[int, list[tuple[int, int]]]:
-    """Byte ranges, joined, that the maximal repeats of its group cover in each text that has any."""
+    """Byte ranges, joined, that the maximal repeats of its group cover in each text that has any.
+
+    Of the nested intervals that hold a suffix the longest counts, so each suffix gives one range.
+    """
     text, place = open_suffixes(texts, windows, groups, least)
     if not len(text):
         return {}
@@ -173,8 +182,12 @@ def covered(texts: list[bytes], windows: list[int], groups: list[int], least: in
     ranges: dict[int, list[tuple[int, int]]] = {}
     cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     for a, b in zip(cut, [*cut[1:], len(own)], strict=True):
-        for size, places in maximal_repeats(texts, windows, least, list(zip(text[a:b].tolist(), place[a:b].tolist(), strict=True))):
-            for k, p in places:
+        suffixes, intervals = repeat_intervals(texts, list(zip(text[a:b].tolist(), place[a:b].tolist(), strict=True)), least)
+        longest = np.zeros(len(suffixes), np.int64)
+        for size, i, j in intervals:
+            np.maximum(longest[i:j], size, out=longest[i:j])
+        for (_, k, p), size in zip(suffixes, longest.tolist(), strict=True):
+            if size:
                 ranges.setdefault(k, []).append((p, p + size))
     return {k: join_ranges(r) for k, r in ranges.items()}
 
