@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import SPACE, let
 
 #: Labelled rows that a list is learned from at most (those of the least hashes).
 MAX_LABELS = 20_000
@@ -23,20 +23,42 @@ _BLANK = r"[\x20\x09-\x0D]"
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "long_line_share", "upper_share", "digit_share")
 
 
+#: Different repeated windows of a text up to which each window is looked up in their list; beyond it windows are sorted with their places.
+FEW = 24
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _BLANK + "+", -1), lambda x: x != "")
+    bare = F.btrim(text, F.lit(SPACE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _BLANK + "+", -1))
+
+
+def _covered(places: Column) -> Column:
+    """Words inside the 3-word windows at ``places`` (ascending)."""
+    start = F.struct(F.lit(-3).alias("p"), F.lit(0).cast("bigint").alias("n"))
+    return F.aggregate(places, start, lambda a, p: F.struct(p.alias("p"), (a.n + F.least(F.lit(3), p - a.p)).alias("n")), lambda a: a.n)
 
 
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that the text has twice or more."""
 
-    def count(h: Column) -> Column:
-        grams = F.when(F.size(h) >= 3, F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("g"), i.alias("i"))))
-        twice = let(F.sort_array(grams), lambda s: F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["g"] == x.g, F.lit(False)) | F.coalesce(F.get(s, k + 1)["g"] == x.g, F.lit(False))))
-        places = F.sort_array(F.transform(twice, lambda x: x.i))
-        return F.aggregate(places, F.struct(F.lit(-3).alias("p"), F.lit(0).cast("bigint").alias("n")), lambda a, p: F.struct(p.alias("p"), (a.n + F.least(F.lit(3), p - a.p)).alias("n")), lambda a: a.n)
+    def by_list(g: Column, twice: Column) -> Column:
+        return _covered(F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(twice, x), i)), lambda i: i.isNotNull()))
+
+    def by_sort(g: Column) -> Column:
+        some = let(F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i")))), lambda s: F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["g"] == x.g, F.lit(False)) | F.coalesce(F.get(s, k + 1)["g"] == x.g, F.lit(False))))
+        return _covered(F.sort_array(F.transform(some, lambda x: x.i)))
+
+    def count(g: Column) -> Column:
+        twice = let(F.sort_array(g), lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (x == F.get(s, F.greatest(k - 1, F.lit(0)))))))
+        found = let(twice, lambda t: F.when(F.size(t) <= FEW, by_list(g, t)).otherwise(by_sort(g)))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("bigint")).otherwise(found)
+
+    def grams(w: Column) -> Column:
+        n = F.size(w)
+        trios = F.arrays_zip(F.slice(w, F.lit(1), n - 2), F.slice(w, F.lit(2), n - 2), F.slice(w, F.lit(3), n - 2))
+        return F.when(n >= 3, let(F.transform(trios, lambda t: F.xxhash64(t)), count)).otherwise(F.lit(0).cast("bigint"))
 
-    return F.coalesce(let(F.transform(words, lambda w: F.xxhash64(w)), count), F.lit(0).cast("bigint"))
+    return F.coalesce(let(words, grams), F.lit(0).cast("bigint"))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
