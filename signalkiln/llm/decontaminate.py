@@ -143,14 +143,28 @@ def align(items: Items, w: np.ndarray, min_score: float) -> list[tuple[int, floa
     return out
 
 
-def _counts(items: Items):
+def _scan(items: Items):
+    """Two kinds of rows: (gram, n), the batch's counts of the items' n-grams, and (doc_id, text) of the documents that have any."""
+
     def run(batches):
-        total: Counter = Counter()
         for b in batches:
-            for text in b.column(0):
-                total.update(c for _, c in _hits(items, items.codes(text.as_py()), items.all))
-        got = sorted(total.items())
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([g for g, _ in got], np.uint64).view(np.int64)), pa.array([n for _, n in got], pa.int64())], ["gram", "n"])
+            total: Counter = Counter()
+            some = []
+            for i, text in enumerate(b.column(1)):
+                hits = _hits(items, items.codes(text.as_py()), items.all)
+                if hits:
+                    some.append(i)
+                    total.update(c for _, c in hits)
+            got = sorted(total.items())
+            k, m = len(got), len(some)
+            found = b.take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*np.array([g for g, _ in got], np.uint64).view(np.int64).tolist(), *[None] * m], pa.int64()), pa.array([*[n for _, n in got], *[None] * m], pa.int64()),
+                    pa.array([*[None] * k, *found.column(0).to_pylist()], pa.int64()), pa.array([*[None] * k, *found.column(1).to_pylist()], pa.string()),
+                ],
+                ["gram", "n", "doc_id", "text"],
+            )
 
     return run
 
@@ -173,9 +187,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
     score is the alignment score as a share of an unedited copy's. Null and empty texts and items hold
     nothing. The benchmark is read in blocks of ``BLOCK`` items, so what is broadcast is bounded;
-    every document is searched for every item. Repeated rows give repeated results.
+    every document is searched for every item; the first pass sets aside the texts that hold any n-gram
+    of an item, and only these are aligned. Repeated rows give repeated results.
     """
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "items")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = benchmark.where("text is not null and item_id is not null")
     blocks = max(1, -(-rows.count() // BLOCK))
@@ -183,9 +199,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     for i in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
         items = Items([(r.item_id, r.text) for r in part.select("item_id", "text").collect()])
-        counts = base.select("text").mapInArrow(_counts(items), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        scanned = scratch.write(base.mapInArrow(_scan(items), "gram bigint, n bigint, doc_id bigint, text string"), "scanned")
+        counts = scanned.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         items.choose({r.gram & (1 << 64) - 1: r.n for r in counts})
-        found = base.mapInArrow(_align(items, min_score), "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint")
+        found = scanned.where("gram is null").select("doc_id", "text").mapInArrow(_align(items, min_score), "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint")
         out = found if out is None else out.unionByName(found)
     return out
 
