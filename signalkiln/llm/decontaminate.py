@@ -210,4 +210,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` that hold no item, columns as they are."""
     gone = Scratch(docs.sparkSession, "leaks").write(find_leaks(docs, benchmark, min_score).select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)

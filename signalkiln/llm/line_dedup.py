@@ -1,6 +1,6 @@
 """Repeated lines across documents, by DataFrame functions only.
 
-Line keys become two 64-bit hashes. Each document sends a hash once; partial counts meet in range
+Line keys become two 64-bit hashes. Each document sends a hash once; partial counts meet in hash
 partitions of the hashes, so a line that a third of all documents hold arrives as one row a task.
 The lines that fall are then gathered per document into bit words: the result is a compressed bitmap
 of the kept lines (run lengths), never text.
@@ -71,7 +71,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_i
     """
     words = dropped_lines(docs, min_docs, id_col, text_col).withColumnRenamed("doc", "__doc")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    got = base.join(words, F.col("doc_id") == F.col("__doc"), "left")
+    got = base.join(words.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")  # the bitmaps have no size bound
     lines = lines_of(F.col("text"))
     kept = F.when(F.col("words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda x, i: ~_falls(i)), "\n"))
     flags = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.when(_falls(i), 1).otherwise(0))
@@ -93,7 +93,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_i
 def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with the texts the kept lines give; texts that lose nothing stay as they are, null included."""
     words = dropped_lines(docs, min_docs).withColumnRenamed("doc", "__doc").withColumnRenamed("words", "__words")
-    got = docs.join(words, F.col("doc_id") == F.col("__doc"), "left")
+    got = docs.join(words.hint("merge"), F.col("doc_id") == F.col("__doc"), "left")
     falls = lambda i: F.coalesce(F.getbit(F.element_at("__words", F.floor(i / _WORD).cast("int")), (i % _WORD).cast("int")) == 1, F.lit(False))
     kept = F.when(F.col("__words").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines_of(F.col("text")), lambda x, i: ~falls(i)), "\n"))
     cols = [kept.alias(c) if c == "text" else F.length(kept).cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]

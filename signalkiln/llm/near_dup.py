@@ -274,4 +274,4 @@ def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
     """The rows of ``docs`` whose doc_id is the least of its component; columns are left as they are."""
     scratch = Scratch(docs.sparkSession, "neardup-kept")
     gone = scratch.write(components(docs, percent, width).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
