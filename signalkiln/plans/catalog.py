@@ -540,13 +540,19 @@ def grid_rotate(spark, sf_dir):
     return signal.rotate(pixels(spark, sf_dir), (8, 8), 0.5)
 
 
-@query("""SELECT event_id, CASE WHEN t = 0 THEN 0.0 ELSE sign(round(sin(2 * pi() * 3 * t), 9)) END AS square, round(exp(-0.5::DOUBLE * t) * sin(2 * pi() * 3 * t + 1), 6) AS sine, round(2 * (t * 3 - floor(t * 3 + 0.5)), 6) AS saw, round(2 * abs(2 * (t * 3 - floor(t * 3 + 0.5))) - 1, 6) AS triangle,
-round(0.5 * (sin(2 * pi() * 770 * t) + sin(2 * pi() * 1336 * t)), 5) AS dtmf FROM (SELECT event_id, event_id / 8000.0::DOUBLE AS t FROM events WHERE event_id % 4000 <> 0)""")
+_SCALED = "CAST(round(1000000 * ({})) AS BIGINT) AS {}"
+_WAVES = {"sine": "exp(-0.5::DOUBLE * t) * sin(2 * pi() * 3 * t + 1)", "saw": "2 * (t * 3 - floor(t * 3 + 0.5))", "triangle": "2 * abs(2 * (t * 3 - floor(t * 3 + 0.5))) - 1", "dtmf": "0.5 * (sin(2 * pi() * 770 * t) + sin(2 * pi() * 1336 * t))"}
+
+
+@query(f"""SELECT event_id, CAST(sign(round(sin(2 * pi() * 3 * t), 9)) AS BIGINT) AS square, {", ".join(_SCALED.format(v, k) for k, v in _WAVES.items())}
+FROM (SELECT event_id, event_id / 8000.0::DOUBLE AS t FROM events WHERE event_id % 4000 <> 0)""")
 def waveforms(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id % 4000 <> 0").select("event_id", (F.col("event_id") / 8000.0).alias("t"))
+    """Samples in millionths, so that a zero has no sign."""
+    rows = table(spark, sf_dir, "events").where("event_id % 4000 <> 0").select("event_id", (F.col("event_id") / F.lit(8000.0)).alias("t"))
     t = F.col("t")
     near = F.when(F.round(F.sin(2 * math.pi * 3 * t), 9) == 0, F.lit(0.0)).otherwise(signal.square(t, frequency=3))
-    return rows.select("event_id", near.alias("square"), F.round(signal.sine(t, frequency=3, phase=1, damping=0.5), 6).alias("sine"), F.round(signal.saw(t, frequency=3), 6).alias("saw"), F.round(signal.triangle(t, frequency=3), 6).alias("triangle"), F.round(signal.dtmf(F.lit("5"), t), 5).alias("dtmf"))
+    waves = {"sine": signal.sine(t, frequency=3, phase=1, damping=0.5), "saw": signal.saw(t, frequency=3), "triangle": signal.triangle(t, frequency=3), "dtmf": signal.dtmf(F.lit("5"), t)}
+    return rows.select("event_id", near.cast("bigint").alias("square"), *(F.round(v * 1_000_000).cast("bigint").alias(k) for k, v in waves.items()))
 
 
 @query("SELECT event_id, event_id % 1024 AS c0, user_id % 1024 AS c1, (event_id * 3) % 1024 AS c2, CAST([32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640][event_id % 38 // 2 + 1] * 4 AS INTEGER) AS ac3 FROM events")
