@@ -1,23 +1,23 @@
 """Benchmark decontamination: rare word n-gram seeds, then Smith-Waterman alignment.
 
-Corpus counts of the items' n-grams come from all documents; in each stretch of an item the rarest
-n-grams are its seeds, so every part of every item stays findable. A document's seed hits open windows,
-and the window is aligned with the item word by word, which scores edited copies too.
+An alignment that scores enough holds at least ``least_grams`` pairs of neighbouring words of its item.
+Of an item's pairs that the corpus holds, all but the ``least_grams - 1`` most frequent are its seeds, so
+every such alignment has a seed. A document with a seed is looked at stretch by stretch, and where
+enough words and pairs of the item stand close together it is aligned with the item word by word.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, small_batches
+from .common import Scratch, small_batches
 
-NGRAM, STRETCH, RARE = 4, 6, 3
 MIN_SCORE = 0.6
 #: Items handled in one pass over the documents; more items take more passes.
 BLOCK = 20_000
@@ -29,64 +29,68 @@ def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower()) if text else []
 
 
+def least_grams(n: int, min_score: float) -> tuple[int, int]:
+    """(width, count): any alignment of ``min_score`` with an item of n words holds so many of its grams of so many words.
+
+    With m matches and e other steps 2 * m - e >= 2 * min_score * n. The matches lie in e + 1 runs at most,
+    so m - e - 1 >= (2 * min_score - 1) * n - 1 neighbours match. Where that is not positive, single words count.
+    """
+    pairs = math.ceil((2 * min_score - 1) * n - 1 - 1e-9)
+    return (2, pairs) if pairs > 0 else (1, max(1, math.ceil(min_score * n - 1e-9)))
+
+
 class Items:
-    """Word codes and n-grams of a block of benchmark items."""
+    """Word codes and grams of a block of benchmark items."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], min_score: float = MIN_SCORE):
+        self.min_score = min_score
         self.vocab: dict[str, int] = {}
-        self.items: dict[int, np.ndarray] = {}
-        for k, text in rows:
+        self.ids: list[int] = []
+        self.words: list[np.ndarray] = []
+        for k, text in dict(rows).items():
             w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(text)]
             if w:
-                self.items[k] = np.array(w, np.int64)
-        self.grams = {k: gram_codes(w) for k, w in self.items.items()}
-        self.all = np.unique(np.concatenate([*self.grams.values(), np.zeros(0, np.uint64)]))
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.seed_codes = np.zeros(0, np.uint64)
+                self.ids.append(k)
+                self.words.append(np.array(w, np.int64))
+        self.base = len(self.vocab) + 1
+        self.least = [least_grams(len(w), min_score) for w in self.words]
+        self.widths = sorted({n for n, _ in self.least})
+        self.fewest = min((n for _, n in self.least), default=1)
+        codes = [self.grams(w, n) for w, (n, _) in zip(self.words, self.least, strict=True)]
+        self.all = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
+        self.at = [np.searchsorted(self.all, c) for c in codes]
+        self.first, self.owner = np.zeros(len(self.all) + 1, np.int64), np.zeros(0, np.int64)
 
     def codes(self, text: str | None) -> np.ndarray:
         get = self.vocab.get
         return np.array([get(x, 0) for x in words_of(text)], np.int64)
 
-    def choose(self, counts: dict[int, int]) -> None:
-        """Of each stretch of n-grams the rarest, by corpus count."""
-        for k, g in self.grams.items():
-            n = [counts.get(int(x), 0) for x in g]
-            chosen: set[int] = set()
-            for a in range(0, len(g), STRETCH):
-                chosen |= set(sorted(range(a, min(a + STRETCH, len(g))), key=lambda i: (n[i], i))[:RARE])  # noqa: B023
-            for i in chosen:
-                self.seeds[int(g[i])].append((k, i))
-        self.seed_codes = np.array(sorted(self.seeds), np.uint64)
-
-
-def gram_codes(w: np.ndarray, n: int = NGRAM) -> np.ndarray:
-    """Codes of the n-grams; an item shorter than n words is one gram of its own length."""
-    if len(w) < n:
-        return mix64(np.array([sum(int(x) << (16 * i) for i, x in enumerate(w)) * 31 + len(w) & (1 << 64) - 1], np.uint64)) if len(w) else np.zeros(0, np.uint64)
-    x = w.astype(np.uint64)
-    out = np.zeros(len(w) - n + 1, np.uint64)
-    for i in range(n):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + x[i : i + len(out)])
-    return out
-
-
-def _hits(items: Items, w: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int]]:
-    """(place, code) of wanted n-grams; the sizes below NGRAM are looked for as well."""
-    found = []
-    sizes = {min(NGRAM, len(x)) for x in items.items.values()}
-    for n in sizes:
-        if len(w) < n:
-            continue
-        if n == NGRAM:
-            g = gram_codes(w)
-        else:
-            g = np.array([gram_codes(w[i : i + n])[0] for i in range(len(w) - n + 1) if w[i : i + n].all()], np.uint64)
-            where = [i for i in range(len(w) - n + 1) if w[i : i + n].all()]
-        at = np.minimum(np.searchsorted(wanted, g), max(len(wanted) - 1, 0))
-        ok = np.flatnonzero(wanted[at] == g) if len(wanted) and len(g) else []
-        found.extend((int(i) if n == NGRAM else where[i], int(g[i])) for i in ok)
-    return found
+    def grams(self, w: np.ndarray, width: int) -> np.ndarray:
+        """Codes of the single words or pairs; 0 where a word is of no item."""
+        return w if width == 1 else np.where((w[:-1] > 0) & (w[1:] > 0), w[:-1] * self.base + w[1:], 0)
+
+    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the items' grams among a document's words, and their numbers in ``all``."""
+        places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in self.widths:
+            g = self.grams(w, n)
+            at = np.minimum(np.searchsorted(self.all, g), len(self.all) - 1)
+            p = np.flatnonzero(self.all[at] == g)
+            places.append(p)
+            numbers.append(at[p])
+        return np.concatenate(places), np.concatenate(numbers)
+
+    def choose(self, counts: np.ndarray) -> None:
+        """Seeds by the corpus counts of ``all``: for each gram the items of which it is one."""
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k, (at, (_, least)) in enumerate(zip(self.at, self.least, strict=True)):
+            held = at[counts[at] > 0]
+            seeds = held[np.argsort(counts[held], kind="stable")][: max(len(held) - least + 1, 0)]
+            pairs.append(np.stack([seeds, np.full(len(seeds), k)], axis=1))
+        found = np.concatenate(pairs)
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        self.first = np.searchsorted(found[:, 0], np.arange(len(self.all) + 1))
+        self.owner = found[:, 1]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, other: int = -1, gap: int = -1) -> tuple[int, int, int]:
@@ -111,70 +115,74 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, other: int = -1
     return best, start, end
 
 
-def align(items: Items, w: np.ndarray, min_score: float) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, first word, end word, seeds) of the items that a document's words hold."""
-    places: dict[int, list[int]] = defaultdict(list)
-    for p, code in _hits(items, w, items.seed_codes):
-        for k, i in items.seeds[code]:
-            places[k].append(p - i)
+def _stretches(items: Items, k: int, w: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a document that hold every alignment of ``min_score`` with an item: (first, end) of its words."""
+    item, (_, least) = items.words[k], items.least[k]
+    own = np.isin(numbers, items.at[k])
+    if own.sum() < least:
+        return []
+    # an alignment spans m + e words at most, and m <= n
+    span = math.floor((3 - 2 * items.min_score) * len(item) + 1e-9)
+    grams, known = np.zeros(len(w) + 1, np.int64), np.zeros(len(w) + 1, np.int64)
+    grams[places[own] + 1] = 1
+    known[1:] = np.isin(w, item)
+    grams, known = grams.cumsum(), known.cumsum()
+    end = np.minimum(np.arange(len(w)) + span, len(w))
+    ok = np.flatnonzero((known[end] - known[:-1] >= items.min_score * len(item) - 1e-9) & (grams[end] - grams[:-1] >= least))
+    if not len(ok):
+        return []
+    cut = np.flatnonzero(np.diff(ok) > span) + 1
+    return [(int(x[0]), int(end[x[-1]])) for x in np.split(ok, cut)]
+
+
+def align(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+    """(item_id, score, first word, end word, seeds) of the items that a document's words hold."""
+    places, numbers = items.hits(w)
+    n_seeds = items.first[numbers + 1] - items.first[numbers]
+    some = np.repeat(items.first[numbers] - np.cumsum(n_seeds) + n_seeds, n_seeds) + np.arange(n_seeds.sum())
     out = []
-    for k, starts in places.items():
-        item = items.items[k]
-        n, slack = len(item), len(item) // 2 + 4
+    for k, seeds in zip(*(x.tolist() for x in np.unique(items.owner[some], return_counts=True)), strict=True):
+        item = items.words[k]
         best = None
-        windows: list[list[int]] = []
-        for s in sorted(starts):
-            a, b = max(0, s - slack), min(len(w), s + n + slack)
-            if windows and a <= windows[-1][1]:
-                windows[-1][1] = max(b, windows[-1][1])
-            else:
-                windows.append([a, b])
-        known = np.unique(item)
-        for a, b in windows:
-            part = w[a:b]
-            # no alignment can score more than the item's words that are there at all
-            if np.isin(item, part).sum() < min_score * n or np.isin(part, known).sum() < min_score * n:
-                continue
-            score, i, j = smith_waterman(item, part)
-            if score >= min_score * 2 * n and (best is None or score > best[0]):
+        for a, b in _stretches(items, k, w, places, numbers):
+            score, i, j = smith_waterman(item, w[a:b])
+            if score >= items.min_score * 2 * len(item) - 1e-9 and (best is None or score > best[0]):
                 best = (score, a + i, a + j)
         if best:
-            out.append((k, best[0] / (2 * n), best[1], best[2], len(starts)))
+            out.append((items.ids[k], best[0] / (2 * len(item)), best[1], best[2], seeds))
     return out
 
 
 def _scan(items: Items):
-    """Two kinds of rows: (gram, n), the batch's counts of the items' n-grams, and (doc_id, text) of the documents that have any."""
+    """Two kinds of rows: (gram, n), a task's counts of the items' grams, and (doc_id, words) of the documents that have enough of them."""
 
     def run(batches):
+        total = np.zeros(len(items.all), np.int64)
+        names, words = ["gram", "n", "doc_id", "words"], pa.list_(pa.int32())
         for b in batches:
-            total: Counter = Counter()
-            some = []
+            some, held = [], []
             for i, text in enumerate(b.column(1)):
-                hits = _hits(items, items.codes(text.as_py()), items.all)
-                if hits:
+                w = items.codes(text.as_py())
+                _, numbers = items.hits(w)
+                np.add.at(total, numbers, 1)
+                if len(numbers) >= items.fewest:
                     some.append(i)
-                    total.update(c for _, c in hits)
-            got = sorted(total.items())
-            k, m = len(got), len(some)
-            found = b.take(pa.array(some, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*np.array([g for g, _ in got], np.uint64).view(np.int64).tolist(), *[None] * m], pa.int64()), pa.array([*[n for _, n in got], *[None] * m], pa.int64()),
-                    pa.array([*[None] * k, *found.column(0).to_pylist()], pa.int64()), pa.array([*[None] * k, *found.column(1).to_pylist()], pa.string()),
-                ],
-                ["gram", "n", "doc_id", "text"],
-            )
+                    held.append(w.astype(np.int32))
+            m = len(some)
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, b.column(0).take(pa.array(some, pa.int64())), pa.array(held, words)], names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), words)], names)
 
     return run
 
 
-def _align(items: Items, min_score: float):
+def _align(items: Items):
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows.extend((doc, *x) for x in align(items, items.codes(text.as_py()), min_score))
+            for doc, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows.extend((doc, *x) for x in align(items, w.values.to_numpy().astype(np.int64)))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
@@ -187,24 +195,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
     score is the alignment score as a share of an unedited copy's. Null and empty texts and items hold
     nothing. The benchmark is read in blocks of ``BLOCK`` items, so what is broadcast is bounded;
-    every document is searched for every item; the first pass sets aside the texts that hold any n-gram
-    of an item, and only these are aligned. Repeated rows give repeated results.
+    every document is searched for every item; the first pass counts the items' grams and sets aside, as word
+    codes, the documents that hold enough of them. Repeated rows give repeated results.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "items")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = benchmark.where("text is not null and item_id is not null")
     blocks = max(1, -(-rows.count() // BLOCK))
+    kind = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint"
     out = None
     for i in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        items = Items([(r.item_id, r.text) for r in part.select("item_id", "text").collect()])
-        scanned = scratch.write(base.mapInArrow(_scan(items), "gram bigint, n bigint, doc_id bigint, text string"), "scanned")
-        counts = scanned.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        items.choose({r.gram & (1 << 64) - 1: r.n for r in counts})
-        found = scanned.where("gram is null").select("doc_id", "text").mapInArrow(_align(items, min_score), "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint")
+        items = Items([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], min_score)
+        if not items.ids:
+            continue
+        scanned = scratch.write(base.mapInArrow(_scan(items), "gram bigint, n bigint, doc_id bigint, words array<int>"), "scanned")
+        counts = np.zeros(len(items.all), np.int64)
+        for r in scanned.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+            counts[r.gram] = r.n
+        items.choose(counts)
+        found = scanned.where("words is not null").select("doc_id", "words").mapInArrow(_align(items), kind)
         out = found if out is None else out.unionByName(found)
-    return out
+    return docs.sparkSession.createDataFrame([], kind) if out is None else out
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -117,6 +117,31 @@ def test_decontamination_finds_what_brute_force_finds(spark, sf_dir):
     assert want and want <= got
 
 
+def test_decontamination_finds_edited_copies_as_full_alignment_does(spark):
+    """One word of every 7 replaced, every second pair split, words left out; each pair is aligned in full for comparison."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    pool = [f"w{k}" for k in range(300)]
+    bench = [(k, " ".join(rng.choice(pool, n))) for k, n in enumerate((3, 5, 6, 9, 16, 27, 33, 40, 45, 59))]
+    docs = []
+    for _, text in bench:
+        w = text.split()
+        filler = list(rng.choice(pool, 60))
+        for copy in ([x if i % 7 != 3 else f"new{i}" for i, x in enumerate(w)], [y for i, x in enumerate(w) for y in ([x, "in"] if i % 2 else [x])], [x for i, x in enumerate(w) if i % 6 != 2], [x if i % 3 else "no" for i, x in enumerate(w)], w[: len(w) * 2 // 3]):
+            docs.append((len(docs), " ".join([*filler[:30], *copy, *filler[30:]])))
+    docs += [(1000 + i, " ".join(rng.choice(pool, 400))) for i in range(20)]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {}
+    items = decontaminate.Items(bench)
+    for d, text in docs:
+        for (k, _), w in zip(bench, items.words, strict=True):
+            score = decontaminate.smith_waterman(w, items.codes(text))[0] / (2 * len(w))
+            if score >= decontaminate.MIN_SCORE:
+                want[d, k] = score
+    assert got == want and len(want) > 30
+
+
 def test_quality_rules(spark, docs, rows, small, sf_dir, none):
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     labels = spark.createDataFrame([(i, int(len(t or "") > 100), 0) for i, t in rows], "doc_id long, quality int, toxic int")
