@@ -2,9 +2,9 @@
 
 A page is a stream of block slots (the path of open elements and a text). Streams of a host are
 aligned one after another into a union-free expression: a mismatch becomes an optional slot, a run of
-one slot a repeated group. Slots whose text never changes over a host's pages and lie outside its
-article belong to the template. Pages send their shape and slot hashes only, combined before the
-shuffle, so a host with a third of all pages costs its distinct shapes.
+one slot a repeated group. Each page is matched against its host's expression; slots whose texts recur
+over the host's pages belong to the template, inside an article as well. Pages send their shape and slot
+hashes only, combined before the shuffle, so a host with a third of all pages costs its distinct shapes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ JUNK = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "s
 JUNK_WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments respond reply replies disqus discussion complementary contentinfo search pagination pager toolbar widget".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _BREAKS_P = BLOCK - {"html", "head", "body"}
-#: Pages a slot must have been seen on, with one text, to count as part of the template.
+#: Pages that each text of a slot must be on, on average, for the slot to count as part of the template.
 TEMPLATE_PAGES = 3
 
 
@@ -171,23 +171,61 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+def places(wrapper: list[str], stream: list[str]) -> list[int]:
+    """Of each path of a stream its slot in a wrapper, -1 where it has none: the longest common subsequence."""
+    n, m = len(wrapper), len(stream)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if wrapper[i] == stream[j] else max(best[i + 1][j], best[i][j + 1])
+    out = [-1] * m
+    i = j = 0
+    while i < n and j < m:
+        if wrapper[i] == stream[j]:
+            out[j] = i
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+class Matcher:
+    """Slots of blocks in the wrappers of their hosts; each pair of wrapper and shape is aligned once."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, tuple[str, ...]], list[int]] = {}
+
+    def __call__(self, wrapper: str, blocks: list[tuple[str, bool, bool, str]]) -> list[int]:
+        stream = tuple(p for p, _ in shape(blocks))
+        if (wrapper, stream) not in self.known:
+            self.known[wrapper, stream] = places([x.split("\t")[0] for x in wrapper.split("\n")], list(stream))
+        runs, out, at = self.known[wrapper, stream], [], -1
+        for i, (path, *_) in enumerate(blocks):
+            at += i == 0 or path != blocks[i - 1][0]
+            out.append(runs[at])
+        return out
+
+
 def _observe(batches):
-    """(host, shape, slots outside an article with the least and largest hash of their texts, pages) of each batch."""
+    """(host, shape) of each batch."""
     for b in batches:
-        seen: dict[tuple[str, str], int] = defaultdict(int)
-        fixed: dict[tuple[str, str], list[int]] = {}
-        for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        seen = {(host or "", "\n".join(f"{p}\t{int(r)}" for p, r in shape(slots(page.as_py())))) for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True)}
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string())], ["host", "what"])
+
+
+def _texts(batches):
+    """(host, slot, hash of a text, pages that have it there) of each batch."""
+    match = Matcher()
+    for b in batches:
+        seen: dict[tuple[str, int, int], int] = defaultdict(int)
+        for host, page, wrapper in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
             blocks = slots(page.as_py())
-            seen[host or "", "\n".join(f"{p}\t{int(r)}" for p, r in shape(blocks))] += 1
-            for path, junk, main, text in blocks:
-                if junk or main:
-                    continue
-                h = xxhash.xxh3_64_intdigest(text) >> 1
-                x = fixed.setdefault((host or "", path), [h, h, 0])
-                x[0], x[1], x[2] = min(x[0], h), max(x[1], h), x[2] + 1
-        rows = [(h, s, 0, 0, n) for (h, s), n in seen.items()] + [(h, "=" + p, *x) for (h, p), x in fixed.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "what", "lo", "hi", "n"])
+            for slot, h in {(i, xxhash.xxh3_64_intdigest(x[3]) >> 1) for i, x in zip(match(wrapper, blocks), blocks, strict=True) if not x[1]}:
+                seen[host, slot, h] += 1
+        cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "slot", "text", "n"])
 
 
 def _fold(table):
@@ -200,48 +238,54 @@ def _fold(table):
     return pa.table({"host": table.column("host").slice(0, 1), "what": pa.array([text])})
 
 
-def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, wrapper) as lines of path, repeated, optional; and (host, path) of the template's fixed slots."""
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper, template): lines of path, repeated, optional; and the slots of it that belong to the template."""
     scratch = Scratch(pages.sparkSession, "wrappers")
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_observe, "host string, what string, lo bigint, hi bigint, n bigint")
-    seen = scratch.write(seen.groupBy("host", "what").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")), "seen")
-    shapes = seen.where("what not like '=%'").withColumn("salt", F.pmod(F.xxhash64("what"), F.lit(32)))
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
+    shapes = rows.mapInArrow(_observe, "host string, what string").distinct().withColumn("salt", F.pmod(F.xxhash64("what"), F.lit(32)))
     part = shapes.groupBy("host", "salt").applyInArrow(_fold, "host string, what string")
-    whole = part.groupBy("host").applyInArrow(_fold, "host string, what string").withColumnRenamed("what", "wrapper")
-    fixed = seen.where(F.col("what").startswith("=") & (F.col("lo") == F.col("hi")) & (F.col("n") >= TEMPLATE_PAGES)).select("host", F.substring("what", 2, 1 << 30).alias("path"))
-    return whole, scratch.write(fixed, "fixed")
+    whole = scratch.write(part.groupBy("host").applyInArrow(_fold, "host string, what string").withColumnRenamed("what", "wrapper"), "wrapper")
+    texts = with_wrapper(rows, whole).select("host", "html", "wrapper").mapInArrow(_texts, "host string, slot bigint, text bigint, n bigint")
+    texts = texts.where("slot >= 0").groupBy("host", "slot", "text").agg(F.sum("n").alias("n"))
+    fixed = texts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("n") >= TEMPLATE_PAGES * F.col("texts"))
+    template = scratch.write(fixed.groupBy("host").agg(F.collect_list("slot").alias("template")), "template")
+    return scratch.write(whole.join(template, "host", "left"), "both")
+
 
+def main_text(page: str | None, wrapper: str = "", template: set[int] = frozenset(), match: Matcher | None = None) -> str:
+    """The article's blocks if there is an article, else all blocks, without junk and template.
 
-def main_text(page: str | None, fixed: set[str] = frozenset()) -> str:
-    """The article's blocks if there is an article, else all blocks that are neither junk nor template."""
+    A page of nothing but template (copies of one page make up its host) is judged by its elements alone.
+    """
     blocks = slots(page)
-    chosen = [t for _, junk, main, t in blocks if main and not junk]
-    if not chosen:
-        chosen = [t for path, junk, _, t in blocks if not junk and path not in fixed]
-        chosen = chosen or [t for _, junk, _, t in blocks if not junk]
-    return "\n\n".join(chosen)
+    at = (match or Matcher())(wrapper, blocks) if template else [-1] * len(blocks)
+    clean = [(main, t, i in template) for i, (_, junk, main, t) in zip(at, blocks, strict=True) if not junk]
+    clean = [x for x in clean if x[0]] or clean
+    return "\n\n".join([t for _, t, known in clean if not known] or [t for _, t, _ in clean])
 
 
 def _extract(batches):
+    match = Matcher()
     for b in batches:
-        text = [main_text(h.as_py(), frozenset(f or ())) for h, f in zip(b.column("html"), b.column("fixed").to_pylist(), strict=True)]
+        text = [main_text(h.as_py(), w or "", frozenset(f or ()), match) for h, w, f in zip(b.column("html"), b.column("wrapper").to_pylist(), b.column("template").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-#: Bytes of template slots that are broadcast at most; more are joined by host.
+#: Bytes of wrappers that are broadcast at most; more are joined by host.
 BROADCAST_BYTES = 8 << 20
 
 
+def with_wrapper(rows: DataFrame, found: DataFrame) -> DataFrame:
+    size = found.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("wrapper") + 64), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars. A null or empty page, or one without main text, gives ''.
 
     A null url has the host ''. Repeated rows give repeated results, an empty table an empty one.
     """
     small_batches(pages.sparkSession, 500)
-    _, fixed = wrappers(pages)
-    fixed = fixed.groupBy("host").agg(F.collect_list("path").alias("fixed"))
-    fixed = Scratch(pages.sparkSession, "template").write(fixed, "fixed")
-    size = fixed.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length(F.array_join("fixed", " ")) + 64), F.lit(0))).first()[0]
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    got = rows.join(F.broadcast(fixed) if size <= BROADCAST_BYTES else fixed, "host", "left")
-    return got.select("page_id", "url", "html", "fixed").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    got = with_wrapper(rows, wrappers(pages))
+    return got.select("page_id", "url", "html", "wrapper", "template").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

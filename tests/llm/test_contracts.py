@@ -205,6 +205,18 @@ def test_html_extraction(spark):
     assert got[3].text == got[4].text == "" and got[5].text == "plain words"
 
 
+def test_html_extraction_by_wrapper(spark):
+    """Boxes of no telling name whose texts recur over a host's pages, inside and outside an article; a changing one of two texts."""
+    article = "<body><article><h1>T{i}</h1><div class='xq'><p>Box {k}</p></div><p>Text {i}</p><p>More {i}</p><div class='zz'>Always</div></article></body>"
+    plain = "<body><div class='top'>Box {k}</div><div class='t'><p>Text {i}</p></div></body>"
+    rows = [(i, f"http://a.x/{i}", article.format(i=i, k=i % 2)) for i in range(8)] + [(10 + i, f"http://b.x/{i}", plain.format(i=i, k=i % 2)) for i in range(8)]
+    rows += [(20 + i, f"http://c.x/{i}", plain.format(i=0, k=0)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"T{i}\n\nText {i}\n\nMore {i}" for i in range(8)]
+    assert [got[10 + i] for i in range(8)] == [f"Text {i}" for i in range(8)]
+    assert {got[20 + i] for i in range(4)} == {"Box 0\n\nText 0"}
+
+
 def test_wrapper_alignment():
     a = [("p", False, False), ("h", False, False), ("p", False, False)]
     b = [("p", True, False), ("x", False, False)]
