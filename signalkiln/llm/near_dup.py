@@ -103,20 +103,20 @@ def _confirm(percent: int, width: int):
 def _flag(least: float):
     """Rows of one block that have a partner in another component there, judged by their signatures.
 
-    A pair is looked at in the first band that it shares only.
+    A pair is looked at in the first band that it shares only, told by the full keys of the bands.
     """
 
     def run(_, table):
         minor = np.array(table.column("minor").to_pylist(), bool)
         sig = _sig_matrix(table.column("sig").combine_chunks())
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         comp = np.array(table.column("comp").to_pylist(), np.int64)
         band = table.column("band")[0].as_py()
         q, r = np.flatnonzero(minor), np.flatnonzero(~minor)
         flagged = np.zeros(len(minor), bool)
         for i in q:
-            same = sig[r] == sig[i]
-            hit = (comp[r] != comp[i]) & (same.mean(axis=1) >= least)
-            hit[hit] = same[hit].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            hit = (comp[r] != comp[i]) & ((sig[r] == sig[i]).mean(axis=1) >= least)
+            hit[hit] = (keys[r[hit]] == keys[i]).argmax(axis=1) == band
             flagged[r[hit]] = True
             flagged[i] |= hit.any()
         return table.filter(pa.array(flagged)).select(["key", "i", "j", "id", "comp", "minor"])
@@ -252,10 +252,10 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str =
     major = scratch.write(per.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("k"), F.max("c").alias("c"), F.first("n").alias("n")).where("k > 1").withColumn("minors", F.col("n") - F.col("c")), "major")
     block, chunk = 256, 1024
     h = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), n)
-    mixed = labelled.drop("n").join(major, "key").join(sig.select("id", "sig"), "id")
+    mixed = labelled.drop("n").join(major, "key").join(reps.select("id", "sig", "bands"), "id")
     n_minor, n_all = F.ceil(F.col("minors") / block), F.ceil(F.col("n") / chunk)
-    asks = mixed.where("comp <> major").select("key", "band", h(n_minor, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "id", "comp", "sig", F.lit(True).alias("minor"))
-    answers = mixed.select("key", "band", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), h(n_all, 2).alias("j"), "id", "comp", "sig", F.lit(False).alias("minor"))
+    asks = mixed.where("comp <> major").select("key", "band", h(n_minor, 1).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "id", "comp", "sig", "bands", F.lit(True).alias("minor"))
+    answers = mixed.select("key", "band", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), h(n_all, 2).alias("j"), "id", "comp", "sig", "bands", F.lit(False).alias("minor"))
     flagged = scratch.write(asks.unionByName(answers).groupBy("key", "i", "j").applyInArrow(_flag(least), "key bigint, i bigint, j bigint, id bigint, comp bigint, minor boolean"), "flagged")
     need = scratch.write(flagged.select("id").distinct(), "need")
     texts = scratch.write(base.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")

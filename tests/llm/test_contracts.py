@@ -279,3 +279,22 @@ def test_near_dup_chain_in_one_bucket(spark):
         w[: i * 4] = [f"n{k}" for k in range(i * 4)]
         chain.append((i, " ".join(w)))
     assert table(near_dup.components(spark.createDataFrame(chain, "doc_id long, text string")), ["n_shingles", "component_id", "kept"]) == brute.near(chain)
+
+
+def test_near_dup_first_shared_band_by_full_keys():
+    """Minima that differ but have one digest byte do not make a band shared."""
+    import numpy as np
+    import pyarrow as pa
+
+    m = np.arange(1, near_dup.BANDS * near_dup.ROWS + 1, dtype=np.uint32)
+    byte = lambda x: near_dup.mix64(x.astype(np.uint64)).astype(np.uint8)
+    twin = m.copy()
+    others = np.arange(1000, 20000, dtype=np.uint32)
+    twin[0] = others[byte(others) == byte(m)[0]][0]
+    keys = [near_dup.band_keys(x).view(np.int64) for x in (m, twin)]
+    assert keys[0][0] != keys[1][0] and keys[0][1] == keys[1][1]
+    rows = pa.table({
+        "key": [int(keys[0][1])] * 2, "band": [1, 1], "i": [0, 0], "j": [0, 0], "id": [1, 2], "comp": [1, 2], "sig": [byte(x).tobytes() for x in (m, twin)],
+        "bands": pa.array([k.tolist() for k in keys], pa.list_(pa.int64())), "minor": [True, False],
+    })
+    assert near_dup._flag(0.7)(None, rows).num_rows == 2
