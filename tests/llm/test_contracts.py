@@ -142,6 +142,15 @@ def test_decontamination_finds_edited_copies_as_full_alignment_does(spark):
     assert got == want and len(want) > 30
 
 
+def test_decontamination_items_of_one_id():
+    import numpy as np
+
+    texts = ["alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"]
+    items = decontaminate.Items([(10, t) for t in texts])
+    items.choose(np.ones(len(items.all), np.int64))
+    assert [x[:2] for t in texts for x in decontaminate.align(items, items.codes(t))] == [(10, 1.0)] * 2
+
+
 def test_quality_rules(spark, docs, rows, small, sf_dir, none):
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     labels = spark.createDataFrame([(i, int(len(t or "") > 100), 0) for i, t in rows], "doc_id long, quality int, toxic int")
