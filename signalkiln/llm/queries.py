@@ -26,7 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_codec.encode(_table(spark, sf_dir, "documents"), tokenizer_model(), with_ids=False).drop("batch_disputed")
+    return sp_codec.encode(_table(spark, sf_dir, "documents"), tokenizer_model(), with_ids=False)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

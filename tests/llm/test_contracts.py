@@ -83,7 +83,7 @@ def test_sentencepiece(spark, docs, rows, none):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_model())
-    got = table(sp_codec.encode(docs, queries.tokenizer_model()), ["n_tokens", "ids_sha256", "decoded_sha256", "batch_disputed", "ids"])
+    got = table(sp_codec.encode(docs, queries.tokenizer_model()), ["n_tokens", "ids_sha256", "decoded_sha256", "n_disputed", "ids"])
     codec = sp_codec.Codec.load(queries.tokenizer_model())
     for i, t in rows:
         ids = sp.encode(t or "", add_eos=True)
