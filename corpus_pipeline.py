@@ -26,7 +26,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sp_codec.encode(docs, tokenizer_model(), with_ids=True).drop("batch_disputed")
+    return sp_codec.encode(docs, tokenizer_model(), with_ids=True)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("sentencepiece", encoding)]
