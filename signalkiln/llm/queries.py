@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans", "passages")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

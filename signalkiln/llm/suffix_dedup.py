@@ -1,12 +1,14 @@
 """Exact repeated passages: bucketed enhanced suffix arrays scanned as a common-prefix interval tree.
 
-Every window of ``length`` bytes has a least inner gram (``gram`` bytes, by hash); runs of windows with
-the same least gram form one segment, keyed by that gram. Equal windows have equal keys, so repeats
-never cross a key. Keys seen once are dropped after one counting shuffle of small rows. Segments that
-are equal are one class; classes that share a key but differ are compared in an enhanced suffix array
-of that key, whose LCP intervals are found by a stack scan and kept where their left extensions differ.
-Keys with very many different segments are resolved by counting window hashes instead, which has no
-group to gather.
+Every window of ``PASSAGE`` bytes has a least inner gram (``gram`` bytes, by hash); runs of windows with
+the same least gram form one segment, keyed by that gram, whose text reaches ``length`` bytes beyond its
+last window. Equal windows have equal keys, so repeats never cross a key. Keys seen once are dropped
+after one counting shuffle of small rows. Segments that are equal are one class; classes that share a
+key but differ are compared in an enhanced suffix array of that key, whose LCP intervals are found by a
+stack scan and kept where their left extensions differ. One array serves both questions: which bytes lie
+in a repeat of ``length`` bytes (they are removed), and which passages of more than ``WORDS`` words repeat.
+A key with more than ``BUCKET`` different segments is a bucket too large for one task; its windows are
+counted by hash instead, which is exact as well and gathers no group.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, prefix_hash, range_hash, small_batches
+from .common import Scratch, give_back, mix64, prefix_hash, range_hash, small_batches, word_bounds
 
-LENGTH, GRAM = 400, 200
+LENGTH, GRAM = 400, 128
+#: Bytes of the shortest repeats that are looked for, and the words a repeated passage has at least.
+PASSAGE, WORDS = 256, 51
 #: A run of equal least grams (a periodic text) is cut after so many windows.
 RUN = 256
 #: Different segments of one key that are sorted in one suffix array; beyond it, window hashes are counted.
@@ -39,7 +43,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(suf[: n - w + 1], pre[w - 1 : n])
 
 
-def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, length: int = PASSAGE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, starts and window counts of the segments of one text, and whether it has the key's gram twice."""
     n = len(data) - length + 1
     if n < 1:
@@ -63,26 +67,24 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
     return keys, cut, sizes, times[back] > 1
 
 
-def _occurrences(length: int, gram: int):
+def _occurrences(window: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "seg", "doc", "th", "start", "windows", "bytes", "twice"]
+        kinds = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int16, np.int32, bool]
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            out = [[], [], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for doc, text, th in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                key, start, size, twice = segments(np.frombuffer(raw, np.uint8), length, gram)
+                key, start, size, twice = segments(np.frombuffer(raw, np.uint8), window, gram)
                 if not len(key):
                     continue
-                digest = xxhash.xxh3_64_intdigest
-                ends = start + size + (length - 1)
-                out[0].append(key.view(np.int64))
-                out[1].append(np.fromiter((digest(raw[p:e]) for p, e in zip(start.tolist(), ends.tolist(), strict=True)), np.uint64, len(key)).view(np.int64))
-                out[2].append(np.full(len(key), doc, np.int64))
-                out[3].append(start.astype(np.int32))
-                out[4].append(size.astype(np.int16))
-                out[5].append(twice)
-            names = ["key", "seg", "doc", "start", "windows", "twice"]
-            kinds = [np.int64, np.int64, np.int64, np.int32, np.int16, bool]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, k)) for x, k in zip(out, kinds, strict=True)], names)
+                ends = np.minimum(start + size + (length - 1), len(raw))
+                segs = np.fromiter((digest(raw[p:e]) for p, e in zip(start.tolist(), ends.tolist(), strict=True)), np.uint64, len(key))
+                for x, v in zip(out, (key.view(np.int64), segs.view(np.int64), np.full(len(key), doc, np.int64), np.full(len(key), th, np.int64), start, size, ends - start, twice), strict=True):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k) if x else np.zeros(0, k)) for x, k in zip(out, kinds, strict=True)], names)
+        give_back()
 
     return run
 
@@ -170,8 +172,8 @@ def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> list[
     return [(size, [(k, p) for _, k, p in suffixes[a:b]]) for size, a, b in intervals]
 
 
-def covered(texts: list[bytes], windows: list[int], groups: list[int], least: int) -> dict[int, list[tuple[int, int]]]:
-    """Byte ranges, joined, that the maximal repeats of its group cover in each text that has any.
+def covered(texts: list[bytes], windows: list[int], groups: list[int], least: int, length: int) -> dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """Byte ranges, joined, that the maximal repeats of its group cover in each text that has any: all, and those of ``length`` bytes.
 
     Of the nested intervals that hold a suffix the longest counts, so each suffix gives one range.
     """
@@ -189,7 +191,7 @@ def covered(texts: list[bytes], windows: list[int], groups: list[int], least: in
         for (_, k, p), size in zip(suffixes, longest.tolist(), strict=True):
             if size:
                 ranges.setdefault(k, []).append((p, p + size))
-    return {k: join_ranges(r) for k, r in ranges.items()}
+    return {k: (join_ranges(r), join_ranges([x for x in r if x[1] - x[0] >= length])) for k, r in ranges.items()}
 
 
 def join_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -203,6 +205,11 @@ def join_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_RANGE = "array<struct<a:bigint,b:bigint>>"
+
+
+def _listed(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], _SPANS)
 
 
 def _cut(batches):
@@ -214,17 +221,18 @@ def _cut(batches):
             out.extend((w["key"], w["seg"], w["windows"], raw[w["start"] : w["start"] + w["bytes"]]) for w in wants)
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "seg", "windows", "bytes"])
+    give_back()
 
 
-def _buckets(length: int):
+def _buckets(window: int, length: int):
     """Covered ranges of the segments of whole keys; rows come ordered by key, a key is never split."""
 
     def answer(t: pa.Table) -> pa.RecordBatch:
         keys, segs = t.column("key").to_pylist(), t.column("seg").to_pylist()
-        found = covered(t.column("bytes").to_pylist(), t.column("windows").to_pylist(), keys, length)
+        found = covered(t.column("bytes").to_pylist(), t.column("windows").to_pylist(), keys, window, length)
         return pa.RecordBatch.from_arrays(
-            [pa.array([keys[k] for k in found], pa.int64()), pa.array([segs[k] for k in found], pa.int64()), pa.array([[{"a": a, "b": e} for a, e in s] for s in found.values()], _SPANS)],
-            ["key", "seg", "spans"],
+            [pa.array([keys[k] for k in found], pa.int64()), pa.array([segs[k] for k in found], pa.int64()), _listed([s for s, _ in found.values()]), _listed([s for _, s in found.values()])],
+            ["key", "seg", "spans", "long"],
         )
 
     def run(batches):
@@ -243,92 +251,134 @@ def _buckets(length: int):
             held.append(b.slice(last))
         if held:
             yield answer(pa.Table.from_batches(held))
+        give_back()
 
     return run
 
 
-def _window_hashes(length: int):
-    """(hash, segment, place) of every window of the segments of crowded keys."""
+def _window_hashes(sizes: tuple[int, int]):
+    """(size, hash, segment, place) of every window of the segments of crowded keys, at both sizes."""
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for key, seg, n, raw in zip(*(b.column(c).to_pylist() for c in ("key", "seg", "windows", "bytes")), strict=True):
-                i = np.arange(n)
                 s = prefix_hash(np.frombuffer(raw, np.uint8))
-                h = range_hash(s, i, i + length)
-                half = range_hash(s, i, i + length // 2)
-                for x, v in zip(out, (h.view(np.int64), mix64(half ^ h).view(np.int64), np.full(n, key, np.int64), np.full(n, seg, np.int64), i.astype(np.int64)), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["h1", "h2", "key", "seg", "at"])
+                for size in sizes:
+                    i = np.arange(max(0, min(n, len(raw) - size + 1)))
+                    h = range_hash(s, i, i + size)
+                    half = range_hash(s, i, i + size // 2)
+                    for x, v in zip(out, (np.full(len(i), size, np.int64), h.view(np.int64), mix64(half ^ h).view(np.int64), np.full(len(i), key, np.int64), np.full(len(i), seg, np.int64), i.astype(np.int64)), strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["size", "h1", "h2", "key", "seg", "at"])
+        give_back()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
-    """(doc, spans): byte ranges whose union is what repeated strings of ``length`` bytes cover; ids are unique."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and what tells a row: its id (one value stands for null) and a hash of its text."""
+    doc = F.col(id_col).cast("bigint")
+    return docs.select(doc.alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = PASSAGE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
+    """(doc, th, spans, long): byte ranges of a row whose union is what repeated strings of ``window`` and of ``length`` bytes cover."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    occ = scratch.write(base.mapInArrow(_occurrences(length, gram), "key bigint, seg bigint, doc bigint, start int, windows smallint, twice boolean"), "occ")
+    base = _rows(docs, id_col, text_col)
+    occ = scratch.write(base.select("doc", "text", "th").mapInArrow(_occurrences(window, length, gram), "key bigint, seg bigint, doc bigint, th bigint, start int, windows smallint, bytes int, twice boolean"), "occ")
     keys = scratch.write(occ.groupBy("key").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.bool_or("twice").alias("twice")).where("n > 1 or twice").select("key", (F.col("twice") | (F.col("lo") != F.col("hi"))).alias("mixed")), "keys")
     again = scratch.write(occ.drop("twice").join(keys, "key"), "again")
     scratch.drop(occ)
-    end = F.col("windows") + (length - 1)
-    whole = again.where("not mixed").select("doc", F.array(F.struct(F.col("start").cast("bigint").alias("a"), (F.col("start") + end).cast("bigint").alias("b"))).alias("spans"))
+    none = F.array().cast(_RANGE)
+    size = F.col("bytes").cast("bigint")
 
-    segs = again.where("mixed").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows")).alias("rep"))
+    def all_of(start):
+        """Spans of a segment whose every byte is repeated: at the size of windows, and at ``length`` where it is as long."""
+        one = F.array(F.struct(start.cast("bigint").alias("a"), (start + size).alias("b")))
+        return one.alias("spans"), F.when(size >= length, one).otherwise(none).alias("long")
+
+    whole = again.where("not mixed").select("doc", "th", *all_of(F.col("start")))
+    segs = again.where("mixed").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "start", "windows", "bytes")).alias("rep"))
     segs = scratch.write(segs.select("key", "seg", "n", "rep.*"), "segs")
     sizes = scratch.write(segs.groupBy("key").agg(F.count("*").alias("members")), "sizes")
-    wants = segs.join(sizes, "key").select("doc", F.struct("key", "seg", "start", F.col("windows").cast("int").alias("windows"), end.cast("int").alias("bytes")).alias("w"))
-    wants = scratch.write(wants.groupBy("doc").agg(F.collect_list("w").alias("wants")), "wants")
-    texts = scratch.write(base.join(wants, "doc").select("text", "wants").mapInArrow(_cut, "key bigint, seg bigint, windows int, bytes binary"), "texts")
+    wants = segs.join(sizes, "key").select("doc", "th", F.struct("key", "seg", "start", F.col("windows").cast("int").alias("windows"), "bytes").alias("w"))
+    wants = scratch.write(wants.groupBy("doc", "th").agg(F.collect_list("w").alias("wants")), "wants")
+    once = base.join(wants, ["doc", "th"]).dropDuplicates(["doc", "th"])
+    texts = scratch.write(once.select("text", "wants").mapInArrow(_cut, "key bigint, seg bigint, windows int, bytes binary"), "texts")
     usual = texts.join(sizes.where(F.col("members") <= BUCKET), "key", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = usual.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_buckets(length), "key bigint, seg bigint, spans array<struct<a:bigint,b:bigint>>")
+    spans = usual.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_buckets(window, length), f"key bigint, seg bigint, spans {_RANGE}, long {_RANGE}")
     crowded = texts.join(sizes.where(F.col("members") > BUCKET), "key", "left_semi")
-    hashes = crowded.mapInArrow(_window_hashes(length), "h1 bigint, h2 bigint, key bigint, seg bigint, at bigint")
-    hashes = scratch.write(hashes, "hashes")
-    twice = scratch.write(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "twice")
-    found = hashes.join(twice, ["h1", "h2"]).groupBy("key", "seg").agg(F.array(F.struct(F.min("at").alias("a"), (F.max("at") + length).alias("b"))).alias("spans"))
+    hashes = scratch.write(crowded.mapInArrow(_window_hashes((window, length)), "size bigint, h1 bigint, h2 bigint, key bigint, seg bigint, at bigint"), "hashes")
+    twice = scratch.write(hashes.groupBy("size", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("size", "h1", "h2"), "twice")
+    # the windows of a segment overlap, so those that repeat cover one range
+    reach = lambda n: F.when(F.min(F.when(F.col("size") == n, F.col("at"))).isNotNull(), F.array(F.struct(F.min(F.when(F.col("size") == n, F.col("at"))).alias("a"), (F.max(F.when(F.col("size") == n, F.col("at"))) + n).alias("b")))).otherwise(none)
+    found = hashes.join(twice, ["size", "h1", "h2"]).groupBy("key", "seg").agg(reach(window).alias("spans"), reach(length).alias("long"))
     # a segment with several occurrences is covered as a whole
     cover = scratch.write(
-        spans.unionByName(found).where(F.size("spans") > 0).select("key", "seg", "spans")
-        .unionByName(segs.where("n > 1").select("key", "seg", F.array(F.struct(F.lit(0).cast("bigint").alias("a"), end.cast("bigint").alias("b"))).alias("spans"))),
+        spans.unionByName(found).where(F.size("spans") > 0).select("key", "seg", "spans", "long")
+        .unionByName(segs.where("n > 1").select("key", "seg", *all_of(F.lit(0)))),
         "cover",
     )
     scratch.drop(texts, hashes, twice, segs, sizes, wants)
     move = lambda s: F.struct((F.col("start") + s.a).alias("a"), (F.col("start") + s.b).alias("b"))
-    part = again.where("mixed").join(cover, ["key", "seg"]).select("doc", F.transform("spans", move).alias("spans"))
+    part = again.where("mixed").join(cover, ["key", "seg"]).select("doc", "th", F.transform("spans", move).alias("spans"), F.transform("long", move).alias("long"))
     return whole.unionByName(part), scratch
 
 
+def passages(raw: bytes, runs: list[tuple[int, int]], words: int = WORDS) -> list[tuple[int, int, int]]:
+    """(first byte, end, words) of the runs that hold ``words`` whole words or more."""
+    if not runs:
+        return []
+    first, last = word_bounds(np.frombuffer(raw, np.uint8))
+    out = []
+    for a, b in runs:
+        n = int(np.searchsorted(last, b, "right") - np.searchsorted(first, a, "left"))
+        if n >= words:
+            out.append((a, b, n))
+    return out
+
+
+_PASSAGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("words", pa.int64())]))
+
+
 def _digest(batches):
     for b in batches:
-        cols = {n: b.column(n) for n in ("doc", "text", "spans")}
         rows = []
-        for text, spans in zip(cols["text"], cols["spans"].to_pylist(), strict=True):
+        for text, every, long in zip(b.column("text"), b.column("spans").to_pylist(), b.column("long").to_pylist(), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            runs = join_ranges([(s["a"], s["b"]) for s in spans or ()])
+            runs = join_ranges([(s["a"], s["b"]) for s in long or ()])
             kept, at = [], 0
             for a, e in runs:
                 kept.append(raw[at:a])
                 at = e
             kept.append(raw[at:])
-            rows.append((len(raw), sum(e - a for a, e in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest(), [{"a": a, "b": e} for a, e in runs]))
-        n, gone, k, sha, spans = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-        yield pa.RecordBatch.from_arrays([cols["doc"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, _SPANS)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed).
-
-    Matches are judged on the input as UTF-8 bytes and never cross documents; a null text counts as
-    empty. Texts shorter than ``length`` lose nothing. All copies of a repeated string are removed,
-    the first included. An empty table gives an empty result. Ids are taken as unique.
+            found = passages(raw, join_ranges([(s["a"], s["b"]) for s in every or ()]))
+            rows.append((
+                len(raw), sum(e - a for a, e in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest(), len(found), sum(n for *_, n in found),
+                [{"a": a, "b": e} for a, e in runs], [{"a": a, "b": e, "words": n} for a, e, n in found],
+            ))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), _SPANS, _PASSAGES]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words", "spans", "passages"])
+    give_back()
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = PASSAGE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words, spans, passages.
+
+    spans are the byte ranges removed: what strings of ``length`` bytes that also start elsewhere cover.
+    passages are the runs covered by repeated strings of ``window`` bytes that hold more than 50 words;
+    they are reported, not removed. Matches are judged on the input as UTF-8 bytes and never cross rows;
+    a null text counts as empty. Texts shorter than ``window`` have no repeats; very long ones are taken
+    whole. All copies of a repeated string are removed, the first included. Rows are told by id and text:
+    rows of one id are documents of their own, and equal rows are repeats of each other. Null ids are
+    kept. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
-    spans, scratch = repeated_spans(docs, length, gram, id_col, text_col)
-    per = scratch.write(spans.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    return base.join(per, "doc", "left").mapInArrow(_digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<a:bigint,b:bigint>>")
+    spans, scratch = repeated_spans(docs, length, window, gram, id_col, text_col)
+    per = scratch.write(spans.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("long")).alias("long")), "spans")
+    got = _rows(docs, id_col, text_col).join(per, ["doc", "th"], "left").select("doc_id", "text", "spans", "long")
+    return got.mapInArrow(_digest, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_words bigint, spans {_RANGE}, passages array<struct<a:bigint,b:bigint,words:bigint>>")

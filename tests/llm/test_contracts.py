@@ -61,6 +61,18 @@ def test_suffix_dedup_crowded_key(spark, monkeypatch):
     assert table(suffix_dedup.remove_repeats(spark.createDataFrame(some, "doc_id long, text string")), ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.repeats(some)
 
 
+def test_suffix_dedup_passages_and_repeated_ids(spark):
+    """A passage of 52 words below 400 bytes is reported and kept; rows of one id are documents of their own."""
+    passage = " ".join(f"word{k:02d}" for k in range(52))
+    assert 256 < len(passage) < 400
+    own = lambda k: " ".join(f"o{k}x{i}" for i in range(200))
+    some = [(1, f"{own(1)} {passage} {own(2)}"), (2, f"{own(3)} {passage}"), (3, own(4)), (3, LONG[:450] + own(5)), (4, own(6) + LONG[:450]), (None, own(7)), (5, own(8)), (5, own(8))]
+    got = sorted((r.doc_id or 0, r.n_removed, r.n_passages, [x.words for x in r.passages]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(some, "doc_id long, text string")).collect())
+    n = len(own(8))
+    assert [g[:2] for g in got] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 450), (4, 450), (5, n), (5, n)]
+    assert [g[3] for g in got[:4]] == [[], [52], [52], []] and all(g[2] == 1 for g in got[4:])
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"xabcabcy", b"zabcabcw"]
     found = suffix_dedup.maximal_repeats(texts, [6, 6], 3)
