@@ -1,8 +1,9 @@
 """Quality rules: a learned decision list over text statistics, applied as one Spark expression.
 
-The statistics are column expressions. The list is learned by sequential covering: a conjunction of
-thresholds grows by information gain on two thirds of the labelled sample, is pruned on the rest, and
-the rows it covers leave before the next one grows.
+The statistics are column expressions. The list is learned by sequential covering from the labelled rows
+that the base rules let pass: a conjunction of thresholds grows by information gain on two thirds of
+them, is pruned on the rest, and the rows it covers leave before the next one grows. A rule that does
+not hold on the rest bars its first test, and the next best is tried.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from .common import SPACE, let
 
 #: Labelled rows that a list is learned from at most (those of the least hashes).
 MAX_LABELS = 20_000
-#: A rule is taken if so many of the pruning rows it covers are of low quality.
+#: A rule is taken if this share of the rows it covers is of low quality, on the pruning rows and on all.
 MIN_PRECISION = 0.9
+#: Rows that a rule covers at least, and failed rules after which learning ends.
+MIN_COVER, MAX_FAILED = 5, 12
 _BLANK = r"[\x20\x09-\x0D]"
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "long_line_share", "upper_share", "digit_share")
 
@@ -111,62 +114,76 @@ def _cover(x: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
     return m
 
 
+def _grow(x: np.ndarray, bad: np.ndarray, g: np.ndarray, barred: set, max_tests: int) -> list[tuple[int, str, float]]:
+    """The conjunction of best information gain on the rows ``g``; its first test is none of ``barred``."""
+    rule: list[tuple[int, str, float]] = []
+    inside = g.copy()
+    while len(rule) < max_tests:
+        pos, n = (bad & inside).sum(), inside.sum()
+        if not pos or pos == n:
+            break
+        base, best = np.log2(pos / n), (0.0, None)
+        for j in range(x.shape[1]):
+            v, lost = x[inside, j], bad[inside]
+            cuts = np.unique(np.concatenate([np.quantile(v, np.linspace(0.01, 0.99, 60)), np.quantile(v[lost], np.linspace(0, 1, 20))]))
+            for q in cuts:
+                for op in ("<=", ">"):
+                    if not rule and (j, op) in barred:
+                        continue
+                    m = v <= q if op == "<=" else v > q
+                    k, b = m.sum(), (lost & m).sum()
+                    if k >= 3 and b:
+                        gain = b * (np.log2(b / k) - base)
+                        if gain > best[0] + 1e-9:
+                            above = v[v > q]
+                            best = (gain, (j, op, float(q if not len(above) else (q + above.min()) / 2)))
+        if best[1] is None:
+            break
+        rule.append(best[1])
+        inside = g & _cover(x, rule)
+    return rule
+
+
+def _tightest(rule: list[tuple[int, str, float]]) -> list[tuple[int, str, float]]:
+    """Of several bounds of one kind on a feature the one that covers least."""
+    bound: dict[tuple[int, str], float] = {}
+    for j, op, v in rule:
+        bound[j, op] = v if (j, op) not in bound else min(bound[j, op], v) if op == "<=" else max(bound[j, op], v)
+    return [(j, op, v) for (j, op), v in bound.items()]
+
+
 def learn(x: np.ndarray, bad: np.ndarray, names: tuple = FEATURES, min_precision: float = MIN_PRECISION, max_rules: int = 12, max_tests: int = 3) -> DecisionList:
     """Sequential covering on rows ``x`` with ``bad`` true for low quality."""
     out = DecisionList()
-    order = np.arange(len(x))
-    grow_set, left = order % 3 != 0, np.ones(len(x), bool)
-    for _ in range(max_rules):
+    grow_set, left = np.arange(len(x)) % 3 != 0, np.ones(len(x), bool)
+    barred: set[tuple[int, str]] = set()
+
+    def share(rows: np.ndarray) -> float:
+        return bad[rows].mean() if rows.any() else 0.0
+
+    while len(out.rules) < max_rules and len(barred) < MAX_FAILED:
         g, p = left & grow_set, left & ~grow_set
-        if (bad & g).sum() < 5:
-            break
-        rule: list[tuple[int, str, float]] = []
-        inside = g.copy()
-        while len(rule) < max_tests:
-            pos, n = (bad & inside).sum(), inside.sum()
-            if pos == n:
-                break
-            base, best = np.log2(max(pos, 1e-9) / n), (0.0, None)
-            for j in range(x.shape[1]):
-                v = x[inside, j]
-                for q in np.unique(np.quantile(v, np.linspace(0.01, 0.99, 60))):
-                    for op in ("<=", ">"):
-                        m = v <= q if op == "<=" else v > q
-                        k = m.sum()
-                        b = (bad[inside] & m).sum()
-                        if k >= 5 and b:
-                            gain = b * (np.log2(b / k) - base)
-                            if gain > best[0] + 1e-9:
-                                above = v[v > q]
-                                best = (gain, (j, op, float(q if not len(above) else (q + above.min()) / 2)))
-            if best[1] is None:
-                break
-            rule.append(best[1])
-            inside = g & _cover(x, rule)
+        rule = _grow(x, bad, g, barred, max_tests)
         if not rule:
             break
-
-        def worth(r):
-            m = p & _cover(x, r)
-            b, n = (bad & m).sum(), m.sum()
-            return (b - (n - b)) / max(n, 1) if n else -1.0  # noqa: B023
-
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+        while len(rule) > 1 and share(p & _cover(x, rule[:-1])) >= share(p & _cover(x, rule)):
             rule = rule[:-1]
-        m = p & _cover(x, rule)
-        if m.sum() < 3 or (bad & m).sum() < min_precision * m.sum():
-            break
-        out.rules.append([(names[j], op, v) for j, op, v in rule])
-        left &= ~_cover(x, rule)
+        m = left & _cover(x, rule)
+        if m.sum() < MIN_COVER or min(share(m), share(m & ~grow_set)) < min_precision:
+            barred.add(rule[0][:2])
+            continue
+        out.rules.append([(names[j], op, v) for j, op, v in _tightest(rule)])
+        left &= ~m
+        barred.clear()
     return out
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DecisionList:
-    """A list from labels (doc_id, quality 0/1) of ``docs``; without usable labels it keeps all."""
+    """A list from labels (doc_id, quality 0/1) of ``docs`` that the base rules keep; without usable labels it keeps all."""
     some = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(max_labels)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
-    table = statistics(rows, keep=("quality",)).select("doc_id", "quality", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "quality").toPandas()
+    table = statistics(rows, keep=("quality",)).where(~base_failed()).select("doc_id", "quality", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "quality").toPandas()
     if not len(table) or table.quality.nunique() < 2:
         return DecisionList()
     return learn(table[list(FEATURES)].to_numpy(float), (table.quality == 0).to_numpy())
@@ -177,13 +194,18 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, statistics, base_failed, kept. Null and wordless texts fail the base rules."""
+    """Per row: doc_id, statistics, base_failed, kept.
+
+    Null and wordless texts fail the base rules. Repeated rows give repeated results, an empty table an
+    empty one; very long texts are judged whole. Labels of unknown or null ids are left out, and several
+    labels of one id are several rows to learn from. Other columns, whatever their names, are ignored.
+    """
     rules = learn_from(docs, labels)
     return statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.verdict())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, columns as they are."""
+    """The rows of ``docs`` that pass, columns as they are; see ``judge`` for nulls, ties and empty tables."""
     rules = learn_from(docs, labels)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
     return statistics(whole, keep=("row",)).where(~base_failed() & rules.verdict()).select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from signalkiln.llm import decontaminate, html_extract, lang_id, line_dedup, lm_score, near_dup, pii, queries, quality_rules, sp_codec, suffix_dedup
 
@@ -176,6 +177,18 @@ def test_quality_rules(spark, docs, rows, small, sf_dir, none):
     assert quality_rules.keep_good(docs, empty).columns == docs.columns
 
 
+def test_quality_rules_decide_on_held_back_labels(spark):
+    """A list learned from half of the labels rejects the bad rows of the other half that the base rules keep, and few good ones."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality_rules.learn_from(docs, labels.where("doc_id % 2 = 0"))
+    assert rules.rules and quality_rules.learn_from(docs, labels).rules
+    got = quality_rules.statistics(docs.join(labels.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "l"), F.col("doc_id") == F.col("l")), keep=("quality",))
+    got = got.where(~quality_rules.base_failed()).withColumn("kept", rules.verdict()).select("quality", "kept").collect()
+    bad, good = [r.kept for r in got if r.quality == 0], [r.kept for r in got if r.quality == 1]
+    assert len(bad) > 5 and sum(bad) <= 0.2 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 def test_decision_list_learns_thresholds():
     import numpy as np
 
