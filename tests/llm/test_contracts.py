@@ -88,10 +88,22 @@ def test_line_dedup(spark, docs, rows, small, sf_dir, none):
     assert line_dedup.keep_bitmaps(none).count() == 0
     got = {r.doc_id: r.keep_runs for r in line_dedup.keep_bitmaps(docs).collect()}
     assert got[10] == [1, 1, 1, 1] and got[15] == [4] and got[0] == [1]
+    assert got[11] == [1, 1, 1, 1] and got[31] == [6]
     kept = {r.doc_id: r for r in line_dedup.drop_lines(docs).collect()}
     assert kept[10].text == "head 0\nend 0" and kept[10].n_chars == 12 and kept[0].text is None and kept[10].key == "k"
 
 
+def test_line_dedup_hot_line_and_clashing_columns(spark, monkeypatch):
+    """A line of many documents is dealt to several salted ranges; the first line falls; columns of any name come back."""
+    monkeypatch.setattr(line_dedup, "RANGE_LINES", 4)
+    rows = [(i, f"{LINE}\nown line {i}\n{LINE}", "d", "w") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string, words string")
+    got = {r.doc_id: r for r in line_dedup.keep_bitmaps(docs).collect()}
+    assert all(got[i].keep_runs == [0, 1, 1, 1] and got[i].kept_text == f"own line {i}" for i in range(29)) and got[29].keep_runs == [3]
+    kept = line_dedup.drop_lines(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 3").first() == (3, "own line 3", "d", "w")
+
+
 def test_sentencepiece(spark, docs, rows, none):
     import sentencepiece
 
