@@ -292,6 +292,49 @@ def test_exchange_clustering_finds_classes():
     assert len(set(cls[:3])) == 1 and len(set(cls[3:6])) == 1 and cls[0] != cls[3]
 
 
+def test_exchange_ends_where_no_move_helps():
+    """The likelihood of the class bigrams after clustering is no less than that of random classes, and no single move raises it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = rng.poisson(np.outer(*rng.random((2, 24))) * 20).astype(float)
+
+    def fit(cls):
+        g = np.zeros((6, 6))
+        np.add.at(g, (cls[:, None].repeat(24, 1), cls[None, :].repeat(24, 0)), m)
+        size = np.bincount(cls, weights=m.sum(axis=0), minlength=6)
+        x = lambda v: (v * np.log(np.maximum(v, 1))).sum()
+        return x(g) - 2 * x(size)
+
+    cls = lm_score.exchange(m, 5, 1, least=0.0)
+    best = fit(cls)
+    for w in range(23):
+        for c in range(5):
+            other = cls.copy()
+            other[w] = c
+            assert fit(other) <= best + 1e-6
+
+
+def test_lm_emissions_of_a_class_sum_to_one(spark, sf_dir):
+    import numpy as np
+
+    frequent = [("the", 50), ("of", 30), ("house", 7), ("mouse", 5)]
+    et, ew = np.zeros(lm_score.ENDINGS, int), np.zeros(lm_score.ENDINGS, int)
+    for w, c in [*frequent, ("louse", 2)]:
+        et[lm_score.ending(w.encode())] += c
+        ew[lm_score.ending(w.encode())] += 1
+    size = lm_score.Symbols([b"the", b"of"]).size
+    m = np.zeros((size, size))
+    m[0, 1] = m[1, size - 1] = m[size - 1, 0] = 30
+    s = lm_score.Scorer(frequent, m, et, ew, 100, 6, 6)
+    k = s.word_class
+    every = {"the": (51, k[0]), "of": (31, k[1]), "house": (8, k[2]), "mouse": (6, k[3]), "louse": (3, s.of_ending[lm_score.ending(b"louse")])}
+    for cls in {int(c) for _, c in every.values()}:
+        unseen = 1
+        assert abs(sum(n for n, c in every.values() if c == cls) + unseen - 10 ** s.log_mass[cls]) < 1e-6
+    assert np.allclose((10**s.log_a).sum(axis=1), 1)
+
+
 def test_pii(spark, docs, rows, small, sf_dir, none):
     cols = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     got = pii.find(docs)
