@@ -7,8 +7,9 @@ after one counting shuffle of small rows. Segments that are equal are one class;
 key but differ are compared in an enhanced suffix array of that key, whose LCP intervals are found by a
 stack scan and kept where their left extensions differ. One array serves both questions: which bytes lie
 in a repeat of ``length`` bytes (they are removed), and which passages of more than ``WORDS`` words repeat.
-A key with more than ``BUCKET`` different segments is a bucket too large for one task; its windows are
-counted by hash instead, which is exact as well and gathers no group.
+A key with more than ``BUCKET`` different segments is dealt to several arrays. What repeats inside one of
+them is found there; each then sends one row for every different window, and counting their hashes finds
+what repeats between arrays.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ LENGTH, GRAM = 400, 128
 PASSAGE, WORDS = 256, 51
 #: A run of equal least grams (a periodic text) is cut after so many windows.
 RUN = 256
-#: Different segments of one key that are sorted in one suffix array; beyond it, window hashes are counted.
-BUCKET = 256
+#: Different segments of one key that are sorted in one suffix array, about; a larger key is dealt to several.
+BUCKET = 1024
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -224,53 +225,63 @@ def _cut(batches):
     give_back()
 
 
-def _buckets(window: int, length: int):
-    """Covered ranges of the segments of whole keys; rows come ordered by key, a key is never split."""
-
-    def answer(t: pa.Table) -> pa.RecordBatch:
-        keys, segs = t.column("key").to_pylist(), t.column("seg").to_pylist()
-        found = covered(t.column("bytes").to_pylist(), t.column("windows").to_pylist(), keys, window, length)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([keys[k] for k in found], pa.int64()), pa.array([segs[k] for k in found], pa.int64()), _listed([s for s, _ in found.values()]), _listed([s for _, s in found.values()])],
-            ["key", "seg", "spans", "long"],
-        )
+def window_rows(texts: list[bytes], windows: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each different window of ``size`` bytes of the segments: two hashes, a segment and place that has it, and if only that has it."""
+    sizes = np.array([len(t) for t in texts])
+    count = np.clip(np.minimum(np.array(windows), sizes - size + 1), 0, None)
+    offset = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = offset[text] + place
+    s = prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
+    h = range_hash(s, at, at + size)
+    _, first, times = np.unique(h, return_index=True, return_counts=True)
+    h, at = h[first], at[first]
+    return h, mix64(range_hash(s, at, at + size // 2) ^ h), text[first], place[first], times == 1
+
+
+_ARRAY_ROWS = f"key bigint, seg bigint, spans {_RANGE}, long {_RANGE}, size bigint, h1 bigint, h2 bigint, at bigint, once boolean"
+
+
+def _arrays(window: int, length: int):
+    """Two kinds of rows: the covered ranges of segments, and of dealt keys their different windows. Rows come ordered by array; one is never split."""
+    kinds = [pa.int64(), pa.int64(), _SPANS, _SPANS, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["key", "seg", "spans", "long", "size", "h1", "h2", "at", "once"]
+
+    def batch(*cols) -> pa.RecordBatch:
+        n = len(next(c for c in cols if c is not None))
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    def answer(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, segs = t.column("key").to_numpy(), t.column("seg").to_numpy()
+        texts, windows, groups, dealt = (t.column(c).to_pylist() for c in ("bytes", "windows", "array", "dealt"))
+        found = covered(texts, windows, groups, window, length)
+        at = np.array(list(found), np.int64)
+        yield batch(keys[at], segs[at], _listed([s for s, _ in found.values()]), _listed([s for _, s in found.values()]), None, None, None, None, None)
+        some = [i for i, d in enumerate(dealt) if d]
+        first = [k for k, i in enumerate(some) if not k or groups[i] != groups[some[k - 1]]]
+        for a, b in zip(first, [*first[1:], len(some)], strict=False):  # nothing where no key is dealt
+            own = np.array(some[a:b])
+            for size in (window, length):
+                h1, h2, text, place, once = window_rows([texts[i] for i in own], [windows[i] for i in own], size)
+                yield batch(keys[own[text]], segs[own[text]], None, None, np.full(len(h1), size), h1.view(np.int64), h2.view(np.int64), place, once)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = b.column("key").to_numpy(zero_copy_only=False)
+            keys = b.column("array").to_numpy(zero_copy_only=False)
             last = int(np.searchsorted(keys, keys[-1], "left"))
             if last:
-                yield answer(pa.Table.from_batches([*held, b.slice(0, last)]))
+                yield from answer(pa.Table.from_batches([*held, b.slice(0, last)]))
                 held = []
-            elif held and held[-1].column("key")[0].as_py() != keys[0]:
-                yield answer(pa.Table.from_batches(held))
+            elif held and held[-1].column("array")[0].as_py() != keys[0]:
+                yield from answer(pa.Table.from_batches(held))
                 held = []
             held.append(b.slice(last))
         if held:
-            yield answer(pa.Table.from_batches(held))
-        give_back()
-
-    return run
-
-
-def _window_hashes(sizes: tuple[int, int]):
-    """(size, hash, segment, place) of every window of the segments of crowded keys, at both sizes."""
-
-    def run(batches):
-        for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for key, seg, n, raw in zip(*(b.column(c).to_pylist() for c in ("key", "seg", "windows", "bytes")), strict=True):
-                s = prefix_hash(np.frombuffer(raw, np.uint8))
-                for size in sizes:
-                    i = np.arange(max(0, min(n, len(raw) - size + 1)))
-                    h = range_hash(s, i, i + size)
-                    half = range_hash(s, i, i + size // 2)
-                    for x, v in zip(out, (np.full(len(i), size, np.int64), h.view(np.int64), mix64(half ^ h).view(np.int64), np.full(len(i), key, np.int64), np.full(len(i), seg, np.int64), i.astype(np.int64)), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["size", "h1", "h2", "key", "seg", "at"])
+            yield from answer(pa.Table.from_batches(held))
         give_back()
 
     return run
@@ -308,22 +319,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = PASSAGE,
     wants = scratch.write(wants.groupBy("doc", "th").agg(F.collect_list("w").alias("wants")), "wants")
     once = base.join(wants, ["doc", "th"]).dropDuplicates(["doc", "th"])
     texts = scratch.write(once.select("text", "wants").mapInArrow(_cut, "key bigint, seg bigint, windows int, bytes binary"), "texts")
-    usual = texts.join(sizes.where(F.col("members") <= BUCKET), "key", "left_semi")
+    deal = F.ceil(F.col("members") / BUCKET)
+    dealt = texts.join(sizes, "key").withColumn("dealt", deal > 1).withColumn("array", F.when(deal > 1, F.xxhash64("key", F.pmod("seg", deal))).otherwise(F.col("key")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = usual.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_buckets(window, length), f"key bigint, seg bigint, spans {_RANGE}, long {_RANGE}")
-    crowded = texts.join(sizes.where(F.col("members") > BUCKET), "key", "left_semi")
-    hashes = scratch.write(crowded.mapInArrow(_window_hashes((window, length)), "size bigint, h1 bigint, h2 bigint, key bigint, seg bigint, at bigint"), "hashes")
-    twice = scratch.write(hashes.groupBy("size", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("size", "h1", "h2"), "twice")
-    # the windows of a segment overlap, so those that repeat cover one range
-    reach = lambda n: F.when(F.min(F.when(F.col("size") == n, F.col("at"))).isNotNull(), F.array(F.struct(F.min(F.when(F.col("size") == n, F.col("at"))).alias("a"), (F.max(F.when(F.col("size") == n, F.col("at"))) + n).alias("b")))).otherwise(none)
-    found = hashes.join(twice, ["size", "h1", "h2"]).groupBy("key", "seg").agg(reach(window).alias("spans"), reach(length).alias("long"))
+    solved = scratch.write(dealt.drop("members").repartition(parts, "array").sortWithinPartitions("array").mapInArrow(_arrays(window, length), _ARRAY_ROWS), "solved")
+    twice = solved.where("size is not null").groupBy("size", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("size", "h1", "h2")
+    # of a segment's windows any two overlap, so those that repeat cover one range
+    at = lambda n: F.when(F.col("size") == n, F.col("at"))
+    reach = lambda n: F.when(F.min(at(n)).isNotNull(), F.array(F.struct(F.min(at(n)).alias("a"), (F.max(at(n)) + n).alias("b")))).otherwise(none)
+    found = solved.where("once").select("size", "h1", "h2", "key", "seg", "at").join(twice, ["size", "h1", "h2"]).groupBy("key", "seg").agg(reach(window).alias("spans"), reach(length).alias("long"))
+    spans = solved.where("size is null").select("key", "seg", "spans", "long")
     # a segment with several occurrences is covered as a whole
     cover = scratch.write(
         spans.unionByName(found).where(F.size("spans") > 0).select("key", "seg", "spans", "long")
         .unionByName(segs.where("n > 1").select("key", "seg", *all_of(F.lit(0)))),
         "cover",
     )
-    scratch.drop(texts, hashes, twice, segs, sizes, wants)
+    scratch.drop(texts, solved, segs, sizes, wants)
     move = lambda s: F.struct((F.col("start") + s.a).alias("a"), (F.col("start") + s.b).alias("b"))
     part = again.where("mixed").join(cover, ["key", "seg"]).select("doc", "th", F.transform("spans", move).alias("spans"), F.transform("long", move).alias("long"))
     return whole.unionByName(part), scratch

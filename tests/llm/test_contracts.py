@@ -57,7 +57,7 @@ def test_suffix_dedup(spark, docs, rows, small, sf_dir, none):
 
 def test_suffix_dedup_crowded_key(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET", 3)
-    core = LONG[:500]
+    core = LONG[:500]  # some repeats are in one array, others between arrays
     some = [(i, f"{'p' * i}{core}{'q' * (i * 7 % 11)} {i}") for i in range(12)]
     assert table(suffix_dedup.remove_repeats(spark.createDataFrame(some, "doc_id long, text string")), ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == brute.repeats(some)
 
