@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import tempfile
 import uuid
 
 import numpy as np
@@ -22,8 +23,13 @@ BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset in local mode a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"{tempfile.gettempdir()}/checkpoints"
+    return found.rstrip("/")
 
 
 class Scratch:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, give_back, small_batches
 
 MIN_SCORE = 0.6
 #: Items handled in one pass over the documents; more items take more passes.
@@ -153,10 +153,11 @@ def align(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int, int]]
     return out
 
 
-def _scan(items: Items):
+def _scan(shared):
     """Two kinds of rows: (gram, n), a task's counts of the items' grams, and (doc_id, words) of the documents that have enough of them."""
 
     def run(batches):
+        items = shared.value
         total = np.zeros(len(items.all), np.int64)
         names, words = ["gram", "n", "doc_id", "words"], pa.list_(pa.int32())
         for b in batches:
@@ -173,12 +174,14 @@ def _scan(items: Items):
             yield pa.RecordBatch.from_arrays([none, none, b.column(0).take(pa.array(some, pa.int64())), pa.array(held, words)], names)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), words)], names)
+        give_back()
 
     return run
 
 
-def _align(items: Items):
+def _align(shared):
     def run(batches):
+        items = shared.value
         for b in batches:
             rows = []
             for doc, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -186,6 +189,7 @@ def _align(items: Items):
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
+        give_back()
 
     return run
 
@@ -196,7 +200,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     score is the alignment score as a share of an unedited copy's. Null and empty texts and items hold
     nothing. The benchmark is read in blocks of ``BLOCK`` items, so what is broadcast is bounded;
     every document is searched for every item; the first pass counts the items' grams and sets aside, as word
-    codes, the documents that hold enough of them. Repeated rows give repeated results.
+    codes, the documents that hold enough of them. Repeated rows give repeated results, an empty table gives an
+    empty one. Very long texts are searched whole; of an item's several places the best, of ties the first, is
+    reported. Other columns, whatever their names, are ignored.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "items")
@@ -210,17 +216,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
         items = Items([(r.item_id, r.text) for r in part.select("item_id", "text").collect()], min_score)
         if not items.ids:
             continue
-        scanned = scratch.write(base.mapInArrow(_scan(items), "gram bigint, n bigint, doc_id bigint, words array<int>"), "scanned")
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        scanned = scratch.write(base.mapInArrow(_scan(shared), "gram bigint, n bigint, doc_id bigint, words array<int>"), "scanned")
         counts = np.zeros(len(items.all), np.int64)
         for r in scanned.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             counts[r.gram] = r.n
         items.choose(counts)
-        found = scanned.where("words is not null").select("doc_id", "words").mapInArrow(_align(items), kind)
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # with its seeds
+        found = scanned.where("words is not null").select("doc_id", "words").mapInArrow(_align(shared), kind)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], kind) if out is None else out
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` that hold no item, columns as they are."""
+    """The rows of ``docs`` that hold no item, columns as they are; rows without an id stay."""
     gone = Scratch(docs.sparkSession, "leaks").write(find_leaks(docs, benchmark, min_score).select("doc_id").distinct(), "leaks")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -18,11 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, give_back, small_batches
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _CLASS = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "noframes", "math", "canvas", "object"}
+#: Elements whose content is no text of the page; noscript counts as one outside an article only.
+RAW = {"script", "style", "template", "textarea", "title", "iframe", "svg", "noframes"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCK = set("html head body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address form fieldset nav header footer aside details summary center hgroup dialog menu hr".split())
 JUNK = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "fieldset"}
@@ -87,12 +88,12 @@ def slots(page: str | None) -> list[tuple[str, bool, bool, str]]:
                 if stack[i][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                     break
             continue
-        if name in RAW:
+        if name in RAW or (name == "noscript" and not any(x[3] for x in stack)):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if not attrs.rstrip().endswith("/"):
                 at = end.end() if end else n
             if name != "title":
-                parts.append(" " if name in ("svg", "canvas") else "")
+                parts.append(" " if name == "svg" else "")
             continue
         if name in VOID:
             if name in ("hr",):
@@ -116,7 +117,7 @@ def slots(page: str | None) -> list[tuple[str, bool, bool, str]]:
         is_main = name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attrs))
         label = name
         if name in BLOCK and (c := _CLASS.search(attrs)):
-            label += "." + re.sub(r"\d+", "0", (c[1] or c[2] or c[3] or "").lower())[:40]
+            label += "." + re.sub(r"\d+", "0", (c[1] or c[2] or c[3] or "").lower())
         if not attrs.rstrip().endswith("/") or name in BLOCK:
             stack.append((name, label, junk, is_main))
     flush()
@@ -269,6 +270,7 @@ def _extract(batches):
     for b in batches:
         text = [main_text(h.as_py(), w or "", frozenset(f or ()), match) for h, w, f in zip(b.column("html"), b.column("wrapper").to_pylist(), b.column("template").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    give_back()
 
 
 #: Bytes of wrappers that are broadcast at most; more are joined by host.
@@ -283,7 +285,8 @@ def with_wrapper(rows: DataFrame, found: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars. A null or empty page, or one without main text, gives ''.
 
-    A null url has the host ''. Repeated rows give repeated results, an empty table an empty one.
+    A null url has the host ''. Repeated rows give repeated results, an empty table an empty one. Very long
+    pages are read whole. Other columns, whatever their names, are ignored.
     """
     small_batches(pages.sparkSession, 500)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))

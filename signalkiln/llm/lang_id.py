@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches
+from .common import give_back, mix64, small_batches
 
 BUCKETS = 1 << 16
 PENALTY = 8.0
@@ -26,7 +26,7 @@ _letters: list[np.ndarray] = []
 
 def _is_letter() -> np.ndarray:
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -40,7 +40,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     alpha = _is_letter()
-    ok = np.where(code < len(alpha), alpha[np.minimum(code, len(alpha) - 1)], False)
+    ok = alpha[code]
     at = np.flatnonzero(ok)
     if not len(at):
         return np.zeros((0, 2), np.int64), none, none, none, none
@@ -83,8 +83,28 @@ class Model:
         return np.add.reduceat(s, first, axis=0) + self.script_cost[script]
 
 
+#: Cells of back pointers or of start-by-end tables that are held at once.
+_CELLS = 4 << 20
+
+
+def _steps(v: np.ndarray, x: np.ndarray, penalty: float, back: np.ndarray | None = None) -> np.ndarray:
+    """Best scores by the last label, ``STEP`` words on; ``back`` gets each word's label before."""
+    own = np.arange(v.shape[-1], dtype=np.uint16)
+    for t in range(STEP):
+        best = v.max(axis=-1, keepdims=True) - penalty
+        if back is not None:
+            back[t] = np.where(v >= best, own, v.argmax(axis=-1).astype(np.uint16)[..., None])
+        v = np.maximum(v, best) + (x[:, t, None, :] if v.ndim == 3 else x[:, t])
+    return v
+
+
 def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray]:
-    """Best label paths of several texts. Steps run over all pieces of ``STEP`` words at once, from every start label."""
+    """Best label paths of several texts.
+
+    Steps run over all pieces of ``STEP`` words at once. A first pass finds each piece's best score from
+    every start label to every end label; joined over the pieces of a text they tell each piece's start,
+    and a second pass from there keeps the labels. Both passes go by blocks of pieces.
+    """
     langs = scores[0].shape[1]
     pieces = [-(-len(x) // STEP) for x in scores]
     x = np.zeros((sum(pieces), STEP, langs), np.float32)
@@ -93,14 +113,12 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarr
         x[at : at + k].reshape(-1, langs)[: len(s)] = s
         at += k
     n = len(x)
-    v = np.full((n, langs, langs), -np.inf, np.float32)
-    v[:, np.arange(langs), np.arange(langs)] = 0
-    back = np.zeros((STEP, n, langs, langs), np.uint8)
-    own = np.arange(langs, dtype=np.uint8)[None, None, :]
-    for t in range(STEP):
-        best = v.max(axis=2, keepdims=True) - penalty
-        back[t] = np.where(v >= best, own, v.argmax(axis=2).astype(np.uint8)[:, :, None])
-        v = np.maximum(v, best) + x[:, t, None, :]
+    v = np.empty((n, langs, langs), np.float32)
+    block = max(1, _CELLS // (langs * langs))
+    for i in range(0, n, block):
+        begin = np.full((min(block, n - i), langs, langs), -np.inf, np.float32)
+        begin[:, np.arange(langs), np.arange(langs)] = 0
+        v[i : i + block] = _steps(begin, x[i : i + block], penalty)
     ends, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = 0
     for k in pieces:
@@ -114,10 +132,18 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarr
             ends[c] = state
             starts[c] = state = int(froms[c - at][state])
         at += k
-    path, rows, state = np.zeros((n, STEP), np.uint8), np.arange(n), ends.copy()
-    for t in range(STEP - 1, -1, -1):
-        path[:, t] = state
-        state = back[t, rows, starts, state]
+    path = np.zeros((n, STEP), np.uint16)
+    block = max(1, _CELLS // (langs * STEP))
+    for i in range(0, n, block):
+        m = min(block, n - i)
+        begin = np.full((m, langs), -np.inf, np.float32)
+        begin[np.arange(m), starts[i : i + m]] = 0
+        back = np.zeros((STEP, m, langs), np.uint16)
+        _steps(begin, x[i : i + m], penalty, back)
+        state = ends[i : i + m].copy()
+        for t in range(STEP - 1, -1, -1):
+            path[i : i + m, t] = state
+            state = back[t, np.arange(m), state]
     out, at = [], 0
     for s, k in zip(scores, pieces, strict=True):
         out.append(path[at : at + k].ravel()[: len(s)])
@@ -177,6 +203,7 @@ def _predict(model: Model, penalty: float):
                     [part.column(0), part.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], _SPANS)],
                     ["doc_id", "held_out", "lang_pred", "score", "spans"],
                 )
+        give_back()
 
     return run
 
@@ -186,7 +213,8 @@ def identify(docs: DataFrame, penalty: float = PENALTY) -> DataFrame:
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out of training. A text without a letter, a
     null text, and every text where nothing could be learned, get `und` and 0. Ties go to the language
-    that sorts first. An empty table gives an empty result.
+    that sorts first. Very long texts are labelled whole, repeated rows get repeated results, and an empty
+    table gives an empty result; other columns, whatever their names, are ignored.
     """
     small_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, shingle_set, small_batches
+from .common import Scratch, give_back, mix64, shingle_set, small_batches
 
 BANDS, ROWS = 30, 5
 #: Minima of so many standard deviations below the threshold still go on to the full sets.
@@ -61,6 +61,7 @@ def _sketch(width: int):
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                 ["id", "n_shingles", "digest", "bands", "sig"],
             )
+        give_back()
 
     return run
 
@@ -96,6 +97,7 @@ def _confirm(percent: int, width: int):
                 if both and 100 * both >= percent * (len(s) + len(last) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a_col[i] for i in keep], pa.int64()), pa.array([b_col[i] for i in keep], pa.int64())], ["a", "b"])
+        give_back()
 
     return run
 
@@ -203,8 +205,10 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str =
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable by links), kept.
 
     A link joins two rows with 100 * |intersection| >= percent * |union| of their shingle sets.
-    Null or wordless texts have no shingles and stand alone. Ids are taken as unique; a repeated id
-    gives a repeated row. An empty table gives an empty result. Other columns are ignored.
+    Null or wordless texts have no shingles and stand alone; a null id has no component. Where rows of one
+    id differ in text, each gives a row of its own, and links of that id are confirmed on the text of the
+    least hash. Very long texts are taken whole. An empty table gives an empty result. Other columns,
+    whatever their names, are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -223,7 +227,7 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str =
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b): texts are fetched for these documents only."""
         need = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "need")
-        texts = scratch.write(base.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
+        texts = scratch.write(base.join(need, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
         both = (
             pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -258,7 +262,7 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str =
     answers = mixed.select("key", "band", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), h(n_all, 2).alias("j"), "id", "comp", "sig", "bands", F.lit(False).alias("minor"))
     flagged = scratch.write(asks.unionByName(answers).groupBy("key", "i", "j").applyInArrow(_flag(least), "key bigint, i bigint, j bigint, id bigint, comp bigint, minor boolean"), "flagged")
     need = scratch.write(flagged.select("id").distinct(), "need")
-    texts = scratch.write(base.join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = scratch.write(base.join(need, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
     more_links = scratch.write(flagged.join(texts, "id").groupBy("key", "i", "j").applyInArrow(_links_in_block(percent, width), "a bigint, b bigint").distinct(), "more")
     scratch.drop(texts, need)
     comp = connected_components(comp.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more_links), scratch)
@@ -271,7 +275,10 @@ def components(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str =
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component; columns are left as they are."""
+    """The rows of ``docs`` whose doc_id is the least of its component; columns are left as they are.
+
+    Rows without an id stay, and so do repeated rows of an id that stays.
+    """
     scratch = Scratch(docs.sparkSession, "neardup-kept")
-    gone = scratch.write(components(docs, percent, width).where("not kept").select("doc_id").distinct(), "gone")
+    gone = scratch.write(components(docs, percent, width).groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("not stays").select("doc_id"), "gone")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +231,22 @@ def test_language_id(spark, docs, sf_dir, none):
     assert sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.97 * len(rows)
 
 
+def test_language_of_rare_letters_and_many_labels():
+    import numpy as np
+
+    assert len(lang_id.features("\U00030001\U00030002")[0]) == 2
+    rng = np.random.default_rng(1)
+    scores = [rng.normal(size=(n, 5)).astype(np.float32) * 6 for n in (1, 300, 700)]
+    for s, path in zip(scores, lang_id.viterbi(scores, 4.0), strict=True):
+        v = s[0].copy()
+        for x in s[1:]:
+            v = np.maximum(v, v.max() - 4.0) + x
+        mine = s[np.arange(len(s)), path].sum() - 4.0 * (path[1:] != path[:-1]).sum()
+        assert abs(mine - v.max()) < 0.05
+    wide = rng.normal(size=(40, 300)).astype(np.float32) * 50
+    assert (lang_id.viterbi([wide], 0.0)[0] == wide.argmax(axis=1)).all()
+
+
 def test_language_spans(spark):
     en = "the house is in the old town and they walk home with their friends every evening"
     de = "das haus steht in der alten stadt und sie gehen jeden abend mit ihren freunden nach hause"
@@ -263,6 +282,25 @@ def test_html_extraction_by_wrapper(spark):
     assert {got[20 + i] for i in range(4)} == {"Box 0\n\nText 0"}
 
 
+def test_html_extraction_awkward_pages(spark, sf_dir):
+    """Empty table, very long page, extra columns, text in math, object and noscript of an article; the query on whole pages."""
+    kind = "page_id long, url string, html string, host string, text string"
+    long = " ".join(["word"] * 300_000)
+    rows = [(1, "http://a.x/1", f"<body><article><p>{long}</p></article></body>", "h", "t"), (2, "http://b.x/", "<body><noscript>Turn it on</noscript><article><p>a<math><mi>x</mi></math></p><noscript>in</noscript><object>o</object></article></body>", "h", "t")]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {1: long, 2: "ax\n\nino"}
+    assert html_extract.extract(df.where("page_id < 0")).count() == 0
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    found = {r.page_id: r for r in queries.op7_html_extraction(spark, sf_dir).collect()}
+    assert found.keys() == pages.keys()
+    for i, r in found.items():
+        # plain version for these pages: the blocks of the one article, split at its p, li and h1 tags
+        inner = re.search(r"<article>(.*?)</article>", pages[i] or "", re.S)
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", re.sub(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->", "", x, flags=re.S))).split()) for x in re.split(r"</?(?:p|li|ul|h1|div)\b[^>]*>", inner[1])] if inner else []
+        assert r.text == "\n\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
+
+
 def test_wrapper_alignment():
     a = [("p", False, False), ("h", False, False), ("p", False, False)]
     b = [("p", True, False), ("x", False, False)]
@@ -374,8 +412,6 @@ def test_pii_field_on_a_held_back_table():
 
 def test_pii_field_adds_spans_on_documents(spark):
     """Every secret that is named so, and cards in a row; 16-digit numbers without a valid check digit stay."""
-    import re
-
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")).collect()}
     named = {r.doc_id for r in rows if r.text and re.search(r'token = "[0-9a-f]{20,}"', r.text)}
