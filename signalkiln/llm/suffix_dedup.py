@@ -31,7 +31,10 @@ PASSAGE, WORDS = 256, 51
 #: A run of equal least grams (a periodic text) is cut after so many windows.
 RUN = 256
 #: Different segments of one key that are sorted in one suffix array, about; a larger key is dealt to several.
-BUCKET = 1024
+#: A segment has 256 suffixes at most, and each costs some 40 bytes before those that cannot start a repeat leave.
+BUCKET = 32_768
+#: Bytes of texts that are hashed at once.
+CHUNK = 4 << 20
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -90,6 +93,19 @@ def _occurrences(window: int, length: int, gram: int):
     return run
 
 
+def _chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of runs of texts with about ``CHUNK`` bytes each."""
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)], strict=True))
+
+
+def _starts(sizes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first ``count`` suffixes of each of several texts joined to one: start, text, place in it."""
+    text = np.repeat(np.arange(len(sizes)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return (np.cumsum(sizes) - sizes)[text] + place, text, place
+
+
 def open_suffixes(texts: list[bytes], windows: list[int], groups: list[int], least: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, place) of the suffixes of several groups of texts from which a maximal repeat can start.
 
@@ -98,14 +114,15 @@ def open_suffixes(texts: list[bytes], windows: list[int], groups: list[int], lea
     the class is left out; a hash that is equal by chance only merges classes, which leaves out no more.
     """
     sizes, count = np.array([len(t) for t in texts]), np.array(windows)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offset = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(texts)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = offset[text] + place
-    h = range_hash(prefix_hash(data), at, at + least)
-    h = mix64(h ^ mix64(np.array(groups, np.int64).view(np.uint64))[text])
-    left = np.where(place > 0, data[np.maximum(at - 1, 0)].astype(np.int16), np.int16(256))
+    salt = mix64(np.array(groups, np.int64).view(np.uint64))
+    parts = []
+    for lo, hi in _chunks(sizes):
+        at, text, place = _starts(sizes[lo:hi], count[lo:hi])
+        data = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+        h = range_hash(prefix_hash(data), at, at + least)
+        left = np.where(place > 0, data[np.maximum(at - 1, 0)].astype(np.int16), np.int16(256))
+        parts.append((mix64(h ^ salt[lo:hi][text]), left, (text + lo).astype(np.int32), place.astype(np.int32)))
+    h, left, text, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(h, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     size = np.diff(np.append(first, len(order)))
@@ -229,15 +246,15 @@ def window_rows(texts: list[bytes], windows: list[int], size: int) -> tuple[np.n
     """Of each different window of ``size`` bytes of the segments: two hashes, a segment and place that has it, and if only that has it."""
     sizes = np.array([len(t) for t in texts])
     count = np.clip(np.minimum(np.array(windows), sizes - size + 1), 0, None)
-    offset = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(texts)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = offset[text] + place
-    s = prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
-    h = range_hash(s, at, at + size)
+    parts = []
+    for lo, hi in _chunks(sizes):
+        at, text, place = _starts(sizes[lo:hi], count[lo:hi])
+        s = prefix_hash(np.frombuffer(b"".join(texts[lo:hi]), np.uint8))
+        h = range_hash(s, at, at + size)
+        parts.append((h, mix64(range_hash(s, at, at + size // 2) ^ h), text + lo, place))
+    h, other, text, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     _, first, times = np.unique(h, return_index=True, return_counts=True)
-    h, at = h[first], at[first]
-    return h, mix64(range_hash(s, at, at + size // 2) ^ h), text[first], place[first], times == 1
+    return h[first], other[first], text[first], place[first], times == 1
 
 
 _ARRAY_ROWS = f"key bigint, seg bigint, spans {_RANGE}, long {_RANGE}, size bigint, h1 bigint, h2 bigint, at bigint, once boolean"
