@@ -57,6 +57,11 @@ def int_bytes(value: Column, size: int, little: bool = False) -> Column:
     return reverse_bytes(out, size) if little else out
 
 
+def join_bytes(parts: Column) -> Column:
+    """array<binary> as one value; through text, so that each byte is copied a few times and not once a part."""
+    return F.unhex(F.array_join(F.transform(parts, lambda b: F.hex(b)), ""))
+
+
 def bits_msb(b: Column, bit_offset: int, count: int) -> Column:
     """``count`` bits (up to 48) from ``bit_offset``, most significant first."""
     first, last = bit_offset // 8, (bit_offset + count - 1) // 8
@@ -156,6 +161,20 @@ def rational_multiply(x: Column, y: Column) -> Column:
     return rational(x["num"] * y["num"], x["den"] * y["den"])
 
 
+def rational_subtract(x: Column, y: Column) -> Column:
+    return rational(x["num"] * y["den"] - y["num"] * x["den"], x["den"] * y["den"])
+
+
+def rational_divide(x: Column, y: Column) -> Column:
+    """Null for a divisor of zero."""
+    return rational(x["num"] * y["den"], x["den"] * y["num"])
+
+
+def rational_compare(x: Column, y: Column) -> Column:
+    """-1, 0 or 1; denominators are positive in lowest terms."""
+    return F.signum((x["num"] * y["den"] - y["num"] * x["den"]).cast("double")).cast("int")
+
+
 def fourcc(b: Column, offset=0) -> Column:
     return F.decode(F.substring(b, (_col(offset) + 1).cast("int"), F.lit(4)), "ISO-8859-1")
 

@@ -1,4 +1,4 @@
-"""Kernels that run as Arrow batches: 8x8 cosine transforms in numpy, adaptive sub-band-free ADPCM state machines."""
+"""Kernels that run as Arrow batches: 8x8 cosine transforms in numpy."""
 
 from __future__ import annotations
 

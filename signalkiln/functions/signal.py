@@ -1,7 +1,6 @@
 """Signal kernels over array columns: companding, resampling, waveforms, colour, quantisation, small transforms.
 
-Everything that has no state is a column expression; the 8x8 transforms and the adaptive codec of §G.722
-kind run as Arrow batches in ``kernels``.
+Everything is a column expression; the 8x8 cosine transforms run as Arrow batches in ``kernels``.
 """
 
 from __future__ import annotations
@@ -202,6 +201,18 @@ def lab_to_xyz(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
     return F.struct((g(fy + a / 500) * WHITE[0]).alias("x"), (g(fy) * WHITE[1]).alias("y"), (g(fy - b / 200) * WHITE[2]).alias("z"))
 
 
+def yuv420_planes(pixels):
+    """(image_id, luma, u, v): arrays of bytes by rows; chroma is the mean of blocks of 2 x 2 pixels. One aggregation by block and one by image."""
+    byte = lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))).cast("int")
+    c = [F.col(f"c{i}") for i in range(3)]
+    y = 0.299 * c[0] + 0.587 * c[1] + 0.114 * c[2]
+    u = -0.14713 * c[0] - 0.28886 * c[1] + 0.436 * c[2] + 128
+    v = 0.615 * c[0] - 0.51499 * c[1] - 0.10001 * c[2] + 128
+    blocks = pixels.groupBy("image_id", F.expr("y div 2").alias("by"), F.expr("x div 2").alias("bx")).agg(F.collect_list(F.struct("y", "x", byte(y).alias("v"))).alias("luma"), byte(F.avg(u)).alias("u"), byte(F.avg(v)).alias("v"))
+    got = blocks.groupBy("image_id").agg(F.array_sort(F.flatten(F.collect_list("luma"))).alias("luma"), F.array_sort(F.collect_list(F.struct("by", "bx", "u", "v"))).alias("chroma"))
+    return got.select("image_id", F.transform("luma", lambda p: p["v"]).alias("luma"), F.transform("chroma", lambda p: p["u"]).alias("u"), F.transform("chroma", lambda p: p["v"]).alias("v"))
+
+
 # --- images as pixel rows -------------------------------------------------------------------------
 
 
@@ -220,20 +231,23 @@ def resize(pixels, old: tuple[int, int], new: tuple[int, int]):
     return rows.drop("x", "y").withColumnsRenamed({"__x": "x", "__y": "y"}).select(pixels.columns)
 
 
-def rotate(pixels, size: tuple[int, int], angle: float):
+def rotate(pixels, size: tuple[int, int], angle: float, mode: str = "spec"):
     """Nearest by the inverse map about the centres; targets without a source are left out (they are 0).
 
     ``pixels`` has image_id, x, y. The grid of targets is built for each image by a generator and joined
-    back on image and place.
+    back on image and place. ``compat`` takes degrees, centres on whole pixels and cuts places towards zero.
     """
+    compat = mode == "compat"
     w, h = size
+    angle = math.radians(angle) if compat else angle
     c, s = math.cos(angle), math.sin(angle)
     nw, nh = int(w * abs(c) + h * abs(s)), int(w * abs(s) + h * abs(c))
     images = pixels.select("image_id").distinct()
     grid = images.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(nw - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(nh - 1))))
-    dx, dy = F.col("x") - nw / 2, F.col("y") - nh / 2
-    place = lambda v: F.when(v >= 0, F.floor(v).cast("int"))
-    grid = grid.withColumns({"__x": place(dx * c + dy * s + w / 2), "__y": place(-dx * s + dy * c + h / 2)})
+    half = (lambda n: n // 2) if compat else (lambda n: n / 2)
+    dx, dy = F.col("x") - half(nw), F.col("y") - half(nh)
+    place = (lambda v: v.cast("int")) if compat else (lambda v: F.when(v >= 0, F.floor(v).cast("int")))
+    grid = grid.withColumns({"__x": place(dx * c + dy * s + half(w)), "__y": place(-dx * s + dy * c + half(h))})
     source = pixels.withColumnsRenamed({"x": "__x", "y": "__y"})
     return grid.join(source, ["image_id", "__x", "__y"]).select(pixels.columns)
 

@@ -86,13 +86,14 @@ def params(text: Column, between: str = ";", sign: str = "=") -> Column:
 
 def message(raw: Column) -> Column:
     """struct of an HTTP, RTSP or SIP message; a first line that begins with the protocol makes it a response."""
-    text = F.regexp_replace(raw, r"\r\n?", "\n")
-    head, body = F.substring_index(text, "\n\n", 1), F.when(F.contains(text, F.lit("\n\n")), F.substring(text, F.instr(text, "\n\n") + F.lit(2), F.length(text)))
+    parts = F.split(raw, r"\r?\n\r?\n|\r\r", 2)  # the body keeps its line ends
+    head, body = F.regexp_replace(F.get(parts, F.lit(0)), r"\r\n?", "\n"), F.get(parts, F.lit(1))
     first = F.substring_index(head, "\n", 1)
     response, request = r"^(HTTP|RTSP|SIP)/(\d+\.\d+)\s+(\d{3})\s*(.*)$", r"^([A-Z_]+)\s+(\S+)\s+(HTTP|RTSP|SIP)/(\d+\.\d+)\s*$"
     is_request = first.rlike(request)
     pick = lambda a, b: F.when(is_request, _match(first, request, a)).otherwise(_match(first, response, b))
-    lines = F.slice(F.split(F.regexp_replace(head, r"\n[ \t]+", " "), "\n", -1), 2, 1 << 20)
+    every = F.split(F.regexp_replace(head, r"\n[ \t]+", " "), "\n", -1)
+    lines = F.slice(every, F.lit(2), F.size(every))
     named = F.filter(lines, lambda x: F.contains(x, F.lit(":")))
     name = lambda x: F.lower(F.btrim(F.substring_index(x, ":", 1)))
     value = lambda x: F.btrim(F.substring(x, F.instr(x, ":") + F.lit(1), F.length(x)))

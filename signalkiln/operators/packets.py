@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import int_bytes, u8, u16, u32
+from ..functions.bits import int_bytes, join_bytes, u8, u16, u32
 
 #: Static payload types of RFC 3551: number, name, media, clock rate, channels (fixed values).
 STATIC_TYPES = [
@@ -107,7 +107,7 @@ def split_compound(b: Column) -> Column:
 
 def build_compound(packets: Column) -> Column:
     """Packets of one datagram in order, the last padded to whole words."""
-    joined = F.aggregate(packets, F.lit(b""), lambda a, x: F.concat(a, x))
+    joined = join_bytes(packets)
     return F.concat(joined, F.substring(F.lit(bytes(3)), F.lit(1), F.pmod(-F.octet_length(joined), F.lit(4)).cast("int")))
 
 
@@ -160,7 +160,7 @@ def packetise(payload: Column, mtu: int) -> Column:
 
 def join_parts(parts: Column) -> Column:
     """Pieces (pos, part) in order of pos as one payload."""
-    return F.aggregate(F.array_sort(parts), F.lit(b""), lambda a, x: F.concat(a, x["part"]))
+    return join_bytes(F.transform(F.array_sort(parts), lambda x: x["part"]))
 
 
 def adts_header(profile: Column, rate_index: Column, channels: Column, length: Column) -> Column:

@@ -1,8 +1,9 @@
 """Ordered statistics of packet streams: unwrapping, loss, jitter, reports, frames, look-ups.
 
-Packets are rows of (ssrc, arrival, event_id, seq, payload_type, rtp_ts, marker, payload). A stream
-is ordered by arrival; one window or one aggregation by stream serves each operator, and everything
-that can is combined before the shuffle.
+Packets are rows of (ssrc, arrival, event_id, seq, payload_type, rtp_ts, marker, payload). A stream is
+ordered by arrival. Unwrapping and jitter order the packets of one stream and hour at a time, and then
+only one small row of each hour, so that a stream with a third of all packets is spread over tasks.
+Aggregations are combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bits import join_bytes
+
 ORDER = ("arrival", "event_id", "copy")
 #: Packets of a frame at most; a frame that has more is not complete.
 MAX_FRAME = 1024
@@ -20,12 +23,32 @@ def _stream() -> W:
     return W.partitionBy("ssrc").orderBy(*ORDER)
 
 
+def _bucketed(packets: DataFrame) -> tuple[DataFrame, W]:
+    """The packets with their hour, and the order inside a stream and hour."""
+    rows = packets.withColumn("__hour", F.date_trunc("hour", "arrival"))
+    return rows, W.partitionBy("ssrc", "__hour").orderBy(*ORDER)
+
+
+def _turn(step: Column) -> Column:
+    return F.when(step < -32768, 65536).when(step > 32767, -65536).otherwise(0)
+
+
 def unwrap(packets: DataFrame) -> DataFrame:
-    """Adds ext_seq: the 16-bit sequence number plus 65536 for each wrap that its stream has seen."""
-    w = _stream()
-    step = F.col("seq") - F.lag("seq").over(w)
-    turn = F.when(step < -32768, 65536).when(step > 32767, -65536).otherwise(0)
-    return packets.withColumn("__turn", turn).withColumn("ext_seq", (F.col("seq") + F.coalesce(F.sum("__turn").over(w), F.lit(0))).cast("bigint")).drop("__turn")
+    """Adds ext_seq: the 16-bit sequence number plus 65536 for each wrap that its stream has seen.
+
+    Wraps are counted inside each hour of a stream; the hours' first and last numbers and counts, one row
+    an hour, give what came before each hour. Rows without an arrival time form an hour of their own, the first.
+    """
+    rows, w = _bucketed(packets)
+    rows = rows.withColumn("__turn", _turn(F.col("seq") - F.lag("seq").over(w)))
+    rows = rows.withColumn("__turns", F.coalesce(F.sum("__turn").over(w), F.lit(0)))
+    at = F.struct(*ORDER)
+    hours = rows.groupBy("ssrc", "__hour").agg(F.min_by("seq", at).alias("first"), F.max_by("seq", at).alias("last"), F.sum("__turn").alias("turns"))
+    order = W.partitionBy("ssrc").orderBy("__hour")
+    edge = _turn(F.col("first") - F.lag("last").over(order)) + F.coalesce(F.lag("turns").over(order), F.lit(0))
+    before = hours.withColumn("edge", edge).select("ssrc", "__hour", F.sum("edge").over(order).alias("__before"))
+    got = rows.alias("r").join(before.hint("merge").alias("b"), (F.col("r.ssrc") == F.col("b.ssrc")) & F.col("r.__hour").eqNullSafe(F.col("b.__hour")))
+    return got.select(*(F.col(f"r.{c}") for c in packets.columns), (F.col("r.seq") + F.col("r.__turns") + F.col("b.__before")).cast("bigint").alias("ext_seq"))
 
 
 def loss(unwrapped: DataFrame, *by: str) -> DataFrame:
@@ -59,18 +82,26 @@ def timestamp_delta(packets: DataFrame) -> DataFrame:
     return packets.withColumn("ts_delta", F.col("rtp_ts") - F.lag("rtp_ts").over(_stream()))
 
 
-def jitter(packets: DataFrame, rate: int = 90000, interval: str = "1 day") -> DataFrame:
+def jitter(packets: DataFrame, rate: int = 90000) -> DataFrame:
     """RFC 3550 interarrival jitter, in clock units: J += (|D| - J) / 16 over the packets of a stream in order.
 
     The recursion is a fold, J_n = (15/16) J_(n-1) + |D_n| / 16, so each packet's share of the result is
-    |D_n| / 16 * (15/16)^(packets after it). With that weight it is an aggregation: rows are combined before
-    the shuffle and no stream is gathered.
+    |D_n| / 16 * (15/16)^(packets after it). The shares are summed inside each hour of a stream; the hours'
+    sums, counts and first and last packets, one row an hour, are then joined up.
     """
-    w = _stream()
+    rows, w = _bucketed(packets)
     us = F.unix_micros(F.col("arrival").cast("timestamp"))
-    d = F.abs((us - F.lag(us).over(w)) * (rate / 1e6) - (F.col("rtp_ts") - F.lag("rtp_ts").over(w)))
-    rows = packets.select("ssrc", d.alias("d"), F.row_number().over(w).alias("k"), F.count("*").over(W.partitionBy("ssrc")).alias("n"))
-    return rows.groupBy("ssrc").agg(F.max("n").alias("packets"), F.coalesce(F.sum(F.col("d") / 16 * F.pow(F.lit(15 / 16), F.col("n") - F.col("k"))), F.lit(0.0)).alias("jitter"))
+    apart = lambda a, b, c, d: F.abs((a - b) * (rate / 1e6) - (c - d))
+    weight = lambda n: F.pow(F.lit(15 / 16), n)
+    rows = rows.select("ssrc", "__hour", *ORDER, "rtp_ts", us.alias("us"), apart(us, F.lag(us).over(w), F.col("rtp_ts"), F.lag("rtp_ts").over(w)).alias("d"), F.row_number().over(w).alias("k"), F.count("*").over(W.partitionBy("ssrc", "__hour")).alias("n"))
+    at, place = F.struct(*ORDER), F.struct("us", "rtp_ts")
+    hours = rows.groupBy("ssrc", "__hour").agg(F.max("n").alias("n"), F.coalesce(F.sum(F.col("d") / 16 * weight(F.col("n") - F.col("k"))), F.lit(0.0)).alias("share"), F.min_by(place, at).alias("first"), F.max_by(place, at).alias("last"))
+    order = W.partitionBy("ssrc").orderBy("__hour")
+    before = F.lag("last").over(order)
+    edge = F.coalesce(apart(F.col("first.us"), before["us"], F.col("first.rtp_ts"), before["rtp_ts"]) / 16 * weight(F.col("n") - 1), F.lit(0.0))
+    after = F.coalesce(F.sum("n").over(order.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    joined = hours.select("ssrc", "n", ((F.col("share") + edge) * weight(after)).alias("share"))
+    return joined.groupBy("ssrc").agg(F.sum("n").alias("packets"), F.sum("share").alias("jitter"))
 
 
 def reject_duplicates(unwrapped: DataFrame) -> DataFrame:
@@ -90,7 +121,13 @@ def frames(unique: DataFrame) -> DataFrame:
         F.count("*").alias("packets"), F.sum(F.col("marker").cast("int")).alias("markers"), F.min("ext_seq").alias("first_seq"), F.max("ext_seq").alias("last_seq"), F.min("arrival").alias("first_arrival"), parts.alias("parts"),
     )
     whole = (F.col("last_seq") - F.col("first_seq") + 1 == F.col("packets")) & (F.col("markers") > 0) & (F.col("packets") <= MAX_FRAME)
-    return got.withColumns({"complete": whole, "payload": F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["payload"]))}).drop("parts")
+    return got.withColumns({"complete": whole, "payload": join_bytes(F.transform("parts", lambda x: x["payload"]))}).drop("parts")
+
+
+def late(unwrapped: DataFrame) -> DataFrame:
+    """(ssrc, late): packets of each stream that came behind one with a higher number."""
+    before = F.max("ext_seq").over(_stream().rowsBetween(W.unboundedPreceding, -1))
+    return unwrapped.select("ssrc", (F.col("ext_seq") < before).alias("late")).groupBy("ssrc").agg(F.count_if("late").alias("late"))
 
 
 def last_frames(frames_: DataFrame, n: int = 2) -> DataFrame:
