@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bits import bits_msb, int_bytes, u8, u16, uint
+from ..functions.bits import bits_msb, int_bytes, join_bytes, u8, u16, uint
 
 Node = tuple[int, str, int, int, bool]  # depth, identifier, data offset, data size, complete
 
@@ -356,7 +356,7 @@ def stream_types(section: Column) -> Column:
         size = 5 + u16(section, s["at"] + 3).bitwiseAND(F.lit(0xFFF))
         return F.when(F.coalesce(s["at"] + 5 <= end, F.lit(False)), F.struct((s["at"] + size).cast("int").alias("at"), F.array_append(s["out"], row).alias("out"))).otherwise(s)
 
-    return F.when(u8(section, 0) == 2, F.aggregate(F.sequence(F.lit(1), F.lit(37)), start, step, lambda s: s["out"]))
+    return F.when(u8(section, 0) == 2, F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(F.octet_length(section) / 5).cast("int"), F.lit(1))), start, step, lambda s: s["out"]))
 
 
 # --- tracks, samples, writers ---------------------------------------------------------------------
@@ -365,14 +365,14 @@ def stream_types(section: Column) -> Column:
 def wav_format(nodes_: DataFrame, files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, codec, channels, sample_rate, bits, data_offset, data_size) of WAVE files: two nodes of each file meet by one aggregation."""
     some = nodes_.where(F.col("identifier").isin("fmt ", "data")).groupBy(key).agg(F.min(F.when(F.col("identifier") == "fmt ", F.col("data_offset"))).alias("fmt"), F.min_by("data_offset", F.when(F.col("identifier") == "data", F.col("ord"))).alias("data_offset"), F.min_by("data_size", F.when(F.col("identifier") == "data", F.col("ord"))).alias("data_size"))
-    rows = files.select(key, F.substring(content, 1, 4096).alias("head")).join(some.where("fmt is not null"), key)
-    get = lambda at, n: uint(F.col("head"), F.col("fmt") + at, n, little=True).cast("int")
+    rows = files.select(key, content).join(some.where("fmt is not null"), key).withColumn("head", F.substring(content, (F.col("fmt") + 1).cast("int"), F.lit(16)))
+    get = lambda at, n: uint(F.col("head"), at, n, little=True).cast("int")
     return rows.select(key, get(0, 2).alias("codec"), get(2, 2).alias("channels"), get(4, 4).alias("sample_rate"), get(14, 2).alias("bits"), "data_offset", "data_size")
 
 
 def wav_bytes(samples: Column, rate: int, channels: int = 1) -> Column:
     """A 16-bit PCM file of array<int> samples."""
-    data = F.aggregate(samples, F.lit(b""), lambda a, x: F.concat(a, int_bytes(x, 2, little=True)))
+    data = join_bytes(F.transform(samples, lambda x: int_bytes(x, 2, little=True)))
     n = F.size(samples) * 2
     le = lambda v, k: int_bytes(v if isinstance(v, Column) else F.lit(v), k, little=True)
     return F.concat(F.lit(b"RIFF"), le(n + 36, 4), F.lit(b"WAVEfmt "), le(16, 4), le(1, 2), le(channels, 2), le(rate, 4), le(rate * channels * 2, 4), le(channels * 2, 2), le(16, 2), F.lit(b"data"), le(n, 4), data)
