@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,19 +14,7 @@ from ..operators import streams as st
 from ..sources import containers, dump
 from ..streaming import frames as stateful
 from .bridge import PACKETS, PIXELS, SAMPLES, UNIQUE, UNWRAPPED, messages, packets, pixels, samples, table, text_of
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
+from .registry import ORACLE, QUERIES, query
 
 
 def _raw() -> Column:
@@ -182,12 +169,6 @@ def ring_buffer(spark, sf_dir):
     return st.ring(table(spark, sf_dir, "events"), "user_id", 5, "ts", "event_id").select("user_id", "event_id")
 
 
-@query()
-def sequence_validation(spark, sf_dir):
-    """The literal state machine (not in SQL; tested against a plain version)."""
-    return stateful.validate(packets(spark, sf_dir))
-
-
 @query(f"WITH {UNIQUE} SELECT ssrc, rtp_ts, packets, markers, max(seq_ok) AS complete FROM (SELECT ssrc, rtp_ts, packets, markers, complete AS seq_ok FROM fr) GROUP BY ALL")
 def stream_frames(spark, sf_dir):
     """Frames by the stateful operator over a stream of the packets: the last state given out of each."""
@@ -276,10 +257,14 @@ def mtu_fragment_reassemble(spark, sf_dir):
     return back.select("doc_id", F.size("p").cast("bigint").alias("parts"), F.md5(pk.join_parts(F.col("p"))).alias("digest"))
 
 
-@query(f"WITH {PACKETS} SELECT ssrc, count(*) AS n, md5(string_agg(md5(payload), '' ORDER BY arrival, event_id, copy)) AS digest FROM pk GROUP BY ssrc")
+@query(f"""WITH {PACKETS}, h AS (SELECT ssrc, date_trunc('hour', arrival) AS hour, count(*) AS n, md5(string_agg(md5(payload), '' ORDER BY arrival, event_id, copy)) AS digest FROM pk GROUP BY ALL)
+SELECT ssrc, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(digest, '' ORDER BY hour)) AS digest FROM h GROUP BY ssrc""")
 def md5_payload(spark, sf_dir):
-    parts = F.array_sort(F.collect_list(F.struct("arrival", "event_id", "copy", F.md5("payload").alias("d"))))
-    return packets(spark, sf_dir).groupBy("ssrc").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(parts, lambda x: x["d"]), "")).alias("digest"))
+    """Digests of each hour of a stream, then of its hours, so that no stream is gathered."""
+    rows = packets(spark, sf_dir).select("ssrc", F.date_trunc("hour", "arrival").alias("hour"), F.struct("arrival", "event_id", "copy", F.md5("payload").alias("d")).alias("p"))
+    joined = lambda c, f: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x[f]), ""))
+    hours = rows.groupBy("ssrc", "hour").agg(F.count("*").alias("n"), joined("p", "d").alias("digest"))
+    return hours.groupBy("ssrc").agg(F.sum("n").alias("n"), joined(F.struct("hour", "digest"), "digest").alias("digest"))
 
 
 # --- text protocols -------------------------------------------------------------------------------
@@ -545,10 +530,10 @@ _WAVES = {"sine": "exp(-0.5::DOUBLE * t) * sin(2 * pi() * 3 * t + 1)", "saw": "2
 
 
 @query(f"""SELECT event_id, CAST(sign(round(sin(2 * pi() * 3 * t), 9)) AS BIGINT) AS square, {", ".join(_SCALED.format(v, k) for k, v in _WAVES.items())}
-FROM (SELECT event_id, event_id / 8000.0::DOUBLE AS t FROM events WHERE event_id % 4000 <> 0)""")
+FROM (SELECT event_id, event_id / 8000.0::DOUBLE AS t FROM events)""")
 def waveforms(spark, sf_dir):
     """Samples in millionths, so that a zero has no sign."""
-    rows = table(spark, sf_dir, "events").where("event_id % 4000 <> 0").select("event_id", (F.col("event_id") / F.lit(8000.0)).alias("t"))
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") / F.lit(8000.0)).alias("t"))
     t = F.col("t")
     near = F.when(F.round(F.sin(2 * math.pi * 3 * t), 9) == 0, F.lit(0.0)).otherwise(signal.square(t, frequency=3))
     waves = {"sine": signal.sine(t, frequency=3, phase=1, damping=0.5), "saw": signal.saw(t, frequency=3), "triangle": signal.triangle(t, frequency=3), "dtmf": signal.dtmf(F.lit("5"), t)}
@@ -643,3 +628,8 @@ def order_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.rollup("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+from . import basics, media, sessions  # noqa: E402, F401  (they register their queries)
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from signalkiln.functions import bits, kernels, signal, text, timecode
 from signalkiln.operators import packets as pk
 from signalkiln.operators import streams as st
-from signalkiln.plans import catalog
-from signalkiln.sources import containers, dump
+from signalkiln.plans import catalog, media
+from signalkiln.sources import containers, dump, images, tracks
 from signalkiln.streaming import frames
 
 
@@ -43,7 +43,7 @@ def test_text_edges(spark):
         spark, m=text.message(F.lit("HTTP/1.1 404 Not Found\r\nA: 1\r\n b\r\nbad\r\n\r\nx\r\n\r\ny")), q=text.message(F.lit("nonsense")), r=text.sdp_range(F.lit("clock=20200101T000000Z-")), t=text.transport(F.lit("RTP/AVP;multicast;ttl=127;ssrc=DEADBEEF;client_port=5000")),
         p=text.params(F.lit("a=1; b ;a=2")), e=text.endpoint(F.lit("[::1]:80")), i=text.ipv4(F.lit("1.2.3.256")), h=text.timestamp_header(F.lit("12.5 delay=0.25")), y=text.typed_time(F.lit("7d 1h -30m 5s")),
     )
-    assert (r.m.status, r.m.reason, r.m.headers, r.m.body, r.m.valid) == (404, "Not Found", {"a": "1 b"}, "x\n\ny", True) and not r.q.valid
+    assert (r.m.status, r.m.reason, r.m.headers, r.m.body, r.m.valid) == (404, "Not Found", {"a": "1 b"}, "x\r\n\r\ny", True) and not r.q.valid
     assert r.r.type == "clock" and r.r.end is None and r.t.ssrc == 0xDEADBEEF and not r.t.unicast and r.t.client_port.high == 5000
     assert r.p == {"a": "2", "b": None} and tuple(r.e) == ("::1", 80) and r.i is None and tuple(r.h) == (12.5, 0.25) and r.y == 7 * 86400 + 3600 - 1800 + 5
 
@@ -115,6 +115,47 @@ def test_walkers(spark):
     assert (tracks.serial, tracks.pages, tracks.granules) == (9, 2, 77)
 
 
+@pytest.mark.parametrize("name", sorted(media.FILES))
+def test_walkers_survive_truncation_of_whole_files(name):
+    data = bytes.fromhex(media.FILES[name][0])
+    walk = containers.WALKERS.get(name.split()[0])
+    for n in range(len(data) if walk else 0):
+        for _, _, at, size, whole in walk(data[:n]):
+            assert size >= 0 and (not whole or at <= n)
+
+
+def test_tracks_survive_truncation():
+    for reader, data in ((tracks.ebml_tracks, media.MATROSKA), (tracks.riff_tracks, media.AVI), (tracks.ogg_stream_tracks, media.OGG)):
+        assert list(reader(data))
+
+
+def test_png_filters():
+    """Lines of each of the five filters, written here by hand."""
+    import zlib
+
+    rng = np.random.default_rng(8)
+    px = rng.integers(0, 256, (5, 4, 3)).astype(np.uint8)
+    flat = px.reshape(5, 12).astype(int)
+    raw = b""
+    for y in range(5):
+        line = []
+        for i in range(12):
+            a, b, c = flat[y, i - 3] if i > 2 else 0, flat[y - 1, i] if y else 0, flat[y - 1, i - 3] if y and i > 2 else 0
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((flat[y, i] - (0, a, b, (a + b) // 2, paeth)[y]) % 256)
+        raw += bytes([y]) + bytes(line)
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + bytes(4)
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert (images.png_array(data) == px).all() and (images.png_array(images.png_file(px)) == px).all() and (images.bmp_array(images.bmp_file(px)) == px).all()
+
+
+def test_rotate_compat(spark):
+    rows = [(1, x, y, 10 * y + x, 0, 0) for x in range(4) for y in range(4)]
+    got = {(r.x, r.y): r.c0 for r in signal.rotate(spark.createDataFrame(rows, "image_id int, x int, y int, c0 int, c1 int, c2 int"), (4, 4), 90.0, mode="compat").collect()}
+    assert got[2, 2] == 22 and got[3, 2] == 12 and got[2, 3] == 23
+
+
 @pytest.mark.parametrize("name", sorted(FILES))
 def test_walkers_survive_truncation(name):
     for n in range(len(FILES[name])):
@@ -136,7 +177,7 @@ def test_sequence_machine(spark, sf_dir):
         seen.append(ok)
     assert seen == [True, True, True, True, False, True, True] and state[4] == 2
     by_loss = {r.ssrc: (r.received, r.expected) for r in st.loss(st.unwrap(catalog.packets(spark, sf_dir))).collect()}
-    got = {r.ssrc: (r.received, r.expected) for r in catalog.QUERIES["sequence_validation"](spark, sf_dir).collect()}
+    got = {r.ssrc: (r.received, r.expected) for r in frames.validate(catalog.packets(spark, sf_dir)).collect()}
     assert got == by_loss
 
 
