@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bits import bits_msb, int_bytes, join_bytes, u8, u16, uint
+from ..functions.bits import bits_msb, int_bytes, join_bytes, let, u8, u16, uint
 
 Node = tuple[int, str, int, int, bool]  # depth, identifier, data offset, data size, complete
 
@@ -387,12 +387,11 @@ def pcm16(content: Column, offset: Column, size: Column) -> Column:
 
 def box(name: str, *parts: Column) -> Column:
     """A box with a 32-bit size."""
-    body = F.concat(*parts)
-    return F.concat(int_bytes(F.octet_length(body) + 8, 4), F.lit(name.encode("latin-1")), body)
+    return let(F.concat(*parts), lambda body: F.concat(int_bytes(F.octet_length(body) + 8, 4), F.lit(name.encode("latin-1")), body))
 
 
 def riff_chunk(name: str, body: Column) -> Column:
-    return F.concat(F.lit(name.encode("latin-1")), int_bytes(F.octet_length(body), 4, little=True), body, F.when(F.octet_length(body) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b"")))
+    return let(body, lambda b: F.concat(F.lit(name.encode("latin-1")), int_bytes(F.octet_length(b), 4, little=True), b, F.when(F.octet_length(b) % 2 == 1, F.lit(b"\0")).otherwise(F.lit(b""))))
 
 
 def bmff_samples(d: bytes) -> Iterator[tuple[int, int, int, int, int]]:
