@@ -190,10 +190,11 @@ def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> list[
     return [(size, [(k, p) for _, k, p in suffixes[a:b]]) for size, a, b in intervals]
 
 
-def covered(texts: list[bytes], windows: list[int], groups: list[int], least: int, length: int) -> dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+def covered(texts: list[bytes], windows: list[int], groups: list[int], least: int, length: int, repeats: list | None = None) -> dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
     """Byte ranges, joined, that the maximal repeats of its group cover in each text that has any: all, and those of ``length`` bytes.
 
-    Of the nested intervals that hold a suffix the longest counts, so each suffix gives one range.
+    Of the nested intervals that hold a suffix the longest counts, so each suffix gives one range. ``repeats``
+    gets (hash, bytes, text, start) of every occurrence of each maximal repeat.
     """
     text, place = open_suffixes(texts, windows, groups, least)
     if not len(text):
@@ -206,6 +207,9 @@ def covered(texts: list[bytes], windows: list[int], groups: list[int], least: in
         longest = np.zeros(len(suffixes), np.int64)
         for size, i, j in intervals:
             np.maximum(longest[i:j], size, out=longest[i:j])
+            if repeats is not None:
+                name = xxhash.xxh3_64_intdigest(suffixes[i][0][:size])
+                repeats.extend((name, size, k, p) for _, k, p in suffixes[i:j])
         for (_, k, p), size in zip(suffixes, longest.tolist(), strict=True):
             if size:
                 ranges.setdefault(k, []).append((p, p + size))
@@ -260,8 +264,9 @@ def window_rows(texts: list[bytes], windows: list[int], size: int) -> tuple[np.n
 _ARRAY_ROWS = f"key bigint, seg bigint, spans {_RANGE}, long {_RANGE}, size bigint, h1 bigint, h2 bigint, at bigint, once boolean"
 
 
-def _arrays(window: int, length: int):
-    """Two kinds of rows: the covered ranges of segments, and of dealt keys their different windows. Rows come ordered by array; one is never split."""
+def _arrays(window: int, length: int, with_groups: bool = False):
+    """Rows of up to three kinds: the covered ranges of segments; of dealt keys their different windows; and (once null) the
+    occurrences of maximal repeats by a hash of their bytes. Rows come ordered by array; one is never split."""
     kinds = [pa.int64(), pa.int64(), _SPANS, _SPANS, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     names = ["key", "seg", "spans", "long", "size", "h1", "h2", "at", "once"]
 
@@ -272,7 +277,11 @@ def _arrays(window: int, length: int):
     def answer(t: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, segs = t.column("key").to_numpy(), t.column("seg").to_numpy()
         texts, windows, groups, dealt = (t.column(c).to_pylist() for c in ("bytes", "windows", "array", "dealt"))
-        found = covered(texts, windows, groups, window, length)
+        repeats: list | None = [] if with_groups else None
+        found = covered(texts, windows, groups, window, length, repeats)
+        if repeats:
+            name, size, text, place = (np.array(c) for c in zip(*repeats, strict=True))
+            yield batch(keys[text], segs[text], None, None, size, name.astype(np.uint64).view(np.int64), np.zeros(len(name), np.int64), place, pa.nulls(len(name), pa.bool_()))
         at = np.array(list(found), np.int64)
         yield batch(keys[at], segs[at], _listed([s for s, _ in found.values()]), _listed([s for _, s in found.values()]), None, None, None, None, None)
         some = [i for i, d in enumerate(dealt) if d]
@@ -310,52 +319,80 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(doc.alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col(text_col)).alias("th"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, window: int = PASSAGE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Scratch]:
-    """(doc, th, spans, long): byte ranges of a row whose union is what repeated strings of ``window`` and of ``length`` bytes cover."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "suffix")
-    base = _rows(docs, id_col, text_col)
-    occ = scratch.write(base.select("doc", "text", "th").mapInArrow(_occurrences(window, length, gram), "key bigint, seg bigint, doc bigint, th bigint, start int, windows smallint, bytes int, twice boolean"), "occ")
-    keys = scratch.write(occ.groupBy("key").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.bool_or("twice").alias("twice")).where("n > 1 or twice").select("key", (F.col("twice") | (F.col("lo") != F.col("hi"))).alias("mixed")), "keys")
-    again = scratch.write(occ.drop("twice").join(keys, "key"), "again")
-    scratch.drop(occ)
-    none = F.array().cast(_RANGE)
-    size = F.col("bytes").cast("bigint")
-
-    def all_of(start):
-        """Spans of a segment whose every byte is repeated: at the size of windows, and at ``length`` where it is as long."""
-        one = F.array(F.struct(start.cast("bigint").alias("a"), (start + size).alias("b")))
-        return one.alias("spans"), F.when(size >= length, one).otherwise(none).alias("long")
-
-    whole = again.where("not mixed").select("doc", "th", *all_of(F.col("start")))
-    segs = again.where("mixed").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "start", "windows", "bytes")).alias("rep"))
-    segs = scratch.write(segs.select("key", "seg", "n", "rep.*"), "segs")
-    sizes = scratch.write(segs.groupBy("key").agg(F.count("*").alias("members")), "sizes")
-    wants = segs.join(sizes, "key").select("doc", "th", F.struct("key", "seg", "start", F.col("windows").cast("int").alias("windows"), "bytes").alias("w"))
-    wants = scratch.write(wants.groupBy("doc", "th").agg(F.collect_list("w").alias("wants")), "wants")
-    once = base.join(wants, ["doc", "th"]).dropDuplicates(["doc", "th"])
-    texts = scratch.write(once.select("text", "wants").mapInArrow(_cut, "key bigint, seg bigint, windows int, bytes binary"), "texts")
-    deal = F.ceil(F.col("members") / BUCKET)
-    dealt = texts.join(sizes, "key").withColumn("dealt", deal > 1).withColumn("array", F.when(deal > 1, F.xxhash64("key", F.pmod("seg", deal))).otherwise(F.col("key")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    solved = scratch.write(dealt.drop("members").repartition(parts, "array").sortWithinPartitions("array").mapInArrow(_arrays(window, length), _ARRAY_ROWS), "solved")
-    twice = solved.where("size is not null").groupBy("size", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("size", "h1", "h2")
-    # of a segment's windows any two overlap, so those that repeat cover one range
-    at = lambda n: F.when(F.col("size") == n, F.col("at"))
-    reach = lambda n: F.when(F.min(at(n)).isNotNull(), F.array(F.struct(F.min(at(n)).alias("a"), (F.max(at(n)) + n).alias("b")))).otherwise(none)
-    found = solved.where("once").select("size", "h1", "h2", "key", "seg", "at").join(twice, ["size", "h1", "h2"]).groupBy("key", "seg").agg(reach(window).alias("spans"), reach(length).alias("long"))
-    spans = solved.where("size is null").select("key", "seg", "spans", "long")
-    # a segment with several occurrences is covered as a whole
-    cover = scratch.write(
-        spans.unionByName(found).where(F.size("spans") > 0).select("key", "seg", "spans", "long")
-        .unionByName(segs.where("n > 1").select("key", "seg", *all_of(F.lit(0)))),
-        "cover",
-    )
-    scratch.drop(texts, solved, segs, sizes, wants)
-    move = lambda s: F.struct((F.col("start") + s.a).alias("a"), (F.col("start") + s.b).alias("b"))
-    part = again.where("mixed").join(cover, ["key", "seg"]).select("doc", "th", F.transform("spans", move).alias("spans"), F.transform("long", move).alias("long"))
-    return whole.unionByName(part), scratch
+class _Search:
+    """The tables of one search for repeats: segments that occur again, their classes, and what the arrays found."""
+
+    def __init__(self, docs: DataFrame, length: int, window: int, gram: int, id_col: str, text_col: str, with_groups: bool):
+        spark = docs.sparkSession
+        small_batches(spark)
+        self.scratch = scratch = Scratch(spark, "suffix")
+        self.length, self.window = length, window
+        base = _rows(docs, id_col, text_col)
+        occ = scratch.write(base.select("doc", "text", "th").mapInArrow(_occurrences(window, length, gram), "key bigint, seg bigint, doc bigint, th bigint, start int, windows smallint, bytes int, twice boolean"), "occ")
+        keys = scratch.write(occ.groupBy("key").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi"), F.bool_or("twice").alias("twice")).where("n > 1 or twice").select("key", (F.col("twice") | (F.col("lo") != F.col("hi"))).alias("mixed")), "keys")
+        self.again = scratch.write(occ.drop("twice").join(keys, "key"), "again")
+        scratch.drop(occ)
+        segs = self.again.where("mixed").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "start", "windows", "bytes")).alias("rep"))
+        self.segs = scratch.write(segs.select("key", "seg", "n", "rep.*"), "segs")
+        sizes = scratch.write(self.segs.groupBy("key").agg(F.count("*").alias("members")), "sizes")
+        wants = self.segs.join(sizes, "key").select("doc", "th", F.struct("key", "seg", "start", F.col("windows").cast("int").alias("windows"), "bytes").alias("w"))
+        wants = scratch.write(wants.groupBy("doc", "th").agg(F.collect_list("w").alias("wants")), "wants")
+        once = base.join(wants, ["doc", "th"]).dropDuplicates(["doc", "th"])
+        texts = scratch.write(once.select("text", "wants").mapInArrow(_cut, "key bigint, seg bigint, windows int, bytes binary"), "texts")
+        deal = F.ceil(F.col("members") / BUCKET)
+        dealt = texts.join(sizes, "key").withColumn("dealt", deal > 1).withColumn("array", F.when(deal > 1, F.xxhash64("key", F.pmod("seg", deal))).otherwise(F.col("key")))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.solved = scratch.write(dealt.drop("members").repartition(parts, "array").sortWithinPartitions("array").mapInArrow(_arrays(window, length, with_groups), _ARRAY_ROWS), "solved")
+        scratch.drop(texts, sizes, wants)
+
+    def spans(self) -> DataFrame:
+        """(doc, th, spans, long): byte ranges of a row whose union is what repeated strings of ``window`` and of ``length`` bytes cover."""
+        again, segs, solved, window, length = self.again, self.segs, self.solved, self.window, self.length
+        none = F.array().cast(_RANGE)
+        size = F.col("bytes").cast("bigint")
+
+        def all_of(start):
+            """Spans of a segment whose every byte is repeated: at the size of windows, and at ``length`` where it is as long."""
+            one = F.array(F.struct(start.cast("bigint").alias("a"), (start + size).alias("b")))
+            return one.alias("spans"), F.when(size >= length, one).otherwise(none).alias("long")
+
+        whole = again.where("not mixed").select("doc", "th", *all_of(F.col("start")))
+        twice = solved.where("once is not null").groupBy("size", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("size", "h1", "h2")
+        # of a segment's windows any two overlap, so those that repeat cover one range
+        at = lambda n: F.when(F.col("size") == n, F.col("at"))
+        reach = lambda n: F.when(F.min(at(n)).isNotNull(), F.array(F.struct(F.min(at(n)).alias("a"), (F.max(at(n)) + n).alias("b")))).otherwise(none)
+        found = solved.where("once").select("size", "h1", "h2", "key", "seg", "at").join(twice, ["size", "h1", "h2"]).groupBy("key", "seg").agg(reach(window).alias("spans"), reach(length).alias("long"))
+        spans = solved.where("size is null").select("key", "seg", "spans", "long")
+        # a segment with several occurrences is covered as a whole
+        cover = self.scratch.write(
+            spans.unionByName(found).where(F.size("spans") > 0).select("key", "seg", "spans", "long")
+            .unionByName(segs.where("n > 1").select("key", "seg", *all_of(F.lit(0)))),
+            "cover",
+        )
+        self.scratch.drop(solved, segs)
+        move = lambda s: F.struct((F.col("start") + s.a).alias("a"), (F.col("start") + s.b).alias("b"))
+        part = again.where("mixed").join(cover, ["key", "seg"]).select("doc", "th", F.transform("spans", move).alias("spans"), F.transform("long", move).alias("long"))
+        return whole.unionByName(part)
+
+    def groups(self) -> DataFrame:
+        """(repeat, bytes, doc, th, start): see ``repeat_groups``."""
+        inside = self.solved.where("size is not null and once is null").select("key", "seg", F.col("h1").alias("repeat"), F.col("size").alias("bytes"), "at")
+        part = self.again.drop("bytes", "windows").join(inside, ["key", "seg"]).select("repeat", "bytes", "doc", "th", (F.col("start") + F.col("at")).alias("start"))
+        of_classes = self.again.join(self.segs.where("n > 1").select("key", "seg"), ["key", "seg"], "left_semi").unionByName(self.again.where("not mixed"))
+        whole = of_classes.select(F.col("seg").alias("repeat"), F.col("bytes").cast("bigint").alias("bytes"), "doc", "th", F.col("start").cast("bigint").alias("start"))
+        return part.unionByName(whole).distinct()
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, window: int = PASSAGE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(repeat, bytes, doc_id, start): every occurrence of every maximal repeat of ``window`` bytes or more, one a row.
+
+    repeat is a hash of the repeated bytes, so rows of one value form a group. Repeats are maximal inside
+    the segments that are compared (``window`` to some 650 bytes): a longer one appears as the repeats of its
+    segments, which overlap. Nested repeats are groups of their own. Nulls, equal rows and repeated ids are
+    handled as in ``remove_repeats``; a key that is dealt to several arrays gives groups for each.
+    """
+    found = _Search(docs, length, window, gram, id_col, text_col, True).groups()
+    return found.select("repeat", "bytes", F.nullif("doc", F.lit(-(1 << 63))).alias("doc_id"), "start")
 
 
 def passages(raw: bytes, runs: list[tuple[int, int]], words: int = WORDS) -> list[tuple[int, int, int]]:
@@ -407,7 +444,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = PASSAGE,
     rows of one id are documents of their own, and equal rows are repeats of each other. Null ids are
     kept. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
-    spans, scratch = repeated_spans(docs, length, window, gram, id_col, text_col)
-    per = scratch.write(spans.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("long")).alias("long")), "spans")
+    search = _Search(docs, length, window, gram, id_col, text_col, False)
+    spans = search.spans()
+    per = search.scratch.write(spans.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("long")).alias("long")), "spans")
     got = _rows(docs, id_col, text_col).join(per, ["doc", "th"], "left").select("doc_id", "text", "spans", "long")
     return got.mapInArrow(_digest, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_words bigint, spans {_RANGE}, passages array<struct<a:bigint,b:bigint,words:bigint>>")

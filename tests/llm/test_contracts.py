@@ -77,6 +77,24 @@ def test_suffix_dedup_passages_and_repeated_ids(spark):
     assert [g[3] for g in got[:4]] == [[], [52], [52], []] and all(g[2] == 1 for g in got[4:])
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    """Each group holds every place where its bytes stand, told by a search through all texts; a planted passage is one."""
+    own = lambda k: " ".join(f"o{k}x{i}" for i in range(60))
+    passage, inner = "P" + " ".join(f"word{k:02d}" for k in range(45)), " ".join(f"in{k:02d}" for k in range(60))
+    some = [(1, f"{own(1)}{passage}{own(2)}"), (2, f"{own(3)}{passage}{own(4)}"), (3, f"{own(5)}{passage}"), (4, f"{own(6)}a{inner}b"), (5, f"{own(7)}c{inner}d{own(8)}e{inner}"), (6, own(9))]
+    raw = {i: t.encode() for i, t in some}
+    got: dict[tuple[int, int], set] = {}
+    for r in suffix_dedup.repeat_groups(spark.createDataFrame(some, "doc_id long, text string")).collect():
+        got.setdefault((r.repeat, r.bytes), set()).add((r.doc_id, r.start))
+    for (_, n), places in got.items():
+        texts = {raw[i][a : a + n] for i, a in places}
+        every = {(i, a) for i, t in raw.items() for a in range(len(t)) if t[a : a + n] in texts and len(t) >= a + n}
+        assert len(texts) == 1 and n >= 256 and places == every and len(places) > 1
+    held = {i: {x for p in got.values() for x in p if x[0] == i} for i in raw}
+    assert all(held[i] for i in range(1, 6)) and not held[6]
+    assert any({i for i, _ in p} == {1, 2, 3} for p in got.values()) and any(sorted(i for i, _ in p) == [4, 5, 5] for p in got.values())
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"xabcabcy", b"zabcabcw"]
     found = suffix_dedup.maximal_repeats(texts, [6, 6], 3)
