@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, signal
 from ..operators import packets as pk
 from ..operators import payloads
-from ..sources import containers, dump, images, tracks
+from ..sources import containers, dump, images, jpeg, tracks
 from ..sources.scratch import scratch_path
 from .bridge import PACKETS, PIXELS, SAMPLES, packets, pixels, samples, table, text_of
 from .registry import query
@@ -133,6 +133,19 @@ for _kind in ("bmp", "png"):
     query(f"WITH {PIXELS} SELECT image_id, x, y, c0, c1, c2 FROM px")(_f)
 
 
+@query(f"""WITH {PIXELS} SELECT image_id, count(*) AS pixels, CAST(round(round((sum(0.299::DOUBLE*c0 + 0.587::DOUBLE*c1 + 0.114::DOUBLE*c2) - 8192) / 8 / 8, 9)) AS INTEGER) AS luma, CAST(round(round(sum(-0.168736::DOUBLE*c0 - 0.331264::DOUBLE*c1 + 0.5::DOUBLE*c2) / 8 / 9, 9)) AS INTEGER) AS blue, TRUE AS near FROM px GROUP BY image_id""")
+def jpeg_blocks(spark, sf_dir):
+    """Images of embeddings as JPEG files of quality 75: the mean coefficients of their scans, and whether pixels come back near what they were."""
+    rows = pixels(spark, sf_dir)
+    files = images.image_files(rows, "jpeg")
+    of = lambda c: F.max(F.when(F.col("component") == c, F.get("coeff", F.lit(0))))
+    scan = jpeg.coefficients(files, key="image_id").groupBy("image_id").agg(of(0).alias("luma"), of(1).alias("blue"))
+    back = images.pixels(files, key="image_id").select("image_id", "x", "y", F.array("c0", "c1", "c2").alias("back"))
+    error = F.avg(F.abs(F.get("back", F.lit(1)) - F.col("c1")))
+    near = rows.join(back, ["image_id", "x", "y"]).groupBy("image_id").agg(F.count("*").alias("pixels"), (error < 40).alias("near"))
+    return near.join(scan, "image_id")
+
+
 @query(f"""WITH {PIXELS}, y AS (SELECT image_id, string_agg(CAST(CAST(floor(least(greatest(0.299::DOUBLE*c0+0.587::DOUBLE*c1+0.114::DOUBLE*c2, 0.0), 255.0)) AS INTEGER) AS VARCHAR), ',' ORDER BY y, x) AS luma FROM px GROUP BY image_id),
 b AS (SELECT image_id, x // 2 AS xb, y // 2 AS yb, floor(least(greatest(avg(-0.14713::DOUBLE*c0-0.28886::DOUBLE*c1+0.436::DOUBLE*c2+128), 0.0), 255.0)) AS u FROM px GROUP BY ALL)
 SELECT y.image_id, luma, string_agg(CAST(CAST(u AS INTEGER) AS VARCHAR), ',' ORDER BY yb, xb) AS u FROM y JOIN b ON y.image_id = b.image_id GROUP BY y.image_id, luma""")

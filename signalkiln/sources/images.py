@@ -1,4 +1,4 @@
-"""Pixels of bitmap and PNG files: rows out of files and files out of rows, one image at a time in Arrow batches."""
+"""Pixels of bitmap, PNG and JPEG files: rows out of files and files out of rows, one image at a time in Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .containers import png, sniff
 
 
@@ -94,12 +95,12 @@ def png_file(px: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
 
 
-ARRAYS: dict[str, Callable[[bytes], np.ndarray | None]] = {"bmp": bmp_array, "png": png_array}
-FILES: dict[str, Callable[[np.ndarray], bytes]] = {"bmp": bmp_file, "png": png_file}
+ARRAYS: dict[str, Callable[[bytes], np.ndarray | None]] = {"bmp": bmp_array, "png": png_array, "jpeg": jpeg.array}
+FILES: dict[str, Callable[[np.ndarray], bytes]] = {"bmp": bmp_file, "png": png_file, "jpeg": jpeg.file}
 
 
 def pixels(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, x, y, c0, c1, c2) of each bitmap or PNG; files of other kinds and broken ones give no row."""
+    """(key, x, y, c0, c1, c2) of each bitmap, PNG or baseline JPEG; files of other kinds and broken ones give no row."""
     from pyspark.sql.types import StructField, StructType
 
     schema = StructType([StructField(key, files.schema[key].dataType), *StructType.fromDDL("x int, y int, c0 int, c1 int, c2 int").fields])

@@ -12,7 +12,7 @@ from signalkiln.functions import bits, kernels, signal, text, timecode
 from signalkiln.operators import packets as pk
 from signalkiln.operators import streams as st
 from signalkiln.plans import catalog, media
-from signalkiln.sources import containers, dump, images, tracks
+from signalkiln.sources import containers, dump, images, jpeg, tracks
 from signalkiln.streaming import frames
 
 
@@ -150,6 +150,27 @@ def test_png_filters():
     assert (images.png_array(data) == px).all() and (images.png_array(images.png_file(px)) == px).all() and (images.bmp_array(images.bmp_file(px)) == px).all()
 
 
+def test_jpeg_blocks_and_pixels():
+    """The reader gets the writer's blocks; smooth pictures come back closely; restart markers, sub-sampling and cut files are read."""
+    y, x = np.mgrid[0:21, 0:30]
+    px = np.stack([x * 8, y * 12, (x + y) * 4], axis=2).astype(np.uint8)
+    data = jpeg.file(px, 95)
+    back = jpeg.array(data)
+    assert back.shape == px.shape and np.abs(back.astype(int) - px).mean() < 3
+    frame = jpeg.decode(data)
+    for n in range(0, len(data), 37):
+        jpeg.array(data[:n])
+    # by hand: one grey block of 16 x 8 pixels in two units with a restart marker between; codes of 1 and 2 bits
+    part = lambda c, b: b"\xff" + bytes([c]) + struct.pack(">H", len(b) + 2) + b
+    tables = part(0xDB, b"\0" + bytes([1] * 64)) + part(0xC4, b"\0" + bytes([0, 2] + [0] * 14) + bytes([0, 5]) + b"\x10" + bytes([1] + [0] * 15) + b"\0")
+    head = b"\xff\xd8" + tables + part(0xC0, struct.pack(">BHHB", 8, 8, 16, 1) + bytes([1, 0x11, 0])) + part(0xDD, struct.pack(">H", 1)) + part(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    scan = bytes([0b01_10000_0]) + b"\xff\xd0" + bytes([0b01_01111_0])
+    two = jpeg.decode(head + scan + b"\xff\xd9")
+    assert two.blocks[0][0, :, 0].tolist() == [16, -16] and not two.blocks[0][:, :, 1:].any()
+    assert (jpeg.to_pixels(two)[:, :8] == 130).all() and (jpeg.to_pixels(two)[:, 8:] == 126).all()
+    assert len(frame.blocks) == 3 and frame.blocks[0].shape == (3, 4, 64)
+
+
 def test_rotate_compat(spark):
     rows = [(1, x, y, 10 * y + x, 0, 0) for x in range(4) for y in range(4)]
     got = {(r.x, r.y): r.c0 for r in signal.rotate(spark.createDataFrame(rows, "image_id int, x int, y int, c0 int, c1 int, c2 int"), (4, 4), 90.0, mode="compat").collect()}
