@@ -68,15 +68,15 @@ def jpeg_header(payload: Column) -> Column:
 
 
 def jpeg_scans(packets: DataFrame) -> DataFrame:
-    """(ssrc, rtp_ts, width, height, type, quality, tables, complete, scan): the fragments of each image by offset."""
+    """(ssrc, rtp_ts, width, height, type, quality, restart, tables, complete, scan): the fragments of each image by offset."""
     rows = packets.select("ssrc", "rtp_ts", "marker", jpeg_header(F.col("payload")).alias("h")).select("ssrc", "rtp_ts", "marker", "h.*")
     first = lambda c: F.min_by(c, "offset").alias(c)
     got = rows.groupBy("ssrc", "rtp_ts").agg(
-        *(first(c) for c in ("width", "height", "type", "quality", "tables")), F.min("offset").alias("low"), F.max(F.col("offset") + F.octet_length("scan")).alias("high"), F.sum(F.octet_length("scan")).alias("bytes"), F.bool_or("marker").alias("ended"),
+        *(first(c) for c in ("width", "height", "type", "quality", "restart", "tables")), F.min("offset").alias("low"), F.max(F.col("offset") + F.octet_length("scan")).alias("high"), F.sum(F.octet_length("scan")).alias("bytes"), F.bool_or("marker").alias("ended"),
         F.array_sort(F.collect_list(F.struct("offset", "scan"))).alias("parts"),
     )
     whole = (F.col("low") == 0) & F.col("ended") & (F.col("high") == F.col("bytes"))
-    return got.select("ssrc", "rtp_ts", "width", "height", "type", "quality", "tables", whole.alias("complete"), join_bytes(F.transform("parts", lambda x: x["scan"])).alias("scan"))
+    return got.select("ssrc", "rtp_ts", "width", "height", "type", "quality", "restart", "tables", whole.alias("complete"), join_bytes(F.transform("parts", lambda x: x["scan"])).alias("scan"))
 
 
 def rtmp_chunk(b: Column) -> Column:

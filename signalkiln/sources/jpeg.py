@@ -11,8 +11,10 @@ from dataclasses import dataclass, field
 from struct import error, pack, unpack_from
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.kernels import COSINE
 from ..functions.signal import CHROMINANCE, LUMINANCE, ZIGZAG
@@ -196,9 +198,48 @@ def _scaled(table: tuple, quality: int) -> np.ndarray:
     return np.clip((np.array(table) * scale + 50) // 100, 1, 255)
 
 
-#: Codes of the writer: all symbols of a kind have one length, by number, so that no table is needed. Valid, not the shortest.
-_DC = (4, list(range(12)))
-_AC = (8, [0x00, 0xF0, *(run << 4 | n for run in range(16) for n in range(1, 11))])
+def _rest(known: list[int], first: int) -> list[int]:
+    """Behind the ``known`` symbols the others by number, of runs 0 to 15 and sizes from ``first`` (10 at most)."""
+    return known + [x for x in sorted(run << 4 | n for run in range(16) for n in range(1, 11)) if x not in known and (x & 15) >= first]
+
+
+#: Codes of ITU-T T.81 annex K (fixed values): how many of each length from 1 to 16, and their symbols. The longest stand by number.
+DC_LUMINANCE = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), list(range(12)))
+DC_CHROMINANCE = ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), list(range(12)))
+AC_LUMINANCE = ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), _rest([
+    0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1,
+    0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82,
+], 1))
+AC_CHROMINANCE = ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), _rest([
+    0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1,
+    0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1,
+], 1))
+CODES = ((0x00, DC_LUMINANCE), (0x10, AC_LUMINANCE), (0x01, DC_CHROMINANCE), (0x11, AC_CHROMINANCE))
+
+
+def _words(codes: tuple[tuple[int, ...], list[int]]) -> dict[int, str]:
+    """The bits of each symbol."""
+    out, code, k = {}, 0, 0
+    for n, count in enumerate(codes[0], 1):
+        for _ in range(count):
+            out[codes[1][k]] = format(code, f"0{n}b")
+            code, k = code + 1, k + 1
+        code <<= 1
+    return out
+
+
+def part(code: int, body: bytes) -> bytes:
+    return b"\xff" + bytes([code]) + pack(">H", len(body) + 2) + body
+
+
+def headers(width: int, height: int, luminance: bytes, chrominance: bytes, factors: tuple[int, int] = (1, 1), restart: int = 0) -> bytes:
+    """All of a three-component file in front of its scan; tables in zigzag order, ``factors`` of the first component."""
+    dqt = b"\0" + luminance + b"\1" + chrominance
+    dht = b"".join(bytes([k]) + bytes(counts) + bytes(symbols) for k, (counts, symbols) in CODES)
+    sof = pack(">BHHB", 8, height, width, 3) + bytes((1, factors[0] << 4 | factors[1], 0, 2, 0x11, 1, 3, 0x11, 1))
+    app = b"JFIF\0" + pack(">HBHHBB", 0x101, 0, 1, 1, 0, 0)
+    dri = part(0xDD, pack(">H", restart)) if restart else b""
+    return b"\xff\xd8" + part(0xE0, app) + part(0xDB, dqt) + part(0xC0, sof) + dri + part(0xC4, dht) + part(0xDA, bytes((3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0)))
 
 
 def file(px: np.ndarray, quality: int = 75) -> bytes:
@@ -215,32 +256,54 @@ def file(px: np.ndarray, quality: int = 75) -> bytes:
         y = np.einsum("ik,rckl,jl->rcij", COSINE, x, COSINE).reshape(rows, columns, 64)
         q = np.round(y / table, 9)  # halves away from zero, whatever the last bits of the sums
         blocks.append(np.trunc(q + np.copysign(0.5, q))[:, :, _ORDER].astype(int))
-    word = {s: format(i, f"0{_AC[0]}b") for i, s in enumerate(_AC[1])}
+    words = [tuple(_words(c) for c in (DC_LUMINANCE, AC_LUMINANCE)), *[tuple(_words(c) for c in (DC_CHROMINANCE, AC_CHROMINANCE))] * 2]
     signed = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
     out, before = [], [0, 0, 0]
     for at in np.ndindex(rows, columns):
         for k in range(3):
             c = blocks[k][at].tolist()
             step, before[k] = c[0] - before[k], c[0]
-            out += [format(abs(step).bit_length(), "04b"), signed(step)]
+            dc, ac = words[k]
+            out += [dc[abs(step).bit_length()], signed(step)]
             run = 0
             for v in c[1:]:
                 if not v:
                     run += 1
                     continue
-                out += [word[0xF0]] * (run // 16) + [word[run % 16 << 4 | abs(v).bit_length()], signed(v)]
+                out += [ac[0xF0]] * (run // 16) + [ac[run % 16 << 4 | abs(v).bit_length()], signed(v)]
                 run = 0
             if run:
-                out.append(word[0])
+                out.append(ac[0])
     bits = "".join(out)
     bits += "1" * (-len(bits) % 8)
     scan = int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\x00")
-    part = lambda code, body: b"\xff" + bytes([code]) + pack(">H", len(body) + 2) + body
-    dqt = b"".join(bytes([k]) + bytes(tables[k][_ORDER].tolist()) for k in (0, 1))
-    dht = b"".join(bytes([kind << 4]) + bytes(len(codes) if n == k else 0 for k in range(1, 17)) + bytes(codes) for kind, (n, codes) in enumerate((_DC, _AC)))
-    sof = pack(">BHHB", 8, height, width, 3) + bytes((1, 0x11, 0, 2, 0x11, 1, 3, 0x11, 1))
-    app = b"JFIF\0" + pack(">HBHHBB", 0x101, 0, 1, 1, 0, 0)
-    return b"\xff\xd8" + part(0xE0, app) + part(0xDB, dqt) + part(0xC0, sof) + part(0xC4, dht) + part(0xDA, bytes((3, 1, 0, 2, 0, 3, 0, 0, 63, 0))) + scan + b"\xff\xd9"
+    lum, chroma = (bytes(tables[k][_ORDER].tolist()) for k in (0, 1))
+    return headers(width, height, lum, chroma) + scan + b"\xff\xd9"
+
+
+def from_scan(width: int, height: int, kind: int, quality: int, restart: int | None, tables: bytes | None, scan: bytes) -> bytes | None:
+    """The file of an RTP image (RFC 2435): types 0 and 1, and 64 and 65 with restart markers; null for other types or missing tables."""
+    if kind & 63 not in (0, 1) or kind > 127 or not (width and height):
+        return None
+    if quality >= 128:
+        if not tables or len(tables) < 128:
+            return None
+        lum, chroma = tables[:64], tables[64:128]
+    elif 1 <= quality <= 99:
+        lum, chroma = (bytes(_scaled(t, quality)[_ORDER].tolist()) for t in (LUMINANCE, CHROMINANCE))
+    else:
+        return None
+    tail = b"" if scan.endswith(b"\xff\xd9") else b"\xff\xd9"
+    return headers(width, height, lum, chroma, (2, 1 + (kind & 1)), restart or 0) + scan + tail
+
+
+def rtp_files(scans: DataFrame) -> DataFrame:
+    """Adds content, the JPEG file, to the images that ``payloads.jpeg_scans`` gives; null where there is none."""
+    @F.pandas_udf("binary")
+    def build(w: pd.Series, h: pd.Series, kind: pd.Series, quality: pd.Series, restart: pd.Series, tables: pd.Series, scan: pd.Series) -> pd.Series:
+        return pd.Series([from_scan(int(a), int(b), int(c), int(d), None if pd.isna(e) else int(e), f, g) for a, b, c, d, e, f, g in zip(w, h, kind, quality, restart, tables, scan, strict=True)], dtype=object)
+
+    return scans.withColumn("content", build("width", "height", "type", "quality", "restart", "tables", "scan"))
 
 
 def coefficients(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

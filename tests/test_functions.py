@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from signalkiln.functions import bits, kernels, signal, text, timecode
 from signalkiln.operators import packets as pk
+from signalkiln.operators import payloads
 from signalkiln.operators import streams as st
 from signalkiln.plans import catalog, media
 from signalkiln.sources import containers, dump, images, jpeg, tracks
@@ -171,6 +172,47 @@ def test_jpeg_blocks_and_pixels():
     assert len(frame.blocks) == 3 and frame.blocks[0].shape == (3, 4, 64)
 
 
+def test_jpeg_codes_are_whole():
+    """Each kind of code has every symbol once, leaves no code over but the last, and counts as many as it lists."""
+    for kind, (counts, symbols) in jpeg.CODES:
+        want = set(range(12)) if kind < 16 else {0x00, 0xF0} | {r << 4 | n for r in range(16) for n in range(1, 11)}
+        assert sum(counts) == len(symbols) and set(symbols) == want and sum(c / 2**n for n, c in enumerate(counts, 1)) < 1
+
+
+def test_jpeg_over_packets(spark):
+    """A picture with halved chroma, built from grey blocks by the writer, cut into packets and joined to a file again."""
+    y, x = np.mgrid[0:16, 0:32]
+    grey = (x * 6 + y * 2).astype(np.uint8)
+    whole = jpeg.file(np.repeat(grey[:, :, None], 3, axis=2), 90)
+    frame = jpeg.decode(whole)
+    tables = bytes(frame.quant[0].tolist()) + bytes(frame.quant[1].tolist())
+    # one scan of units of 2 x 2 grey blocks and two blank chroma blocks, coded by the standard's words
+    dc, ac, cdc, cac = (jpeg._words(c) for c in (jpeg.DC_LUMINANCE, jpeg.AC_LUMINANCE, jpeg.DC_CHROMINANCE, jpeg.AC_CHROMINANCE))
+    signed = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
+    bits, before = "", 0
+    for col in (0, 2):
+        for by, bx in ((0, col), (0, col + 1), (1, col), (1, col + 1)):
+            c = frame.blocks[0][by, bx].tolist()
+            step, before = c[0] - before, c[0]
+            bits += dc[abs(step).bit_length()] + signed(step)
+            run = 0
+            for v in c[1:]:
+                if v:
+                    bits += ac[0xF0] * (run // 16) + ac[run % 16 << 4 | abs(v).bit_length()] + signed(v)
+                run = 0 if v else run + 1
+            bits += ac[0] * (run > 0)
+        bits += 2 * (cdc[0] + cac[0])
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\x00")
+    half = len(scan) // 2
+    head = lambda at: b"\0" + at.to_bytes(3) + bytes([1, 255, 4, 2])
+    packets = [(1, 0, True, head(half) + scan[half:]), (1, 0, False, head(0) + b"\0\0\0\x80" + tables + scan[:half])]
+    got = jpeg.rtp_files(payloads.jpeg_scans(spark.createDataFrame(packets, "ssrc long, rtp_ts long, marker boolean, payload binary"))).first()
+    assert got.complete and (got.width, got.height) == (32, 16)
+    assert np.abs(jpeg.array(bytes(got.content)).astype(int)[:, :, 0] - grey).mean() < 3
+    assert jpeg.from_scan(32, 16, 2, 50, None, None, b"") is None and jpeg.from_scan(32, 16, 0, 255, None, None, b"") is None
+
+
 def test_rotate_compat(spark):
     rows = [(1, x, y, 10 * y + x, 0, 0) for x in range(4) for y in range(4)]
     got = {(r.x, r.y): r.c0 for r in signal.rotate(spark.createDataFrame(rows, "image_id int, x int, y int, c0 int, c1 int, c2 int"), (4, 4), 90.0, mode="compat").collect()}
