@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import int_bytes, join_bytes, u8, u16, u32
+from ..functions.bits import int_bytes, join_bytes, let, u8, u16, u32
 
 #: Static payload types of RFC 3551: number, name, media, clock rate, channels (fixed values).
 STATIC_TYPES = [
@@ -171,6 +171,40 @@ def adts_header(profile: Column, rate_index: Column, channels: Column, length: C
     return int_bytes(word + low, 7)
 
 
+def _starts(sizes: Column) -> Column:
+    """Where each of several parts in a row begins, from 0."""
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x.cast("int")))
+
+
+def aac_units(b: Column) -> Column:
+    """RFC 3640 access units, array<struct<ord, unit>>, with 13-bit sizes and 3-bit indices."""
+    n = F.floor(u16(b, 0) / 16).cast("int")
+    sizes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.shiftright(F.coalesce(u16(b, 2 + 2 * i), F.lit(0)), 3).cast("int"))
+    one = lambda i, size, starts: F.struct(i.alias("ord"), F.substring(b, 3 + 2 * n + F.get(starts, i), size).alias("unit"))
+    return F.when(n > 0, let(sizes, lambda s: let(_starts(s), lambda at: F.transform(F.sequence(F.lit(0), n - 1), lambda i: one(i, F.get(s, i), at)))))
+
+
+def redundant_blocks(b: Column) -> Column:
+    """RFC 2198 blocks, array<struct<ord, payload_type, ts_offset, block>>; the last is the primary one.
+
+    A head of 4 bytes has its top bit set; the first byte without it is the head of the primary block.
+    """
+    heads = F.regexp_extract(F.hex(b), "^((?:[89A-F][0-9A-F]{7})*+)[0-7]", 1)
+    n = (F.length(heads) / 8).cast("int")
+    word = lambda i: u32(b, 4 * i)
+    every = F.sequence(F.lit(0), n)
+    size = lambda i: F.when(i < n, word(i).bitwiseAND(F.lit(1023))).otherwise(F.octet_length(b)).cast("int")
+    one = lambda i, at: F.struct(
+        i.alias("ord"), u8(b, 4 * i).bitwiseAND(F.lit(127)).cast("int").alias("payload_type"), F.when(i < n, F.shiftright(word(i), 10).bitwiseAND(F.lit(16383))).otherwise(0).cast("int").alias("ts_offset"),
+        F.substring(b, 4 * n + 2 + F.get(at, i), size(i)).alias("block"),
+    )
+    return F.when(F.hex(b).rlike("^(?:[89A-F][0-9A-F]{7})*+[0-7]"), let(_starts(F.transform(every, size)), lambda at: F.transform(every, lambda i: one(i, at))))
+
+
+#: Formats whose records are found by columns alone.
+COLUMN_SPLITTERS = {"aac": aac_units, "redundant": redundant_blocks}
+
+
 # --- records whose place depends on the record before ---------------------------------------------
 
 
@@ -192,23 +226,6 @@ def _interleaved(data: bytes) -> Iterator[tuple]:
         at = end
 
 
-def _redundant(data: bytes) -> Iterator[tuple]:
-    """RFC 2198 blocks (ord, payload type, timestamp offset, block); the last is the primary one."""
-    heads, at = [], 0
-    while at + 4 <= len(data) and data[at] & 0x80:
-        v = int.from_bytes(data[at : at + 4])
-        heads.append(((v >> 24) & 0x7F, (v >> 10) & 0x3FFF, v & 0x3FF))
-        at += 4
-    if at >= len(data):
-        return
-    heads.append((data[at] & 0x7F, 0, None))
-    at += 1
-    for i, (pt, offset, n) in enumerate(heads):
-        block = data[at:] if n is None else data[at : at + n]
-        yield i, pt, offset, block
-        at += len(block)
-
-
 def _h264(data: bytes) -> Iterator[tuple]:
     """RFC 6184 units (ord, nal type, first part, last part, bytes) of one payload."""
     if len(data) < 2:
@@ -232,18 +249,6 @@ def _h264(data: bytes) -> Iterator[tuple]:
         yield 0, kind, True, True, data
 
 
-def _aac(data: bytes) -> Iterator[tuple]:
-    """RFC 3640 access units (ord, unit) with 13-bit sizes and 3-bit indices."""
-    if len(data) < 2:
-        return
-    n = int.from_bytes(data[:2]) // 16
-    at = 2 + 2 * n
-    for i in range(n):
-        size = int.from_bytes(data[2 + 2 * i : 4 + 2 * i]) >> 3
-        yield i, data[at : at + size]
-        at += size
-
-
 def _sdes(data: bytes) -> Iterator[tuple]:
     """(ssrc, item type, value) of a source description packet."""
     at, chunks = 4, data[0] & 31 if data else 0
@@ -262,9 +267,7 @@ def _sdes(data: bytes) -> Iterator[tuple]:
 #: Splitter, output columns.
 SPLITTERS = {
     "interleaved": (_interleaved, "offset int, channel int, payload binary"),
-    "redundant": (_redundant, "ord int, payload_type int, ts_offset int, block binary"),
     "h264": (_h264, "ord int, nal_type int, starts boolean, ends boolean, unit binary"),
-    "aac": (_aac, "ord int, unit binary"),
     "sdes": (_sdes, "item_ssrc bigint, item_type int, value string"),
 }
 
@@ -272,10 +275,13 @@ SPLITTERS = {
 def split(rows: DataFrame, kind: str, column: str = "payload") -> DataFrame:
     """Every row once for each record of its ``column``, with the record's columns; without that column itself.
 
-    Runs in Arrow batches beside the data; no shuffle. Null bytes give no row.
+    By columns where the format allows it, else in Arrow batches beside the data; no shuffle. Null bytes give no row.
     """
     from pyspark.sql.types import StructType
 
+    if kind in COLUMN_SPLITTERS:
+        keep = [c for c in rows.columns if c != column]
+        return rows.select(*keep, F.inline(COLUMN_SPLITTERS[kind](F.col(column))))
     walk, extra = SPLITTERS[kind]
     added = StructType.fromDDL(extra)
     keep = [c for c in rows.columns if c != column]
