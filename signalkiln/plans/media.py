@@ -30,6 +30,7 @@ FILES = {
     "nut": ("6E75742F6D756C74696D6564696120636F6E7461696E657200" "4E4D7A561F4904AD04" "01020304", [(0, "main", 34, 4, True)]),
     "mpeg": ("000001BA44000000000000000" "0F8" "000001E0000480000000", [(0, "ba", 4, 10, True), (0, "e0", 20, 4, True)]),
     "flac": ("664C614380000004" "01020304" "FFF8", [(0, "0", 8, 4, True), (0, "frames", 12, 2, True)]),
+    "flac frames": ("664C61438000000401020304FFF8C91800C2AAFFF8BBFFF8C918C2800ECCDD", [(0, "0", 8, 4, True), (0, "frame:0", 12, 10, True), (0, "frame:128", 22, 9, True)]),
     "png": ("89504E470D0A1A0A" "0000000D49484452" "00000001000000010802000000" "907753DE" "0000000049454E44AE426082", [(0, "IHDR", 16, 13, True), (0, "IEND", 41, 0, True)]),
     "jpeg": ("FFD8FFE000044A46FFD9", [(0, "d8", 2, 0, True), (0, "e0", 6, 2, True), (0, "d9", 10, 0, True)]),
     "bmp": ("424D3A0000000000000036000000" "28000000010000000100000001001800" "0000000004000000130B0000130B00000000000000000000" "0000FF00", [(0, "header", 14, 40, True), (0, "pixels", 54, 4, True)]),
@@ -169,6 +170,16 @@ def g722_roundtrip(spark, sf_dir):
     return got.select("vec_id", F.col("codes").alias("n_codes"), F.size("s").alias("n_samples"), (power(behind) < 0.01 * power(F.slice("was", 100, 190))).alias("near"), F.hex("quiet").alias("silence"))
 
 
+@query("SELECT r_regionkey, CAST(k.n AS INTEGER) AS size, CAST(u AS INTEGER) AS unit, CAST(256 + u AS INTEGER) AS pid, 184 AS bytes FROM region, (VALUES (188), (192), (204)) k(n), range(3) t(u)")
+def ts_unit_sizes(spark, sf_dir):
+    """Transport streams of plain units, of units behind a time stamp, and of units in front of error correction."""
+    unit = lambda u: b"\x47" + (256 + u).to_bytes(2) + b"\x10" + bytes([u]) * 184
+    streams = {188: b"".join(unit(u) for u in range(3)), 192: b"".join(b"\0\0\0\1" + unit(u) for u in range(3)), 204: b"".join(unit(u) + b"\x11" * 16 for u in range(3))}
+    some = F.explode(F.array(*(F.struct(F.lit(n).alias("size"), F.lit(d).alias("content")) for n, d in streams.items()))).alias("f")
+    rows = table(spark, sf_dir, "region").select("r_regionkey", some).select(F.struct("r_regionkey", "f.size").alias("k"), "f.content")
+    return containers.ts_units(rows, key="k").select("k.r_regionkey", "k.size", "unit", "pid", F.octet_length("payload").alias("bytes"))
+
+
 # --- dumps ----------------------------------------------------------------------------------------
 
 

@@ -200,16 +200,57 @@ def start_codes(d: bytes) -> Iterator[Node]:
         at = d.find(b"\0\0\1", end)
 
 
+def _crc8(d: bytes) -> int:
+    """Of the polynomial x^8 + x^2 + x + 1."""
+    r = 0
+    for x in d:
+        r ^= x
+        for _ in range(8):
+            r = (r << 1 ^ 0x07 if r & 0x80 else r << 1) & 0xFF
+    return r
+
+
+def _flac_header(d: bytes, at: int) -> int | None:
+    """The number of the frame or sample that a frame header at ``at`` counts; null where none stands or its check fails."""
+    if at + 6 > len(d) or d[at] != 0xFF or d[at + 1] & 0xFE != 0xF8 or d[at + 3] & 1:
+        return None
+    size, rate = d[at + 2] >> 4, d[at + 2] & 15
+    if not size or rate == 15 or d[at + 3] >> 4 > 10:
+        return None
+    lead = d[at + 4]
+    more = 0 if lead < 0x80 else 7 - (lead ^ 0xFF).bit_length()
+    if more < 0 or lead in (0xFE, 0xFF) and more > 6:
+        return None
+    end = at + 5 + more + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if end >= len(d) or _crc8(d[at:end]) != d[end]:
+        return None
+    number = lead if lead < 0x80 else lead & (0x3F >> more)
+    for x in d[at + 5 : at + 5 + more]:
+        number = number << 6 | x & 0x3F
+    return number
+
+
 def flac(d: bytes) -> Iterator[Node]:
-    """Metadata blocks by type number, then the frames as one node."""
-    at, last = 4, d[:4] != b"fLaC"
+    """Metadata blocks by type number, then the frames by the number that each counts; a frame ends where a header with a right check begins."""
+    if d[:4] != b"fLaC":
+        return
+    at, last = 4, False
     while not last and at + 4 <= len(d):
         last, kind, size = d[at] > 127, d[at] & 127, int.from_bytes(d[at + 1 : at + 4])
         end, whole = _end(at + 4, size, len(d))
         yield 0, str(kind), at + 4, size, whole
         at = end
-    if at < len(d) and d[:4] == b"fLaC":
+    number = _flac_header(d, at)
+    if at < len(d) and number is None:
         yield 0, "frames", at, len(d) - at, True
+    while number is not None:
+        nxt, following = at + 2, None
+        while following is None and (nxt := d.find(b"\xff", nxt)) >= 0:
+            following = _flac_header(d, nxt)
+            nxt += following is None
+        end = len(d) if following is None else nxt
+        yield 0, f"frame:{number}", at, end - at, True
+        at, number = end, following
 
 
 def png(d: bytes) -> Iterator[Node]:
@@ -317,10 +358,15 @@ def write_at(content: Column, offset: Column, data: Column) -> Column:
 def ts_units(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, unit, error, starts, priority, pid, scrambling, adaptation, counter, pcr, payload) of 188-byte units.
 
-    Pure column expressions. Units without the sync byte are left out.
+    Pure column expressions. Units of 192 bytes (a time stamp of 4 in front) and of 204 (16 of error
+    correction behind) are told by their sync bytes. Units without the sync byte are left out.
     """
-    n = F.floor(F.octet_length(content) / 188).cast("int")
-    unit = F.explode(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("unit"), F.substring(F.col(content), i * 188 + 1, F.lit(188)).alias("raw")))))
+    sync = lambda at: F.coalesce(u8(F.col(content), at) == 0x47, F.lit(False))
+    short = F.octet_length(content) < 189
+    step = F.when(sync(0) & (short | sync(188)), 188).when(sync(4) & sync(196), 192).when(sync(0) & sync(204), 204).otherwise(188)
+    before = F.when(step == 192, 4).otherwise(0)
+    n = F.floor((F.octet_length(content) - before - 188) / step).cast("int")
+    unit = F.explode(F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("unit"), F.substring(F.col(content), i * step + before + 1, F.lit(188)).alias("raw")))))
     rows = files.select(key, unit.alias("u")).select(key, "u.unit", F.col("u.raw").alias("raw")).where(u8(F.col("raw"), 0) == 0x47)
     raw = F.col("raw")
     control = bits_msb(raw, 26, 2)
