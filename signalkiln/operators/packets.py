@@ -77,6 +77,24 @@ def valid(h: Column, known_types: list[int]) -> Column:
     return (h["version"] == 2) & h["payload_type"].isin(known_types) & h["complete"] & (~h["padding"] | (h["padding_len"].between(1, 255) & (room >= 0)))
 
 
+def _avp(h: Column) -> Column:
+    static = [t[0] for t in STATIC_TYPES]
+    return valid(h, [*static, *range(96, 128)]) & ~h["payload_type"].between(72, 76)
+
+
+#: What the packets of a profile must be, as functions of a parsed header; users may add to it.
+PROFILES = {
+    "RTP/AVP": _avp,
+    "redundant": lambda h: valid(h, list(range(96, 128))) & (F.size(redundant_blocks(h["payload"])) > 0),
+    "access units": lambda h: valid(h, list(range(96, 128))) & (F.size(aac_units(h["payload"])) > 0),
+}
+
+
+def valid_for(h: Column, profile: str) -> Column:
+    """Whether a parsed packet is one of the profile; false where that cannot be told."""
+    return F.coalesce(PROFILES[profile](h), F.lit(False))
+
+
 def is_control(b: Column) -> Column:
     """RFC 5761: second bytes 192 to 223 are control packets."""
     return u8(b, 1).between(192, 223)

@@ -180,6 +180,17 @@ def ts_unit_sizes(spark, sf_dir):
     return containers.ts_units(rows, key="k").select("k.r_regionkey", "k.size", "unit", "pid", F.octet_length("payload").alias("bytes"))
 
 
+@query(f"WITH {SAMPLES} SELECT vec_id, 172 AS bytes, array_to_string(s, ',') AS pcm FROM sm")
+def wave_files(spark, sf_dir):
+    """Samples written as WAVE files below the shared folder, one file a row, and read again by Spark's own reader of binary files."""
+    path = scratch_path(spark, "waves")
+    files = samples(spark, sf_dir).select("vec_id", containers.wav_bytes(F.col("s"), 8000).alias("content"))
+    containers.write_files(files, path, ".wav", key="vec_id").write.mode("overwrite").parquet(f"{path}-manifest")
+    done = spark.read.parquet(f"{path}-manifest")
+    back = containers.read_files(spark, path, "*.wav").withColumn("vec_id", F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint"))
+    return back.join(done.select("vec_id", "bytes"), "vec_id").select("vec_id", "bytes", text_of(containers.pcm16(F.col("content"), F.lit(44), F.lit(128))).alias("pcm"))
+
+
 # --- dumps ----------------------------------------------------------------------------------------
 
 

@@ -115,6 +115,17 @@ def feedback_report(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", f["fmt"].alias("fmt"), f["sender_ssrc"].alias("sender_ssrc"), f["media_ssrc"].alias("media_ssrc"), F.hex(f["fci"]).alias("fci"))
 
 
+@query("SELECT event_id, event_id % 40 NOT IN (1, 2, 19, 20, 21, 22, 23, 24, 27, 29, 30, 35, 36, 37, 38, 39) AS avp, event_id % 3 = 0 AS redundant FROM events")
+def profile_validity(spark, sf_dir):
+    """Packets judged by the rules of their profile."""
+    e = F.col("event_id")
+    some = F.encode("props", "UTF-8")
+    a = pk.parse(pk.build(some, F.lit(1), F.lit(2), F.lit(3), (e % 40).cast("int"), F.lit(False)))
+    body = F.when(e % 3 == 0, F.concat(F.unhex(F.lit("E000000260AABB")), some)).when(e % 3 == 1, F.unhex(F.lit("E0000002")))
+    b = pk.parse(pk.build(F.coalesce(body, F.lit(b"")), F.lit(1), F.lit(2), F.lit(3), F.lit(97), F.lit(False)))
+    return table(spark, sf_dir, "events").select("event_id", pk.valid_for(a, "RTP/AVP").alias("avp"), pk.valid_for(b, "redundant").alias("redundant"))
+
+
 # --- sessions -------------------------------------------------------------------------------------
 
 

@@ -309,6 +309,36 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
 
 
+def write_files(files: DataFrame, path: str, suffix: str, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, file, bytes) of the files written below ``path``, one a row, named by their keys; nulls are left out.
+
+    A task that runs again writes the same names anew.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([StructField(key, files.schema[key].dataType), *StructType.fromDDL("file string, bytes bigint").fields])
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root)
+        for b in batches:
+            index, names, sizes = [], [], []
+            for i, (k, data) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                if not data.is_valid:
+                    continue
+                with store.open_output_stream(f"{root}/{k}{suffix}") as out:
+                    out.write(data.as_buffer())
+                index.append(i)
+                names.append(f"{uri}/{k}{suffix}")
+                sizes.append(len(data.as_buffer()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(index, pa.int64())), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=schema.names)
+
+    return files.select(key, content).mapInArrow(run, schema)
+
+
 _SCHEMA = "ord int, depth int, parent int, identifier string, data_offset bigint, data_size bigint, complete boolean"
 
 
