@@ -49,6 +49,43 @@ def test_a_spooled_batch_is_read_again(tmp_path):
     reader.socket.close()
 
 
+def serve_rtsp(server: socket.socket, asked: list) -> None:
+    """One session: answers each request and sends frames of two channels in between and behind."""
+    c, _ = server.accept()
+    held = b""
+    body = b"v=0\r\nm=video 0 RTP/AVP 96\r\na=control:v\r\nm=audio 0 RTP/AVP 0\r\na=control:rtsp://h/a\r\n"
+    while data := c.recv(4096):
+        held += data
+        while b"\r\n\r\n" in held:
+            one, held = held.split(b"\r\n\r\n", 1)
+            lines = one.decode().split("\r\n")
+            asked.append(lines[0])
+            number = next(x for x in lines if x.startswith("CSeq"))
+            if lines[0].startswith("PLAY"):
+                c.sendall(b"$\0\0\3one")
+            extra = "\r\nSession: 77;timeout=60" if lines[0].startswith("SETUP") else ""
+            answer = f"RTSP/1.0 200 OK\r\n{number}{extra}\r\nContent-Length: {len(body) if lines[0].startswith('DESCRIBE') else 0}\r\n\r\n".encode()
+            c.sendall(answer + (body if lines[0].startswith("DESCRIBE") else b""))
+            if lines[0].startswith("PLAY"):
+                c.sendall(b"$\2\0\3two$\0\0")
+                time.sleep(0.1)
+                c.sendall(b"\5three")
+
+
+def test_rtsp_session_and_reader():
+    asked: list[str] = []
+    server = socket.create_server(("127.0.0.1", 0))
+    threading.Thread(target=serve_rtsp, args=(server, asked), daemon=True).start()
+    url = f"rtsp://127.0.0.1:{server.getsockname()[1]}/live"
+    reader = sockets.RtspReader({"url": url, "wait": "1"})
+    rows, end = reader.read(reader.initialOffset())
+    assert [r[1:] for r in rows] == [(0, b"one"), (2, b"two"), (0, b"three")] and end == {"n": 3}
+    assert [x.split(" ")[0] for x in asked] == ["OPTIONS", "DESCRIBE", "SETUP", "SETUP", "PLAY"] and asked[2] == f"SETUP {url}/v RTSP/1.0" and asked[3] == "SETUP rtsp://h/a RTSP/1.0"
+    reader.session.close()
+    assert asked[-1].startswith("TEARDOWN")
+    server.close()
+
+
 def test_datagrams_out(spark):
     with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
         s.bind(("127.0.0.1", 0))
