@@ -114,11 +114,13 @@ def reject_duplicates(unwrapped: DataFrame) -> DataFrame:
 def frames(unique: DataFrame) -> DataFrame:
     """One row for each (ssrc, payload_type-free timestamp) group of packets without duplicates.
 
-    complete: no gap, a marker, and no more than MAX_FRAME packets. payload: the parts in order.
+    complete: no gap, a marker, and no more than MAX_FRAME packets. payload: the first MAX_FRAME parts in order.
     """
-    parts = F.array_sort(F.collect_list(F.struct("ext_seq", "payload")))
-    got = unique.groupBy("ssrc", "rtp_ts").agg(
-        F.count("*").alias("packets"), F.sum(F.col("marker").cast("int")).alias("markers"), F.min("ext_seq").alias("first_seq"), F.max("ext_seq").alias("last_seq"), F.min("arrival").alias("first_arrival"), parts.alias("parts"),
+    # of a longer group no more than MAX_FRAME parts are gathered; the rest is counted
+    nth = F.row_number().over(W.partitionBy("ssrc", "rtp_ts").orderBy("ext_seq"))
+    rows = unique.select("ssrc", "rtp_ts", "marker", "ext_seq", "arrival", F.when(nth <= MAX_FRAME, F.struct("ext_seq", "payload")).alias("part"))
+    got = rows.groupBy("ssrc", "rtp_ts").agg(
+        F.count("*").alias("packets"), F.sum(F.col("marker").cast("int")).alias("markers"), F.min("ext_seq").alias("first_seq"), F.max("ext_seq").alias("last_seq"), F.min("arrival").alias("first_arrival"), F.array_sort(F.collect_list("part")).alias("parts"),
     )
     whole = (F.col("last_seq") - F.col("first_seq") + 1 == F.col("packets")) & (F.col("markers") > 0) & (F.col("packets") <= MAX_FRAME)
     return got.withColumns({"complete": whole, "payload": join_bytes(F.transform("parts", lambda x: x["payload"]))}).drop("parts")
