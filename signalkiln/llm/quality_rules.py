@@ -183,7 +183,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS)
     some = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(max_labels)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
-    table = statistics(rows, keep=("quality",)).where(~base_failed()).select("doc_id", "quality", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "quality").toPandas()
+    # the bounded sample is filtered and ordered here, so that its statistics are computed once
+    table = statistics(rows, keep=("quality",)).select(F.xxhash64("doc_id").alias("hash"), "doc_id", "n_repeat_words", "quality", *FEATURES).toPandas()
+    table = table[(table.n_words >= 50) & (100 * table.n_repeat_words <= 50 * table.n_words)].sort_values(["hash", "doc_id", *FEATURES, "quality"])
     if not len(table) or table.quality.nunique() < 2:
         return DecisionList()
     return learn(table[list(FEATURES)].to_numpy(float), (table.quality == 0).to_numpy())
