@@ -449,3 +449,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = PASSAGE,
     per = search.scratch.write(spans.groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("long")).alias("long")), "spans")
     got = _rows(docs, id_col, text_col).join(per, ["doc", "th"], "left").select("doc_id", "text", "spans", "long")
     return got.mapInArrow(_digest, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_words bigint, spans {_RANGE}, passages array<struct<a:bigint,b:bigint,words:bigint>>")
+
+
+#: The same rows by counting every window, for small tables.
+SQL = r"""
+WITH h AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sizes(k) AS (VALUES (400), (256)),
+w AS (SELECT k, r, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 2 * k)) AS m FROM (SELECT k, r, h, unnest(range(length(h) // 2 - k + 1)) AS p FROM h, sizes WHERE length(h) >= 2 * k)),
+t AS (SELECT k, r, p FROM (SELECT *, count(*) OVER (PARTITION BY k, m) AS n FROM w) WHERE n > 1),
+f AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY k, r ORDER BY p) <= k THEN 0 ELSE 1 END AS fresh FROM t),
+g AS (SELECT k, r, p, sum(fresh) OVER (PARTITION BY k, r ORDER BY p) AS run FROM f),
+s AS (SELECT k, r, min(p) AS a, max(p) + k AS b FROM g GROUP BY k, r, run),
+removed AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s WHERE k = 400 GROUP BY r),
+cuts AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM s WHERE k = 400 UNION ALL SELECT r, max(b), NULL FROM s WHERE k = 400 GROUP BY r),
+kept AS (SELECT cuts.r, string_agg(CASE WHEN b IS NULL THEN substr(h, CAST(2 * a + 1 AS BIGINT)) ELSE substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)) END, '' ORDER BY a, b NULLS LAST) AS h FROM cuts JOIN h ON h.r = cuts.r GROUP BY cuts.r),
+runs AS (SELECT s.r, len(list_filter(regexp_split_to_array(regexp_replace(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '(20|09|0A|0B|0C|0D)|..', '\1.', 'g'), '(20|09|0A|0B|0C|0D)\.'), lambda x: x <> ''))
+  - CASE WHEN a > 0 AND substr(h, CAST(2 * a - 1 AS BIGINT), 2) NOT IN ('20', '09', '0A', '0B', '0C', '0D') AND substr(h, CAST(2 * a + 1 AS BIGINT), 2) NOT IN ('20', '09', '0A', '0B', '0C', '0D') THEN 1 ELSE 0 END
+  - CASE WHEN 2 * b < length(h) AND substr(h, CAST(2 * b - 1 AS BIGINT), 2) NOT IN ('20', '09', '0A', '0B', '0C', '0D') AND substr(h, CAST(2 * b + 1 AS BIGINT), 2) NOT IN ('20', '09', '0A', '0B', '0C', '0D') THEN 1 ELSE 0 END AS words FROM s JOIN h ON h.r = s.r WHERE k = 256),
+pass AS (SELECT r, count(*) AS n_passages, CAST(sum(words) AS BIGINT) AS passage_words FROM runs WHERE words >= 51 GROUP BY r)
+SELECT h.doc_id, length(h.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, h.h))) AS kept_sha256, coalesce(n_passages, 0) AS n_passages, coalesce(passage_words, 0) AS passage_words
+FROM h LEFT JOIN removed ON removed.r = h.r LEFT JOIN kept ON kept.r = h.r LEFT JOIN pass ON pass.r = h.r
+"""
