@@ -292,3 +292,13 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     got = with_wrapper(rows, wrappers(pages))
     return got.select("page_id", "url", "html", "wrapper", "template").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+
+
+#: The same rows for pages whose text is one article of paragraphs, list items and headings, with ASCII white space and no references but these two.
+SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|li|ul|h1|div)\b[^>]*>'), lambda x:
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""

@@ -61,4 +61,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_sentencepiece, op4_decontamination, op5_quality_rules, op6_language_id, op7_html_extraction, op8_lm_scoring, op9_pii, op10_minhash_near_dedup)}
 
-ORACLE = {"op1_suffix_dedup": suffix_dedup.SQL, "op2_line_dedup": line_dedup.SQL, "op10_minhash_near_dedup": near_dup.SQL}
+ORACLE = {"op1_suffix_dedup": suffix_dedup.SQL, "op2_line_dedup": line_dedup.SQL, "op7_html_extraction": html_extract.SQL, "op10_minhash_near_dedup": near_dup.SQL}
