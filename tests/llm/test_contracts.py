@@ -139,6 +139,34 @@ def test_sentencepiece(spark, docs, rows, none):
     assert sp_codec.encode(none, queries.tokenizer_model()).count() == 0
 
 
+def test_sentencepiece_on_whole_documents(spark, small, sf_dir, monkeypatch):
+    """The query against the library on every document, with a memory that forgets and slices of a few texts."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_model())
+    want = {}
+    for i, t in small:
+        ids = sp.encode(t or "", add_eos=True)
+        want[i] = (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(sp.decode(ids)), 0)
+    assert table(queries.op3_sentencepiece(spark, sf_dir), ["n_tokens", "ids_sha256", "decoded_sha256", "n_disputed"]) == want
+    monkeypatch.setattr(sp_codec, "REMEMBERED", 20_000)
+    codec = sp_codec.Codec(queries.tokenizer_model())
+    for at in range(0, 60, 7):
+        part = small[at : at + 7]
+        for (i, _), (said, back, disputed) in zip(part, codec.encode_batch([t or "" for _, t in part]), strict=True):
+            assert (brute.sha(said), brute.sha(back), disputed) == want[i][1:]
+    assert len(codec.said) < 2000
+
+
+def test_sentencepiece_reports_what_the_library_does_otherwise():
+    """An agenda that merges nothing: the library's ids come back, and each text says so."""
+    codec = sp_codec.Codec(queries.tokenizer_model())
+    codec.merge = list
+    (said, back, disputed), (end, empty, none) = codec.encode_batch(["hello there", ""])
+    assert said == " ".join(map(str, [*codec.library.encode("hello there"), codec.eos])) and back == "hello there" and disputed > 0
+    assert (end, empty, none) == (str(codec.eos), "", 0)
+
+
 def test_decontamination(spark, docs, none):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     w = item.split()
@@ -337,6 +365,20 @@ def test_lm_scoring(spark, docs, rows, small, sf_dir, none):
     assert out.s > out.b
 
 
+def test_lm_counts_tokens_without_support(spark, monkeypatch):
+    """Tokens that the training rows have once or never, by plain counting; frequent words by broadcast, the others by the join."""
+    monkeypatch.setattr(lm_score, "FREQUENT", 3)
+    rows = [(i, t) for i, t in enumerate(["a b c", "a b d", "a e e", None, "a x b", "y z z"] * 2 + ["only here", "q"])]
+    toks = {i: (t or "").split() for i, t in rows}
+    c: dict[str, int] = {}
+    for i, t in toks.items():
+        for w in t if not brute.held(i, 7, 2) else ():
+            c[w] = c.get(w, 0) + 1
+    docs = sum(not brute.held(i, 7, 2) for i in toks)
+    got = {r.doc_id: r.n_lone for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert docs > 1 and got == {i: sum(c.get(w, 0) <= 1 for w in t) for i, t in toks.items()}
+
+
 def test_exchange_clustering_finds_classes():
     import numpy as np
 
