@@ -17,7 +17,7 @@ from .common import SPACE, Scratch, let
 MIN_CHARS, MIN_DOCS = 40, 5
 _WORD = 62
 #: Lines of one hash that stand in one range at most; a more frequent hash is salted.
-RANGE_LINES = 2048
+RANGE_LINES = 256
 
 
 def lines_of(text: Column) -> Column:
