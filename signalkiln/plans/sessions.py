@@ -120,10 +120,11 @@ def profile_validity(spark, sf_dir):
     """Packets judged by the rules of their profile."""
     e = F.col("event_id")
     some = F.encode("props", "UTF-8")
-    a = pk.parse(pk.build(some, F.lit(1), F.lit(2), F.lit(3), (e % 40).cast("int"), F.lit(False)))
+    raw = lambda payload, kind: pk.build(payload, F.lit(1), F.lit(2), F.lit(3), kind, F.lit(False))
     body = F.when(e % 3 == 0, F.concat(F.unhex(F.lit("E000000260AABB")), some)).when(e % 3 == 1, F.unhex(F.lit("E0000002")))
-    b = pk.parse(pk.build(F.coalesce(body, F.lit(b"")), F.lit(1), F.lit(2), F.lit(3), F.lit(97), F.lit(False)))
-    return table(spark, sf_dir, "events").select("event_id", pk.valid_for(a, "RTP/AVP").alias("avp"), pk.valid_for(b, "redundant").alias("redundant"))
+    rows = table(spark, sf_dir, "events").select("event_id", raw(some, (e % 40).cast("int")).alias("a"), raw(F.coalesce(body, F.lit(b"")), F.lit(97)).alias("b"))
+    rows = rows.select("event_id", pk.parse(F.col("a")).alias("a"), pk.parse(F.col("b")).alias("b"))
+    return rows.select("event_id", pk.valid_for(F.col("a"), "RTP/AVP").alias("avp"), pk.valid_for(F.col("b"), "redundant").alias("redundant"))
 
 
 # --- sessions -------------------------------------------------------------------------------------
