@@ -86,8 +86,12 @@ def params(text: Column, between: str = ";", sign: str = "=") -> Column:
 
 def message(raw: Column) -> Column:
     """struct of an HTTP, RTSP or SIP message; a first line that begins with the protocol makes it a response."""
-    parts = F.split(raw, r"\r?\n\r?\n|\r\r", 2)  # the body keeps its line ends
-    head, body = F.regexp_replace(F.get(parts, F.lit(0)), r"\r\n?", "\n"), F.get(parts, F.lit(1))
+    # the first empty line, whatever its line ends; the body keeps its own
+    place = {x: F.nullif(F.instr(raw, x), F.lit(0)) for x in ("\r\n\r\n", "\n\r\n", "\n\n", "\r\r")}
+    at = F.least(*place.values())
+    size = F.when(at == place["\r\n\r\n"], 4).when(at == place["\n\r\n"], 3).otherwise(2)
+    head = F.regexp_replace(F.coalesce(F.left(raw, at - 1), raw), r"\r\n?", "\n")
+    body = F.substring(raw, at + size, F.length(raw))
     first = F.substring_index(head, "\n", 1)
     response, request = r"^(HTTP|RTSP|SIP)/(\d+\.\d+)\s+(\d{3})\s*(.*)$", r"^([A-Z_]+)\s+(\S+)\s+(HTTP|RTSP|SIP)/(\d+\.\d+)\s*$"
     is_request = first.rlike(request)

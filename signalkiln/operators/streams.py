@@ -47,7 +47,7 @@ def unwrap(packets: DataFrame) -> DataFrame:
     order = W.partitionBy("ssrc").orderBy("__hour")
     edge = _turn(F.col("first") - F.lag("last").over(order)) + F.coalesce(F.lag("turns").over(order), F.lit(0))
     before = hours.withColumn("edge", edge).select("ssrc", "__hour", F.sum("edge").over(order).alias("__before"))
-    got = rows.alias("r").join(before.hint("merge").alias("b"), (F.col("r.ssrc") == F.col("b.ssrc")) & F.col("r.__hour").eqNullSafe(F.col("b.__hour")))
+    got = rows.alias("r").join(before.alias("b"), (F.col("r.ssrc") == F.col("b.ssrc")) & F.col("r.__hour").eqNullSafe(F.col("b.__hour")))
     return got.select(*(F.col(f"r.{c}") for c in packets.columns), (F.col("r.seq") + F.col("r.__turns") + F.col("b.__before")).cast("bigint").alias("ext_seq"))
 
 

@@ -391,13 +391,13 @@ def ts_units(files: DataFrame, key: str = "path", content: str = "content") -> D
     Pure column expressions. Units of 192 bytes (a time stamp of 4 in front) and of 204 (16 of error
     correction behind) are told by their sync bytes. Units without the sync byte are left out.
     """
-    sync = lambda at: F.coalesce(u8(F.col(content), at) == 0x47, F.lit(False))
+    sync = lambda at: F.substring(content, at + 1, 1) == F.lit(b"G")
     short = F.octet_length(content) < 189
     step = F.when(sync(0) & (short | sync(188)), 188).when(sync(4) & sync(196), 192).when(sync(0) & sync(204), 204).otherwise(188)
-    before = F.when(step == 192, 4).otherwise(0)
-    n = F.floor((F.octet_length(content) - before - 188) / step).cast("int")
-    unit = F.explode(F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("unit"), F.substring(F.col(content), i * step + before + 1, F.lit(188)).alias("raw")))))
-    rows = files.select(key, unit.alias("u")).select(key, "u.unit", F.col("u.raw").alias("raw")).where(u8(F.col("raw"), 0) == 0x47)
+    sized = files.select(key, content, step.alias("__step")).withColumn("__at", F.when(F.col("__step") == 192, 5).otherwise(1))
+    n = F.floor((F.octet_length(content) - F.col("__at") - 187) / F.col("__step")).cast("int")
+    unit = F.explode(F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("unit"), F.substring(F.col(content), i * F.col("__step") + F.col("__at"), F.lit(188)).alias("raw")))))
+    rows = sized.select(key, unit.alias("u")).select(key, "u.unit", F.col("u.raw").alias("raw")).where(u8(F.col("raw"), 0) == 0x47)
     raw = F.col("raw")
     control = bits_msb(raw, 26, 2)
     room = F.when(control >= 2, 1 + u8(raw, 4)).otherwise(0)
