@@ -1,14 +1,16 @@
 """Class-based bigram language model: exchange clustering, class transitions and word emissions.
 
-Every word has a class. The most frequent words are symbols of their own; all others are symbols by their
-ending, so the table of symbol bigrams is bounded whatever the vocabulary. The exchange algorithm
-assigns all symbols to classes, whose number grows with the vocabulary. Emissions are by the counts of
-single words over all training documents: frequent ones by broadcast and the others by a join.
+Every word has a class. A first clustering on the driver takes the most frequent words as symbols of their
+own and all others as symbols by their ending, so its table of symbol bigrams is bounded whatever the
+vocabulary. Rounds of exchange over the whole vocabulary follow: each word of the training texts, however
+rare, moves by itself to the class that its own neighbours favour. Class bigrams and the words of a class
+are then counted anew over all texts. Frequent words are placed by broadcast and the others by a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -20,7 +22,10 @@ from .common import Scratch, give_back, small_batches
 
 #: Words whose counts are broadcast, and of these the words that are symbols of their own.
 FREQUENT, SYMBOLS = 50_000, 1000
-#: Symbols that stand for all words with an ending (by a hash of their last bytes).
+#: The id of all other words in a coded text.
+OTHER = 65_535
+#: Symbols that stand at first for all words with an ending (by a hash of their last bytes); words that the
+#: training texts lack have no neighbours there and stay in the class of their ending.
 ENDINGS = 512
 #: Fewest and most classes.
 CLASSES = (32, 96)
@@ -28,6 +33,13 @@ CLASSES = (32, 96)
 MAX_WORD = 64
 #: Tokens whose bigrams are counted at once.
 CHUNK = 2_000_000
+#: Rounds over the whole vocabulary end with one that gains less than this share of what all gained.
+LEAST = 0.1
+#: Groups (by a hash of the word) in which the words of a round move one behind another, and their bounds: as
+#: many words at once as moved before, so that words with equal prospects do not all leave for one empty class.
+GROUPS, BOUNDS = 16, (0, 1, 2, 4, 8, 16)
+#: Bytes of the neighbours of a word, above which a task sums them, and of all words that a task holds.
+RAW, HELD = 2048, 32_000_000
 
 
 def ending(word: bytes) -> int:
@@ -113,9 +125,6 @@ def exchange(m: np.ndarray, classes: int, fixed: int, least: float = 1e-4) -> np
     k = min(classes, max(n, 1)) + fixed
     cls = np.concatenate([np.arange(n) % max(k - fixed, 1), np.arange(k - fixed, k)]).astype(np.int64)
 
-    def xlogx(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
     one = np.zeros((s, k))
     one[np.arange(s), cls] = 1
     g = one.T @ m @ one
@@ -161,7 +170,7 @@ def exchange(m: np.ndarray, classes: int, fixed: int, least: float = 1e-4) -> np
 
 
 class Scorer:
-    """Tables by which tokens are scored; rare words lack their own counts here.
+    """Words that are broadcast, and the model of the first clustering; other words lack their own counts here.
 
     The probability of a word is that of its class behind the class before, by counts smoothed with the
     classes' own shares, times (c + 1) / (class tokens + class words + 1).
@@ -181,9 +190,8 @@ class Scorer:
         k = int(cls.max()) + 1
         one = np.zeros((len(m), k))
         one[np.arange(len(m)), cls] = 1
-        g = one.T @ m @ one
-        uni = (g.sum(axis=0) + 1) / (g.sum() + k)
-        self.log_a = np.log10((g + 5 * uni[None, :]) / (g.sum(axis=1, keepdims=True) + 5))
+        self.g = one.T @ m @ one
+        self.log_a = transitions(self.g)
         self.end = k - 1
         self.of_ending = cls[own : own + ENDINGS]
         self.word_class = np.array([cls[i] if i < own else self.of_ending[ending(w)] for i, w in enumerate(words)], np.int64)
@@ -196,39 +204,280 @@ class Scorer:
         self.log_mass = np.log10(mass)
         self.n, self.log_all = n, np.log10(n + 1 * (v + 1))
 
-    def score(self, text: str | None) -> tuple[int, int, int, float, float, Counter]:
+    def code(self, text: str | None) -> tuple:
+        """n_tokens, known, once, base and emission of the frequent words, ids of all, and of the others: the
+        number in ``words`` of each, the different words, how often each occurs, and the classes of their endings."""
         t = tokens(text)
         get = self.index.get
-        at = np.array([get(w, -1) for w in t], np.int64)
-        known = at >= 0
-        rest = [w for w, k in zip(t, known.tolist(), strict=True) if not k]
-        cls = np.full(len(t) + 2, self.end, np.int64)
-        own = cls[1:-1]
-        own[known] = self.word_class[at[known]] if len(self.word_class) else 0
-        own[~known] = self.of_ending[[ending(w) for w in rest]]
-        # the end is the only member of its class; its emission is certain
-        score = self.log_a[cls[:-1], cls[1:]].sum() + self.log_c1[at[known]].sum() - self.log_mass[own].sum()
-        base = self.log_c1[at[known]].sum() + self.end_log - self.log_all * (len(t) + 1)
-        return len(t) + 1, int(known.sum()) + self.end_known, int(self.once[at[known]].sum()), float(base), float(score), Counter(rest)
+        at = [get(w, OTHER) for w in t]
+        number: dict[bytes, int] = {}
+        others = np.array([number.setdefault(w, len(number)) for w, i in zip(t, at, strict=True) if i == OTHER], np.int32)
+        ids = np.array(at, np.uint16)
+        known = ids[ids != OTHER]
+        emission = float(self.log_c1[known].sum())
+        own = self.of_ending[[ending(w) for w in number]] if number else np.zeros(0)
+        return (
+            len(t) + 1, len(known) + self.end_known, int(self.once[known].sum()), emission + self.end_log - self.log_all * (len(t) + 1), emission,
+            ids.tobytes(), others.tobytes(), [_text(w) for w in number], np.bincount(others, minlength=len(number)), own.astype(np.uint8).tobytes(),
+        )
+
+
+def transitions(g: np.ndarray) -> np.ndarray:
+    """log10 probabilities of a class behind a class."""
+    uni = (g.sum(axis=0) + 1) / (g.sum() + len(g))
+    return np.log10((g + 5 * uni[None, :]) / (g.sum(axis=1, keepdims=True) + 5))
+
+
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
 
-_RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+def fit(g: np.ndarray) -> float:
+    """What the likelihood of class bigrams owes to the classes."""
+    return float(xlogx(g).sum() - 2 * xlogx(g.sum(axis=0)).sum())
 
 
-def _score(shared):
+_PARTS = [
+    ("n_tokens", pa.int64()), ("known", pa.int64()), ("once", pa.int64()), ("base", pa.float64()), ("emission", pa.float64()),
+    ("ids", pa.binary()), ("others", pa.binary()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("own", pa.binary()),
+]
+_PARTS_KIND = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, once bigint, base double, emission double, ids binary, others binary, words array<string>, n array<bigint>, own binary"
+
+
+def _code(shared):
+    """Coded texts."""
+
     def run(batches):
         scorer = shared.value
         for b in batches:
-            got = [scorer.score(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), *(pa.array([g[i] for g in got], k) for i, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()))), pa.array([[{"word": _text(w), "n": n} for w, n in g[5].items()] for g in got], _RARE)],
-                ["doc_id", "held_out", "n_tokens", "known", "once", "base", "score", "rare"],
-            )
+            got = [scorer.code(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([g[i] for g in got], k) for i, (_, k) in enumerate(_PARTS))], ["doc_id", "held_out", *(name for name, _ in _PARTS)])
+        give_back()
+
+    return run
+
+
+def _joined(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of binaries one behind another, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind), np.array([len(r) for r in rows], np.int64) // np.dtype(kind).itemsize
+
+
+class Placed:
+    """A batch of coded texts with the classes of all tokens, each text behind an end and before one."""
+
+    def __init__(self, ids, others, own, classes: np.ndarray, end: int):
+        self.ids, n = _joined(ids, np.uint16)
+        number, n_others = _joined(others, np.int32)
+        own, n_own = _joined(own, np.uint8)
+        #: the numbers of all other words of the batch, by token
+        self.number = number + np.repeat(np.cumsum(n_own) - n_own, n_others)
+        self.own, self.is_other = own, self.ids == OTHER
+        cls = np.append(classes, np.zeros(OTHER + 1 - len(classes), np.uint8))[self.ids]
+        cls[self.is_other] = own[self.number]
+        self.at = np.arange(len(cls)) + np.repeat(np.arange(len(n)), n) + 1
+        self.cls = np.full(len(cls) + len(n) + 1, end, np.uint8)
+        self.cls[self.at] = cls
+        #: where each text's tokens start, and the end behind them
+        self.end_at = np.cumsum(n + 1)
+        self.start = self.end_at - n
+
+
+#: A class of neighbours (those behind a word above those before it) and how often it occurs.
+_SUM = np.dtype([("key", "<u2"), ("n", "<i8")])
+
+
+def _neighbours(words: list[str], classes: np.ndarray, end: int):
+    """(word, class, raw, sums): classes of the tokens before and behind each word, as pairs of bytes or summed."""
+    k = end + 1
+
+    def run(batches):
+        total = np.zeros(len(words) * 2 * k, np.int64)
+        held: dict[str, bytearray] = {}
+        of: dict[str, int] = {}
+        keys: list[np.ndarray] = []
+        size = waiting = 0
+
+        def add() -> None:
+            nonlocal total, waiting
+            if keys:
+                total += np.bincount(np.concatenate(keys), minlength=len(total))
+                keys.clear()
+                waiting = 0
+
+        def sums(n: np.ndarray) -> bytes:
+            out = np.empty(len(at := np.flatnonzero(n)), _SUM)
+            out["key"], out["n"] = at, n[at]
+            return out.tobytes()
+
+        def rows(names, cls, raw, summed):
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cls, pa.int32()), pa.array(raw, pa.binary()), pa.array(summed, pa.binary())], ["word", "class", "raw", "sums"])
+
+        def flush():
+            nonlocal size
+            names = list(held)
+            for i in range(0, len(names), 10_000):
+                some = names[i : i + 10_000]
+                raw = [bytes(x) if len(x := held[w]) <= RAW else None for w in some]
+                summed = [None if r is not None else sums(np.bincount(np.frombuffer(held[w], np.uint8) + np.tile(np.array([0, k]), len(held[w]) // 2), minlength=2 * k)) for w, r in zip(some, raw, strict=True)]
+                yield rows(some, [of[w] for w in some], raw, summed)
+            held.clear()
+            of.clear()
+            size = 0
+
+        for b in batches:
+            p = Placed(b.column(0), b.column(1), b.column(3), classes, end)
+            before, behind = p.cls[p.at - 1], p.cls[p.at + 1]
+            known = ~p.is_other
+            first = p.ids[known].astype(np.int64) * (2 * k)
+            keys += [first + before[known], first + k + behind[known]]
+            waiting += 2 * len(first)
+            if waiting >= CHUNK:
+                add()
+            order = np.argsort(p.number, kind="stable")
+            codes = np.stack([before[p.is_other][order], behind[p.is_other][order]], axis=1).tobytes()
+            stop = (2 * np.cumsum(np.bincount(p.number, minlength=len(p.own)))).tolist()
+            start = 0
+            for w, c, to in zip(b.column(2).flatten().to_pylist(), p.own.tolist(), stop, strict=True):
+                if (x := held.get(w)) is None:
+                    x = held[w] = bytearray()
+                    of[w] = c
+                    size += 100
+                x += codes[start:to]
+                size += to - start
+                start = to
+            if size >= HELD:
+                yield from flush()
+        add()
+        yield from flush()
+        table = total.reshape(-1, 2 * k)
+        seen = np.flatnonzero(table.any(axis=1))
+        for i in range(0, len(seen), 10_000):
+            some = seen[i : i + 10_000]
+            yield rows([words[j] for j in some], classes[some], [None] * len(some), [sums(table[j]) for j in some])
         give_back()
 
     return run
 
 
+def best_classes(near: np.ndarray, old: np.ndarray, g: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most, where the others stay in theirs.
+
+    ``near``: a row for each word with its counts of the classes before and then behind it. Words stay that
+    no move helps; none moves to the last class, the end of a text. Of classes that are equally good, as
+    all empty ones are, the number ``pick`` of a word chooses one.
+    """
+    k = len(g)
+    cells, size = np.vstack([g, g.T]), g.sum(axis=0)  # of a class of neighbours (rows) with a word's class
+    few = [xlogx(cells + n) - xlogx(cells) for n in range(9)]
+    out = old.copy()
+    for i in range(0, len(near), 250):
+        m, was = near[i : i + 250], old[i : i + 250]
+        w, key = np.nonzero(m)
+        n = m[w, key]
+        gain = np.zeros((len(w), k))
+        for j in range(1, len(few)):
+            gain[n == j] = few[j][key[n == j]]
+        many = n >= len(few)
+        gain[many] = xlogx(cells[key[many]] + n[many, None]) - xlogx(cells[key[many]])
+        weight = m[:, :k].sum(axis=1)
+        all_ = np.zeros((len(m), k))
+        here, first = np.unique(w, return_index=True)
+        if len(here):
+            all_[here] = np.add.reduceat(gain, first, axis=0)
+        all_ -= 2 * (xlogx(size + weight[:, None]) - xlogx(size))
+        # where a word is, its own counts are among those of the class
+        cell, rest = cells[key, was[w]], np.maximum(cells[key, was[w]] - n, 0)
+        stay = np.bincount(w, weights=xlogx(cell) - xlogx(rest), minlength=len(m)) - 2 * (xlogx(size[was]) - xlogx(np.maximum(size[was] - weight, 0)))
+        all_[np.arange(len(m)), was] = stay
+        all_[:, k - 1] = -np.inf
+        top = all_.max(axis=1)
+        equal = all_ >= top[:, None] - 1e-9
+        new = (np.cumsum(equal, axis=1) > (pick[i : i + 250] % equal.sum(axis=1))[:, None]).argmax(axis=1)
+        out[i : i + 250] = np.where(top > stay + 1e-9, new, was)
+    return out
+
+
+def _move(g: np.ndarray):
+    """(word, c, old class, new class) of words with their neighbours; without a word, by how much (c) a class bigram (old) changes."""
+    k = len(g)
+
+    def run(batches):
+        change = np.zeros((k, k), np.int64)
+        for b in batches:
+            near = np.zeros((b.num_rows, 2 * k), np.int64)
+            for i, (raw, sums) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if raw:
+                    codes = np.frombuffer(b"".join(raw), np.uint8)
+                    near[i] += np.concatenate([np.bincount(codes[::2], minlength=k), np.bincount(codes[1::2], minlength=k)])
+                for x in sums:
+                    x = np.frombuffer(x, _SUM)
+                    near[i, x["key"]] += x["n"]
+            old = b.column(1).to_numpy().astype(np.int64)
+            new = best_classes(near, old, g, np.array([crc32(w.encode()) // GROUPS for w in b.column(0).to_pylist()], np.int64))
+            for w in np.flatnonzero(new != old):
+                for x, by in ((old[w], -near[w]), (new[w], near[w])):
+                    change[:, x] += by[:k]
+                    change[x] += by[k:]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near[:, :k].sum(axis=1)), b.column(1), pa.array(new.astype(np.int32))], ["word", "c", "old", "new"])
+        at = np.flatnonzero(change)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(change.reshape(-1)[at]), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), -1, np.int32))], ["word", "c", "old", "new"])
+        give_back()
+
+    return run
+
+
+_WHOLE = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, once bigint, base double, emission double, row bigint, own binary, classes binary"
+
+
+def _place(classes: np.ndarray, end: int):
+    """Rows with the classes of their other words (number * 256 + class) as rows with the classes of all tokens."""
+
+    def run(batches):
+        for b in batches:
+            own = []
+            for x in b.column("own").to_pylist():
+                x = np.sort(np.array(x or [], np.int64))
+                own.append((x & 255).astype(np.uint8).tobytes())
+            p = Placed(b.column("ids"), b.column("others"), pa.array(own, pa.binary()), classes, end)
+            cls = [p.cls[a:z].tobytes() for a, z in zip(p.start.tolist(), p.end_at.tolist(), strict=True)]
+            names = [x.split()[0] for x in _WHOLE.split(", ")][:-2]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(own, pa.binary()), pa.array(cls, pa.binary())], [*names, "own", "classes"])
+        give_back()
+
+    return run
+
+
+def _class_bigrams(k: int):
+    def run(batches):
+        total = np.zeros(k * k, np.int64)
+        for b in batches:
+            end = bytes([k - 1])
+            x = np.frombuffer(end + b"".join(t + end for t in b.column(0).to_pylist()), np.uint8).astype(np.int64)
+            total += np.bincount(x[:-1] * k + x[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+    return run
+
+
+def _score(log_a: np.ndarray, log_mass: np.ndarray):
+    """log10 probabilities of the texts from their classes and the emissions of their words."""
+    end = len(log_a) - 1
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, emission in zip(b.column("classes").to_pylist(), b.column("emission").to_pylist(), strict=True):
+                x = np.frombuffer(t, np.uint8)
+                # the end is the only member of its class; its emission is certain
+                out.append(float(log_a[np.append(end, x), np.append(x, end)].sum() + emission - log_mass[x].sum()))
+            names = ["doc_id", "held_out", "n_tokens", "known", "once", "base"]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(out, pa.float64())], [*names, "score"])
+
+    return run
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -260,14 +509,79 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = train.mapInArrow(_bigrams(symbols), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     m.reshape(-1)[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     scorer = Scorer(frequent, m, ending_tokens, ending_words, total + n_docs, words + (n_docs > 0), n_docs)
+    scratch.drop(counts)
     shared = spark.sparkContext.broadcast(scorer)
-    kind = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, once bigint, base double, score double, rare array<struct<word:string,n:bigint>>"
-    parts = scratch.write(base.select("doc_id", "text", "held_out").mapInArrow(_score(shared), kind).withColumn("row", F.monotonically_increasing_id()), "parts")
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("more_known"), F.sum(F.when(F.col("c") <= 1, F.col("n"))).alias("more_once"))
-    out = parts.drop("rare").join(rare, "row", "left")
-    more, known = F.coalesce("more", F.lit(0.0)), F.col("known") + F.coalesce("more_known", F.lit(0))
+    parts = scratch.write(base.select("doc_id", "text", "held_out").mapInArrow(_code(shared), _PARTS_KIND).withColumn("row", F.monotonically_increasing_id()), "parts")
+    whole, g, mass = cluster(scratch, parts, scorer)
+    out = whole.mapInArrow(_score(transitions(g), np.log10(mass)), "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, once bigint, base double, score double")
     return out.select(
-        "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total + n_docs).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"), F.pow(F.lit(10.0), -(F.col("score") + more) / F.col("n_tokens")).alias("perplexity"),
-        (F.col("once") + F.coalesce("more_once", F.lit(0)) + F.col("n_tokens") - known).alias("n_lone"),
+        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total + n_docs).cast("bigint").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        (F.col("once") + F.col("n_tokens") - F.col("known")).alias("n_lone"),
     )
+
+
+def cluster(scratch: Scratch, parts: DataFrame, scorer: Scorer) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Exchange over all words of the training texts: texts by classes, class bigrams, and the mass of each class.
+
+    In a round all words move, group behind group, each by the classes that its neighbours had before the
+    round. The bigrams are then counted anew; a round that lowers the likelihood is not kept, and one that
+    gains little is the last. Groups go by a hash of the word, so no result depends on the partitions.
+    """
+    end = scorer.end
+    words = [_text(w) for w in scorer.words]
+    classes, g = scorer.word_class.astype(np.uint8), scorer.g
+    others = parts.select("row", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x"), "own").select("row", "i", "x.words", "x.n", F.conv(F.hex(F.expr("substring(own, i + 1, 1)")), 16, 10).cast("int").alias("ending")).withColumnRenamed("words", "word")
+
+    def place(moved: DataFrame, column: str) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        new = classes.copy()
+        at = {w: i for i, w in enumerate(words)}
+        for r in moved.join(F.broadcast(scratch.spark.createDataFrame([(w,) for w in words], "word string")), "word").select("word", column).collect():
+            new[at[r[0]]] = r[1]
+        of = moved.select("word", "c", F.col(column).alias("k"))
+        rare = others.join(of, "word", "left").groupBy("row").agg(
+            F.collect_list(F.col("i") * 256 + F.coalesce("k", "ending")).alias("own"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"),
+            F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more_known"), F.sum(F.when(F.col("c") == 1, F.col("n"))).alias("more_once"),
+        )
+        more, none = F.coalesce("more", F.lit(0.0)), F.lit(0)
+        filled = parts.drop("own", "words", "n").join(rare, "row", "left").select(
+            "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", none)).alias("known"), (F.col("once") + F.coalesce("more_once", none)).alias("once"),
+            (F.col("base") + more).alias("base"), (F.col("emission") + more).alias("emission"), "row", "ids", "others", "own",
+        )
+        whole = scratch.write(filled.mapInArrow(_place(new, end), _WHOLE), "whole")
+        pairs = whole.where("not held_out").select("classes").mapInArrow(_class_bigrams(end + 1), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros((end + 1, end + 1))
+        table.reshape(-1)[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+        mass = np.ones(end + 1)
+        for r in of.groupBy("k").agg(F.sum(F.col("c") + 1).alias("m")).collect():
+            mass[r.k] += r.m
+        return whole, table, mass, new
+
+    kept, won = None, 0.0
+    while True:
+        train = parts.where("not held_out")
+        if kept:
+            train = train.drop("own").join(kept[0].select("row", "own"), "row")
+        near = train.select("ids", "others", "words", "own").mapInArrow(_neighbours(words, classes, end), "word string, class int, raw binary, sums binary")
+        near = scratch.write(near.groupBy("word").agg(F.first("class").alias("class"), F.collect_list("raw").alias("raw"), F.collect_list("sums").alias("sums")), "near")
+        table, steps = g.copy(), []
+        for a, z in zip(BOUNDS, BOUNDS[1:], strict=False):
+            some = near.where((F.crc32(F.col("word").cast("binary")) % GROUPS >= a) & (F.crc32(F.col("word").cast("binary")) % GROUPS < z))
+            steps.append(scratch.write(some.mapInArrow(_move(np.maximum(table, 0)), "word string, c bigint, old int, new int"), "moved"))
+            for r in steps[-1].where("word is null").groupBy("old").agg(F.sum("c").alias("c")).collect():
+                table.reshape(-1)[r.old] += r.c
+        moved = reduce(DataFrame.unionAll, steps).where("word is not null")
+        now = place(moved, "new")
+        scratch.drop(near)
+        gain = fit(now[1]) - fit(g)
+        if gain < 0:
+            if kept:
+                scratch.drop(now[0])
+                return kept[:3]
+            scratch.drop(now[0])
+            return place(moved, "old")[:3]
+        scratch.drop(*steps, *(kept[:1] if kept else ()))
+        won += gain
+        kept, g, classes = now, now[1], now[3]
+        if gain <= LEAST * won:
+            return kept[:3]

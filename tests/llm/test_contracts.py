@@ -433,6 +433,55 @@ def test_lm_emissions_of_a_class_sum_to_one(spark, sf_dir):
     assert np.allclose((10**s.log_a).sum(axis=1), 1)
 
 
+def test_lm_words_of_one_ending_have_classes_of_their_own(spark, monkeypatch):
+    """Words beyond the first clustering move by their own neighbours, whether broadcast or joined; tables by plain counting."""
+    import numpy as np
+
+    rows = [(i, " ".join(f"a n{(i + j) % 7}xxx b v{(i + j) % 5}xxx" for j in range(6))) for i in range(60)]
+    held = [i for i in range(100, 200) if brute.held(i, 7, 2)][:4]
+    asked = dict(zip(held, ["a n1xxx", "b v1xxx", "a v1xxx", "b n1xxx"], strict=True))
+    texts = {**dict(rows), **asked}
+    monkeypatch.setattr(lm_score, "SYMBOLS", 2)
+    cluster = lm_score.cluster
+    for frequent in (2, 9):
+        seen = []
+        monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+        monkeypatch.setattr(lm_score, "cluster", lambda *x, seen=seen: seen.append(cluster(*x)) or seen[0])
+        got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+        right, other = sum(got[i] for i in held[:2]), sum(got[i] for i in held[2:])
+        assert right > other + 1
+        whole, g, mass = seen[0]
+        want, of, c = np.zeros(g.shape), {}, {}
+        for r in whole.collect():
+            k, t = list(r.classes), texts[r.doc_id].split()
+            for w, x in zip(t, k, strict=True):
+                assert of.setdefault(w, x) == x
+                c[w] = c.get(w, 0) + (not r.held_out)
+            for x, y in zip([len(g) - 1, *k], [*k, len(g) - 1], strict=True):
+                want[x, y] += not r.held_out
+        assert (g == want).all()
+        assert {of[f"n{i}xxx"] for i in range(7)}.isdisjoint({of[f"v{i}xxx"] for i in range(5)})
+        assert mass.tolist() == [1 + sum(c[w] + 1 for w in c if c[w] and of[w] == x) for x in range(len(g))]
+
+
+def test_lm_best_class_of_a_word():
+    """Moves to the class of the highest likelihood by full recounts; few and many neighbours."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in range(1, 30):
+        g = rng.integers(50, 900, (6, 6)).astype(float)
+        near, old, fits = np.zeros((1, 12), np.int64), n % 5, []
+        near[0, [5, 11]] = n
+        for k in range(5):
+            t = g.copy()
+            for x, by in ((old, -n), (k, n)):
+                t[5, x] += by
+                t[x, 5] += by
+            fits.append(lm_score.fit(t))
+        assert lm_score.best_classes(near, np.array([old]), g, np.zeros(1, int))[0] == np.argmax(fits)
+
+
 def test_pii(spark, docs, rows, small, sf_dir, none):
     cols = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     got = pii.find(docs)
