@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ LEAST = 0.1
 #: Groups (by a hash of the word) in which the words of a round move one behind another, and their bounds: as
 #: many words at once as moved before, so that words with equal prospects do not all leave for one empty class.
 GROUPS, BOUNDS = 16, (0, 1, 2, 4, 8, 16)
-#: Bytes of the neighbours of a word, above which a task sums them, and of all words that a task holds.
-RAW, HELD = 2048, 32_000_000
+#: Blocks (by number) of frequent words whose neighbours are summed together.
+BLOCKS = 256
 
 
 def ending(word: bytes) -> int:
@@ -182,6 +183,7 @@ class Scorer:
         self.words = words
         self.index = {w: i for i, w in enumerate(words)}
         c = np.array([x for _, x in frequent], float)
+        self.counts = c
         self.log_c1 = np.log10(c + 1) if len(c) else np.zeros(0)
         self.once = c <= 1
         self.end_log = np.log10(docs + 1)
@@ -283,166 +285,403 @@ class Placed:
         self.start = self.end_at - n
 
 
-#: A class of neighbours (those behind a word above those before it) and how often it occurs.
-_SUM = np.dtype([("key", "<u2"), ("n", "<i8")])
+class Best:
+    """The class of each word that raises the likelihood most, by class bigrams ``g``, where the others stay in theirs.
 
+    Words stay that no move helps; none moves to the last class, the end of a text. Of classes that are
+    equally good, as all empty ones are, the number ``pick`` of a word chooses one.
+    """
 
-def _neighbours(words: list[str], classes: np.ndarray, end: int):
-    """(word, class, raw, sums): classes of the tokens before and behind each word, as pairs of bytes or summed."""
-    k = end + 1
+    def __init__(self, g: np.ndarray):
+        self.k = len(g)
+        self.cells, self.size = np.vstack([g, g.T]), g.sum(axis=0)  # of a class of neighbours (rows) with a word's class
+        self.base = xlogx(self.cells)
+        self.few = np.concatenate([xlogx(self.cells + n) - self.base for n in range(9)])
+
+    def gains(self, at: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What neighbours in each class (without moves away) add to the likelihood of class bigrams."""
+        out = np.zeros((len(first) - 1, self.k))
+        i = 0
+        while i < len(out):
+            z = max(int(np.searchsorted(first, first[i] + 20_000, "right")) - 1, i + 1)
+            a, c = at[first[i] : first[z]], n[first[i] : first[z]]
+            part = self.few[np.where(c < 9, c, 0) * (2 * self.k) + a]
+            many = np.flatnonzero(c >= 9)
+            part[many] = xlogx(self.cells[a[many]] + c[many, None]) - self.base[a[many]]
+            some = np.flatnonzero(np.diff(first[i : z + 1]))
+            if len(some):
+                out[i + some] = np.add.reduceat(part, first[i + some] - first[i], axis=0)
+            i = z
+        return out
+
+    def __call__(self, at: np.ndarray, n: np.ndarray, first: np.ndarray, row: np.ndarray, old: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """``at``, ``n``: different sets of neighbours (classes behind a word above those before it, and how often),
+        set i from first[i] on; ``row``: the set of each word."""
+        k, size = self.k, self.size
+        of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        weight = np.bincount(of, weights=n * (at < k), minlength=len(first) - 1)
+        gain = self.gains(at, n, first)
+        different, same = np.unique(weight, return_inverse=True)
+        gain -= (2 * (xlogx(size + different[:, None]) - xlogx(size)))[same]
+        gain[:, k - 1] = -np.inf
+        top = gain.max(axis=1)
+        equal = gain >= top[:, None] - 1e-9
+        one = equal.sum(axis=1) == 1
+        # words with the same neighbours in the same class are alike; there their own counts are among those of the class
+        alike, which = np.unique(row * k + old, return_inverse=True)
+        r, o = np.divmod(alike, k)
+        many = np.diff(first)[r]
+        e = np.arange(many.sum()) + np.repeat(first[r] - (np.cumsum(many) - many), many)
+        owner = np.repeat(np.arange(len(r)), many)
+        cell = self.cells[at[e], o[owner]]
+        stay = np.bincount(owner, weights=xlogx(cell) - xlogx(np.maximum(cell - n[e], 0)), minlength=len(r)) - 2 * (xlogx(size[o]) - xlogx(np.maximum(size[o] - weight[r], 0)))
+        out = np.where(top[r] > stay + 1e-9, equal.argmax(axis=1)[r], o)[which]
+        rest = np.flatnonzero(~(one[r] & ~equal[r, o])[which])
+        for i in range(0, len(rest), 5000):
+            w = rest[i : i + 5000]
+            all_, here = gain[row[w]], stay[which[w]]
+            all_[np.arange(len(w)), old[w]] = here
+            all_[:, k - 1] = -np.inf
+            best = all_.max(axis=1)
+            ties = all_ >= best[:, None] - 1e-9
+            new = (np.cumsum(ties, axis=1) > (pick[w] % ties.sum(axis=1))[:, None]).argmax(axis=1)
+            out[w] = np.where(best > here + 1e-9, new, old[w])
+        return out
 
-    def run(batches):
-        total = np.zeros(len(words) * 2 * k, np.int64)
-        held: dict[str, bytearray] = {}
-        of: dict[str, int] = {}
-        keys: list[np.ndarray] = []
-        size = waiting = 0
 
-        def add() -> None:
-            nonlocal total, waiting
-            if keys:
-                total += np.bincount(np.concatenate(keys), minlength=len(total))
-                keys.clear()
-                waiting = 0
-
-        def sums(n: np.ndarray) -> bytes:
-            out = np.empty(len(at := np.flatnonzero(n)), _SUM)
-            out["key"], out["n"] = at, n[at]
-            return out.tobytes()
-
-        def rows(names, cls, raw, summed):
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cls, pa.int32()), pa.array(raw, pa.binary()), pa.array(summed, pa.binary())], ["word", "class", "raw", "sums"])
-
-        def flush():
-            nonlocal size
-            names = list(held)
-            for i in range(0, len(names), 10_000):
-                some = names[i : i + 10_000]
-                raw = [bytes(x) if len(x := held[w]) <= RAW else None for w in some]
-                summed = [None if r is not None else sums(np.bincount(np.frombuffer(held[w], np.uint8) + np.tile(np.array([0, k]), len(held[w]) // 2), minlength=2 * k)) for w, r in zip(some, raw, strict=True)]
-                yield rows(some, [of[w] for w in some], raw, summed)
+def best_classes(near: np.ndarray, old: np.ndarray, g: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """``Best`` for words with a row each of ``near``, the counts of the classes before and then behind them."""
+    row, at = np.nonzero(near)
+    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(near)))])
+    return Best(g)(at, near[row, at], first, np.arange(len(near)), old, pick)
+
+
+#: Entries of a block (a frequent word above a word or class beside it, and how often) and of a word's neighbours.
+_BLOCK, _NEAR = np.dtype([("at", "<u4"), ("n", "<u4")]), np.dtype([("at", "<u2"), ("n", "<u4")])
+#: What a row of the words' table is: a change of a class bigram, a frequent word, a block of neighbours of
+#: frequent words, or another word (or, with a class below 0, a neighbour of one).
+CHANGE, NUMBERED, BLOCK, WORD = range(4)
+_TOLD = "kind int, key bigint, class int, word string, codes binary, left binary, right binary, h bigint"
+_FOUND = "step int, key bigint, class int, word string, codes binary, left binary, right binary, near binary, h bigint"
+
+
+def _rows(schema: str, n: int, **columns) -> pa.RecordBatch:
+    """A batch of ``n`` rows of ``schema``, null or repeated where no array is given."""
+    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, arrays = [], []
+    for name, t in (x.split() for x in schema.split(", ")):
+        v = columns.get(name)
+        names.append(name)
+        arrays.append(pa.nulls(n, types[t]) if v is None else v if isinstance(v, pa.Array) else pa.array(np.broadcast_to(np.asarray(v, {"int": np.int32, "bigint": np.int64}[t]), n)))
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _spans(column: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where the values of a column of binaries start and end, and their bytes."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(1, np.int32), pa.py_buffer(b"")
+    return np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1], data if data is not None else pa.py_buffer(b"")
+
+
+def _cut(offsets: np.ndarray, data) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def _values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of binaries one behind another, and where each row's start and end."""
+    offsets, data = _spans(column)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind), (offsets.astype(np.int64) - offsets[0]) // size
+
+
+def _blocks(at: np.ndarray, n: np.ndarray, side: int):
+    """Rows of blocks from entries with a frequent word each."""
+    if not len(at):
+        return
+    block = (at >> 16) % BLOCKS
+    order = np.argsort(block, kind="stable")
+    x = np.empty(len(at), _BLOCK)
+    x["at"], x["n"] = at[order], n[order]
+    stop = np.searchsorted(block[order], np.arange(BLOCKS + 1))
+    some = np.flatnonzero(np.diff(stop))
+    yield _rows(_TOLD, len(some), kind=BLOCK, key=some, **{"class": side}, codes=_cut(np.append(stop[some], stop[-1]) * _BLOCK.itemsize, x.tobytes()))
+
+
+def _adjacent(end: int):
+    """Neighbours of words in texts: of the frequent ones by blocks, of the others as pairs of frequent words
+    (or ``OTHER``) before and behind them with the keys of other words there."""
+
+    def run(batches):
+        pairs: list[np.ndarray] = []
+        held: list[tuple] = []
+        waiting = occurrences = 0
+
+        def frequent():
+            nonlocal waiting
+            p, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            pairs.clear()
+            waiting = 0
+            yield from _blocks(p, n, 1)
+            yield from _blocks((p << 16) | (p >> 16), n, 0)
+
+        def others():
+            nonlocal occurrences
+            if not held:
+                return
+            words = pa.concat_arrays([x[0] for x in held]).dictionary_encode()
+            index = words.indices.to_numpy()
+            keys, own = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            base = np.cumsum([0, *(len(x[1]) for x in held)])
+            of = index[np.concatenate([x[3] + b for x, b in zip(held, base, strict=False)])]
+            order = np.argsort(of, kind="stable")
+            near = np.concatenate([x[4] for x in held])[order]
+            beside = np.concatenate([x[5] for x in held])[order]
             held.clear()
-            of.clear()
-            size = 0
+            occurrences = 0
+            m = len(words.dictionary)
+            stop = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=m))])
+            first = np.zeros(m, np.int64)
+            first[index[::-1]] = np.arange(len(index))[::-1]
+            sides = []
+            for side in (0, 1):
+                rare = near[:, side] == OTHER
+                sides.append(_cut(np.concatenate([[0], np.cumsum(rare)])[stop] * 8, beside[rare, side].tobytes()))
+            h = [crc32(w.encode()) for w in words.dictionary.to_pylist()]
+            yield _rows(_TOLD, m, kind=WORD, key=keys[first], **{"class": own[first]}, word=words.dictionary, codes=_cut(stop * 4, near.tobytes()), left=sides[0], right=sides[1], h=h)
 
         for b in batches:
-            p = Placed(b.column(0), b.column(1), b.column(3), classes, end)
-            before, behind = p.cls[p.at - 1], p.cls[p.at + 1]
-            known = ~p.is_other
-            first = p.ids[known].astype(np.int64) * (2 * k)
-            keys += [first + before[known], first + k + behind[known]]
-            waiting += 2 * len(first)
-            if waiting >= CHUNK:
-                add()
-            order = np.argsort(p.number, kind="stable")
-            codes = np.stack([before[p.is_other][order], behind[p.is_other][order]], axis=1).tobytes()
-            stop = (2 * np.cumsum(np.bincount(p.number, minlength=len(p.own)))).tolist()
-            start = 0
-            for w, c, to in zip(b.column(2).flatten().to_pylist(), p.own.tolist(), stop, strict=True):
-                if (x := held.get(w)) is None:
-                    x = held[w] = bytearray()
-                    of[w] = c
-                    size += 100
-                x += codes[start:to]
-                size += to - start
-                start = to
-            if size >= HELD:
-                yield from flush()
-        add()
-        yield from flush()
-        table = total.reshape(-1, 2 * k)
-        seen = np.flatnonzero(table.any(axis=1))
-        for i in range(0, len(seen), 10_000):
-            some = seen[i : i + 10_000]
-            yield rows([words[j] for j in some], classes[some], [None] * len(some), [sums(table[j]) for j in some])
+            ids, n = _joined(b.column(0), np.uint16)
+            number, n_others = _joined(b.column(1), np.int32)
+            own, n_own = _joined(b.column(3), np.uint8)
+            number = number + np.repeat(np.cumsum(n_own) - n_own, n_others)
+            keys = b.column(4).flatten().to_numpy()
+            at = np.arange(len(ids)) + np.repeat(np.arange(len(n)), n) + 1
+            code = np.full(len(ids) + len(n) + 1, end, np.uint16)
+            code[at] = ids
+            before, behind = code[:-1], code[1:]
+            known = (before != OTHER) & (behind != OTHER)
+            pairs.append((before[known].astype(np.uint32) << 16) | behind[known])
+            waiting += len(pairs[-1])
+            if len(number):
+                rare = at[ids == OTHER]
+                key = np.zeros(len(code), np.int64)
+                key[rare] = keys[number]
+                held.append((b.column(2).flatten(), keys, own, number, np.stack([code[rare - 1], code[rare + 1]], axis=1), np.stack([key[rare - 1], key[rare + 1]], axis=1)))
+                occurrences += len(number)
+            if waiting >= 2 * CHUNK:
+                yield from frequent()
+            if occurrences >= CHUNK // 4:
+                yield from others()
+        yield from frequent()
+        yield from others()
         give_back()
 
     return run
 
 
-def best_classes(near: np.ndarray, old: np.ndarray, g: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """The class of each word that raises the likelihood most, where the others stay in theirs.
+def _sum_blocks(table: pa.Table) -> pa.Table:
+    """The rows of a block as one of each side."""
+    out = []
+    side = table.column("class").to_numpy()
+    for s in np.unique(side):
+        x = np.concatenate([np.frombuffer(c, _BLOCK) for c in table.column("codes").filter(pa.array(side == s)).to_pylist()])
+        at, where = np.unique(x["at"], return_inverse=True)
+        n = np.bincount(where, weights=x["n"])
+        most = 2**32 - 1  # of an entry; larger counts take several
+        y = np.empty(int((parts := np.maximum(np.ceil(n / most), 1).astype(np.int64)).sum()), _BLOCK)
+        y["at"], y["n"] = np.repeat(at, parts), most
+        y["n"][np.cumsum(parts) - 1] = n - most * (parts - 1)
+        out.append(_rows(_TOLD, 1, kind=BLOCK, key=table.column("key")[0].as_py(), **{"class": int(s)}, codes=pa.array([y.tobytes()], pa.binary())))
+    return pa.Table.from_batches(out)
+
+
+class Told:
+    """Rows of words in their classes, with what their neighbours are told of these."""
+
+    def __init__(self, k: int):
+        self.k, self.waiting, self.size = k, [], 0
+
+    def rows(self, key, cls: np.ndarray, word, codes, left, right, h):
+        yield _rows(_TOLD, len(cls), kind=WORD, key=key, **{"class": cls}, word=word, codes=codes, left=left, right=right, h=h)
+        for column, above in ((left, self.k), (right, 0)):
+            to, first = _values(column, np.int64)
+            yield _rows(_TOLD, len(to), kind=WORD, key=to, **{"class": -1 - above - np.repeat(cls, np.diff(first))})
+        near, first = _values(codes, np.uint32)
+        of = np.repeat(cls, np.diff(first)).astype(np.uint32)
+        for code, above in ((near & 0xFFFF, self.k), (near >> 16, 0)):
+            known = code != OTHER
+            self.waiting.append((code[known] << 16) | (of[known] + above).astype(np.uint32))
+            self.size += int(known.sum())
+        if self.size >= CHUNK:
+            yield from self.rest()
+
+    def rest(self):
+        if self.size:
+            at, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            yield from _blocks(at, n, 2)
+        self.waiting, self.size = [], 0
+
+
+def _gather(k: int):
+    """Rows of words in the order of their keys, one for each word."""
 
-    ``near``: a row for each word with its counts of the classes before and then behind it. Words stay that
-    no move helps; none moves to the last class, the end of a text. Of classes that are equally good, as
-    all empty ones are, the number ``pick`` of a word chooses one.
-    """
-    k = len(g)
-    cells, size = np.vstack([g, g.T]), g.sum(axis=0)  # of a class of neighbours (rows) with a word's class
-    few = [xlogx(cells + n) - xlogx(cells) for n in range(9)]
-    out = old.copy()
-    for i in range(0, len(near), 250):
-        m, was = near[i : i + 250], old[i : i + 250]
-        w, key = np.nonzero(m)
-        n = m[w, key]
-        gain = np.zeros((len(w), k))
-        for j in range(1, len(few)):
-            gain[n == j] = few[j][key[n == j]]
-        many = n >= len(few)
-        gain[many] = xlogx(cells[key[many]] + n[many, None]) - xlogx(cells[key[many]])
-        weight = m[:, :k].sum(axis=1)
-        all_ = np.zeros((len(m), k))
-        here, first = np.unique(w, return_index=True)
-        if len(here):
-            all_[here] = np.add.reduceat(gain, first, axis=0)
-        all_ -= 2 * (xlogx(size + weight[:, None]) - xlogx(size))
-        # where a word is, its own counts are among those of the class
-        cell, rest = cells[key, was[w]], np.maximum(cells[key, was[w]] - n, 0)
-        stay = np.bincount(w, weights=xlogx(cell) - xlogx(rest), minlength=len(m)) - 2 * (xlogx(size[was]) - xlogx(np.maximum(size[was] - weight, 0)))
-        all_[np.arange(len(m)), was] = stay
-        all_[:, k - 1] = -np.inf
-        top = all_.max(axis=1)
-        equal = all_ >= top[:, None] - 1e-9
-        new = (np.cumsum(equal, axis=1) > (pick[i : i + 250] % equal.sum(axis=1))[:, None]).argmax(axis=1)
-        out[i : i + 250] = np.where(top > stay + 1e-9, new, was)
-    return out
+    def run(batches):
+        told, kept = Told(k), None
+        names = ["key", "class", "word", "codes", "left", "right", "h"]
+
+        def whole(b: pa.RecordBatch, stop: np.ndarray):
+            first = stop[:-1]
+            cut = [_cut((x := _spans(b.column(c)))[0][stop], x[1]) for c in ("codes", "left", "right")]
+            some = b.take(pa.array(first))
+            return told.rows(some.column("key"), some.column("class").to_numpy().astype(np.int64), some.column("word"), *cut, some.column("h"))
+
+        for b in batches:
+            b = b.select(names)
+            if kept is not None:
+                b = pa.concat_batches([kept, b])
+            word = b.column("word")
+            start = np.concatenate([[0], np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)) + 1])
+            kept = b.slice(start[-1])
+            if len(start) > 1:
+                yield from whole(b, start)
+        if kept is not None and len(kept):
+            yield from whole(kept, np.array([0, len(kept)]))
+        yield from told.rest()
+        give_back()
+
+    return run
+
+
+def _found(near: np.ndarray, cls: np.ndarray, table: np.ndarray) -> pa.Array:
+    """Neighbours of words by class, as entries; ``table`` gets their class bigrams."""
+    k = len(table)
+    flat = np.flatnonzero(near)
+    row, at = np.divmod(flat, 2 * k)
+    x = np.empty(len(flat), _NEAR)
+    x["at"], x["n"] = at, near[flat]
+    before = at < k
+    table += np.bincount(at[before] * k + cls[row[before]], weights=near[flat[before]], minlength=k * k).reshape(k, k).astype(np.int64)
+    return _cut(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(cls)))]) * _NEAR.itemsize, x.tobytes())
+
+
+def _bigram_rows(table: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(table)
+    return _rows(_FOUND, len(at), step=-1, key=at, h=table.reshape(-1)[at])
+
+
+def _steps(h: np.ndarray) -> np.ndarray:
+    """The group of words by their hash."""
+    return np.searchsorted(BOUNDS, h % GROUPS, "right") - 1
+
+
+def _near(classes: np.ndarray, k: int):
+    """Words in the order of their keys, behind what their neighbours tell, with their neighbours by class;
+    at the end the class bigrams in which they come second."""
+
+    def run(batches):
+        table = np.zeros((k, k), np.int64)
+        of = np.zeros(OTHER + 1, np.int64)
+        of[: len(classes)] = classes
+        kept = np.zeros(0, np.int64)
+        for b in batches:
+            cls = b.column("class").to_numpy()
+            is_word = cls >= 0
+            to, at = (np.cumsum(is_word) - is_word)[~is_word], -1 - cls[~is_word].astype(np.int64)
+            to, at = np.concatenate([np.zeros(len(kept), np.int64), to]), np.concatenate([kept, at])
+            m = int(is_word.sum())
+            kept = at[to == m]
+            if not m:
+                continue
+            to, at = to[to < m], at[to < m]
+            w = b.filter(pa.array(is_word))
+            cls = cls[is_word].astype(np.int64)
+            codes, first = _values(w.column("codes"), np.uint32)
+            row = np.repeat(np.arange(m), np.diff(first)) * (2 * k)
+            before, behind = codes & 0xFFFF, codes >> 16
+            x, y = before != OTHER, behind != OTHER
+            near = np.bincount(np.concatenate([row[x] + of[before[x]], row[y] + k + of[behind[y]], to * (2 * k) + at]), minlength=m * 2 * k)
+            found = _found(near, cls, table)
+            h = w.column("h")
+            yield _rows(_FOUND, m, step=_steps(h.to_numpy()), key=w.column("key"), **{"class": cls}, word=w.column("word"), codes=w.column("codes"), left=w.column("left"), right=w.column("right"), near=found, h=h)
+        yield _bigram_rows(table)
+        give_back()
+
+    return run
+
+
+def _near_frequent(classes: np.ndarray, h: np.ndarray, k: int):
+    """The frequent words of a block with their neighbours by class, and the class bigrams in which they come second."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        block = rows.column("key")[0].as_py()
+        words = np.arange(block, len(classes), BLOCKS)
+        near = np.zeros(len(words) * 2 * k, np.int64)
+        for side, codes in zip(rows.column("class").to_pylist(), rows.column("codes").to_pylist(), strict=True):
+            x = np.frombuffer(codes, _BLOCK)
+            beside = (x["at"] & 0xFFFF).astype(np.int64)
+            at = beside if side == 2 else classes[beside] + side * k
+            near += np.bincount((x["at"] >> 16).astype(np.int64) // BLOCKS * (2 * k) + at, weights=x["n"], minlength=len(near)).astype(np.int64)
+        table = np.zeros((k, k), np.int64)
+        cls = classes[words]
+        found = _found(near, cls, table)
+        step = np.where(words < len(classes) - 1, _steps(h[words]), -2)  # the end of a text stays
+        return pa.Table.from_batches([_rows(_FOUND, len(words), step=step, key=words, **{"class": cls}, near=found, h=h[words]), _bigram_rows(table)])
+
+    return run
 
 
 def _move(g: np.ndarray):
-    """(word, c, old class, new class) of words with their neighbours; without a word, by how much (c) a class bigram (old) changes."""
+    """Words in their new classes, with what their neighbours are told, and by how much class bigrams change."""
     k = len(g)
 
     def run(batches):
-        change = np.zeros((k, k), np.int64)
+        best, told = Best(g), Told(k)
+        change = np.zeros(k * k, np.int64)
         for b in batches:
-            near = np.zeros((b.num_rows, 2 * k), np.int64)
-            for i, (raw, sums) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if raw:
-                    codes = np.frombuffer(b"".join(raw), np.uint8)
-                    near[i] += np.concatenate([np.bincount(codes[::2], minlength=k), np.bincount(codes[1::2], minlength=k)])
-                for x in sums:
-                    x = np.frombuffer(x, _SUM)
-                    near[i, x["key"]] += x["n"]
-            old = b.column(1).to_numpy().astype(np.int64)
-            new = best_classes(near, old, g, np.array([crc32(w.encode()) // GROUPS for w in b.column(0).to_pylist()], np.int64))
-            for w in np.flatnonzero(new != old):
-                for x, by in ((old[w], -near[w]), (new[w], near[w])):
-                    change[:, x] += by[:k]
-                    change[x] += by[k:]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near[:, :k].sum(axis=1)), b.column(1), pa.array(new.astype(np.int32))], ["word", "c", "old", "new"])
+            old = b.column("class").to_numpy().astype(np.int64)
+            sets = b.column("near").dictionary_encode()
+            x, first = _values(sets.dictionary, _NEAR)
+            at, n, row = x["at"].astype(np.int64), x["n"].astype(np.int64), sets.indices.to_numpy().astype(np.int64)
+            new = best(at, n, first, row, old, b.column("h").to_numpy() // GROUPS)
+            moved = np.flatnonzero(new != old)
+            many = np.diff(first)[row[moved]]
+            e = np.arange(many.sum()) + np.repeat(first[row[moved]] - (np.cumsum(many) - many), many)
+            before = at[e] < k
+            for c, sign in ((old, -1), (new, 1)):
+                c = np.repeat(c[moved], many)
+                change += np.bincount(np.where(before, at[e] * k + c, c * k + at[e] - k), weights=sign * n[e], minlength=k * k).astype(np.int64)
+            is_word = b.column("word").is_valid()
+            rare = is_word.to_numpy(zero_copy_only=False)
+            yield _rows(_TOLD, int((~rare).sum()), kind=NUMBERED, key=b.column("key").filter(pc.invert(is_word)), **{"class": new[~rare]})
+            w = b.filter(is_word)
+            yield from told.rows(w.column("key"), new[rare], w.column("word"), w.column("codes"), w.column("left"), w.column("right"), w.column("h"))
+        yield from told.rest()
         at = np.flatnonzero(change)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(change.reshape(-1)[at]), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), -1, np.int32))], ["word", "c", "old", "new"])
+        yield _rows(_TOLD, len(at), kind=CHANGE, key=at, h=change[at])
         give_back()
 
     return run
 
 
-_WHOLE = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, once bigint, base double, emission double, row bigint, own binary, classes binary"
+_WHOLE = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, once bigint, base double, emission double, classes binary"
 
 
 def _place(classes: np.ndarray, end: int):
-    """Rows with the classes of their other words (number * 256 + class) as rows with the classes of all tokens."""
+    """Rows with the classes of other words (number * 256 + class) that texts to learn from have, as rows with the classes of all tokens."""
 
     def run(batches):
         for b in batches:
-            own = []
-            for x in b.column("own").to_pylist():
-                x = np.sort(np.array(x or [], np.int64))
-                own.append((x & 255).astype(np.uint8).tobytes())
-            p = Placed(b.column("ids"), b.column("others"), pa.array(own, pa.binary()), classes, end)
+            own, n_own = _joined(b.column("own"), np.uint8)
+            own, found = own.copy(), b.column("found")
+            x = found.flatten().to_numpy()
+            n = pc.fill_null(pc.list_value_length(found), 0).to_numpy()
+            own[(x >> 8) + np.repeat(np.cumsum(n_own) - n_own, n)] = x & 255
+            to = np.concatenate([[0], np.cumsum(n_own)])
+            p = Placed(b.column("ids"), b.column("others"), _cut(to, own.tobytes()), classes, end)
             cls = [p.cls[a:z].tobytes() for a, z in zip(p.start.tolist(), p.end_at.tolist(), strict=True)]
-            names = [x.split()[0] for x in _WHOLE.split(", ")][:-2]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(own, pa.binary()), pa.array(cls, pa.binary())], [*names, "own", "classes"])
+            names = [x.split()[0] for x in _WHOLE.split(", ")][:-1]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(cls, pa.binary())], [*names, "classes"])
         give_back()
 
     return run
@@ -527,61 +766,72 @@ def cluster(scratch: Scratch, parts: DataFrame, scorer: Scorer) -> tuple[DataFra
     In a round all words move, group behind group, each by the classes that its neighbours had before the
     round. The bigrams are then counted anew; a round that lowers the likelihood is not kept, and one that
     gains little is the last. Groups go by a hash of the word, so no result depends on the partitions.
+
+    The texts are read once for the neighbours of all words and once to place the words in their last classes.
+    In between, words that are not broadcast tell their class to the other such words beside them by a shuffle.
     """
-    end = scorer.end
-    words = [_text(w) for w in scorer.words]
-    classes, g = scorer.word_class.astype(np.uint8), scorer.g
-    others = parts.select("row", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x"), "own").select("row", "i", "x.words", "x.n", F.conv(F.hex(F.expr("substring(own, i + 1, 1)")), 16, 10).cast("int").alias("ending")).withColumnRenamed("words", "word")
-
-    def place(moved: DataFrame, column: str) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
-        new = classes.copy()
-        at = {w: i for i, w in enumerate(words)}
-        for r in moved.join(F.broadcast(scratch.spark.createDataFrame([(w,) for w in words], "word string")), "word").select("word", column).collect():
-            new[at[r[0]]] = r[1]
-        of = moved.select("word", "c", F.col(column).alias("k"))
-        rare = others.join(of, "word", "left").groupBy("row").agg(
-            F.collect_list(F.col("i") * 256 + F.coalesce("k", "ending")).alias("own"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"),
-            F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("more_known"), F.sum(F.when(F.col("c") == 1, F.col("n"))).alias("more_once"),
-        )
-        more, none = F.coalesce("more", F.lit(0.0)), F.lit(0)
-        filled = parts.drop("own", "words", "n").join(rare, "row", "left").select(
-            "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", none)).alias("known"), (F.col("once") + F.coalesce("more_once", none)).alias("once"),
-            (F.col("base") + more).alias("base"), (F.col("emission") + more).alias("emission"), "row", "ids", "others", "own",
-        )
-        whole = scratch.write(filled.mapInArrow(_place(new, end), _WHOLE), "whole")
-        pairs = whole.where("not held_out").select("classes").mapInArrow(_class_bigrams(end + 1), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        table = np.zeros((end + 1, end + 1))
-        table.reshape(-1)[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-        mass = np.ones(end + 1)
-        for r in of.groupBy("k").agg(F.sum(F.col("c") + 1).alias("m")).collect():
-            mass[r.k] += r.m
-        return whole, table, mass, new
-
-    kept, won = None, 0.0
+    end, k = scorer.end, scorer.end + 1
+    classes = np.append(scorer.word_class, end).astype(np.int64)
+    h = np.array([*(crc32(w) for w in scorer.words), 0], np.int64)
+    small_batches(scratch.spark, 10_000)
+    train = parts.where("not held_out").select("ids", "others", "words", "own", F.transform("words", lambda w: F.xxhash64(w)).alias("keys"))
+    adjacent = scratch.write(train.mapInArrow(_adjacent(len(classes) - 1), _TOLD), "adjacent")
+    words = adjacent.where(F.col("kind") == WORD).repartition("key").sortWithinPartitions("key", "word")
+    tables = [scratch.write(words.mapInArrow(_gather(k), _TOLD), "words")]
+    blocks = scratch.write(adjacent.where(F.col("kind") == BLOCK).groupBy("key").applyInArrow(_sum_blocks, _TOLD), "blocks")
+    scratch.drop(adjacent)
+
+    g, won, before = None, 0.0, None
     while True:
-        train = parts.where("not held_out")
-        if kept:
-            train = train.drop("own").join(kept[0].select("row", "own"), "row")
-        near = train.select("ids", "others", "words", "own").mapInArrow(_neighbours(words, classes, end), "word string, class int, raw binary, sums binary")
-        near = scratch.write(near.groupBy("word").agg(F.first("class").alias("class"), F.collect_list("raw").alias("raw"), F.collect_list("sums").alias("sums")), "near")
-        table, steps = g.copy(), []
-        for a, z in zip(BOUNDS, BOUNDS[1:], strict=False):
-            some = near.where((F.crc32(F.col("word").cast("binary")) % GROUPS >= a) & (F.crc32(F.col("word").cast("binary")) % GROUPS < z))
-            steps.append(scratch.write(some.mapInArrow(_move(np.maximum(table, 0)), "word string, c bigint, old int, new int"), "moved"))
-            for r in steps[-1].where("word is null").groupBy("old").agg(F.sum("c").alias("c")).collect():
-                table.reshape(-1)[r.old] += r.c
-        moved = reduce(DataFrame.unionAll, steps).where("word is not null")
-        now = place(moved, "new")
-        scratch.drop(near)
-        gain = fit(now[1]) - fit(g)
-        if gain < 0:
-            if kept:
-                scratch.drop(now[0])
-                return kept[:3]
-            scratch.drop(now[0])
-            return place(moved, "old")[:3]
-        scratch.drop(*steps, *(kept[:1] if kept else ()))
+        told = reduce(DataFrame.unionAll, tables)
+        words = told.where(F.col("kind") == WORD).drop("kind").repartition("key").sortWithinPartitions("key", "class")
+        beside = blocks.unionAll(told.where(F.col("kind") == BLOCK)).select("key", "class", "codes")
+        near = words.mapInArrow(_near(classes, k), _FOUND).unionAll(beside.groupBy("key").applyInArrow(_near_frequent(classes, h, k), _FOUND))
+        near = scratch.write(near, "near")
+        table = np.zeros((k, k))
+        for r in near.where("step = -1").groupBy("key").agg(F.sum("h").alias("n")).collect():
+            table.reshape(-1)[r.key] = r.n
+        gain = fit(table) - fit(g) if g is not None else 0.0
         won += gain
-        kept, g, classes = now, now[1], now[3]
-        if gain <= LEAST * won:
-            return kept[:3]
+        if gain < 0:
+            scratch.drop(*tables)
+            tables, classes = before
+        elif before:
+            scratch.drop(*before[0])
+        if g is not None and gain <= LEAST * won:
+            scratch.drop(near, blocks)
+            break
+        g, before, tables = table, (tables, classes.copy()), []
+        table = g.copy()
+        for step in range(len(BOUNDS) - 1):
+            tables.append(scratch.write(near.where(F.col("step") == step).mapInArrow(_move(np.maximum(table, 0)), _TOLD), "words"))
+            rows = tables[-1].where(F.col("kind").isin(CHANGE, NUMBERED)).groupBy("kind", "key").agg(F.sum("h").alias("h"), F.max("class").alias("class")).toArrow()
+            kind, key = rows["kind"].to_numpy(), rows["key"].to_numpy()
+            for of, x in ((CHANGE, "h"), (NUMBERED, "class")):
+                to, value = (table.reshape(-1), rows[x].to_numpy()) if of == CHANGE else (classes, rows[x].to_numpy())
+                if of == CHANGE:
+                    to[key[kind == of]] += value[kind == of]
+                else:
+                    to[key[kind == of]] = value[kind == of]
+        scratch.drop(near)
+
+    small_batches(scratch.spark)
+    of = reduce(DataFrame.unionAll, tables).where((F.col("kind") == WORD) & (F.col("class") >= 0)).select("word", (F.octet_length("codes") / 4).cast("bigint").alias("c"), F.col("class").alias("k"))
+    others = parts.select("row", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("row", "i", F.col("x.words").alias("word"), "x.n")
+    rare = others.join(of, "word").groupBy("row").agg(
+        F.collect_list(F.col("i") * 256 + F.col("k")).alias("found"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"),
+        F.sum("n").alias("more_known"), F.sum(F.when(F.col("c") == 1, F.col("n"))).alias("more_once"),
+    )
+    more, none = F.coalesce("more", F.lit(0.0)), F.lit(0)
+    filled = parts.drop("words", "n").join(rare, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", none)).alias("known"), (F.col("once") + F.coalesce("more_once", none)).alias("once"),
+        (F.col("base") + more).alias("base"), (F.col("emission") + more).alias("emission"), "ids", "others", "own", "found",
+    )
+    whole = scratch.write(filled.mapInArrow(_place(classes[:-1].astype(np.uint8), end), _WHOLE), "whole")
+    pairs = whole.where("not held_out").select("classes").mapInArrow(_class_bigrams(k), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((k, k))
+    table.reshape(-1)[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    mass = np.bincount(classes[:-1], weights=scorer.counts + 1, minlength=k) + 1
+    for r in of.groupBy("k").agg(F.sum(F.col("c") + 1).alias("m")).collect():
+        mass[r.k] += r.m
+    return whole, table, mass

@@ -482,6 +482,23 @@ def test_lm_best_class_of_a_word():
         assert lm_score.best_classes(near, np.array([old]), g, np.zeros(1, int))[0] == np.argmax(fits)
 
 
+def test_lm_moves_in_bounded_memory():
+    """Words with many different neighbours, as frequent ones have: arrays of a worker by their peak."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    k = 97
+    near, old = rng.integers(9, 99, (250, 2 * k)), rng.integers(0, k - 1, 250)
+    g = rng.integers(10**5, 10**6, (k, k)).astype(float)
+    tracemalloc.start()
+    new = lm_score.best_classes(near, old, g, np.zeros(250, int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and (new != old).any()
+
+
 def test_pii(spark, docs, rows, small, sf_dir, none):
     cols = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     got = pii.find(docs)
