@@ -41,6 +41,8 @@ LEAST = 0.1
 GROUPS, BOUNDS = 16, (0, 1, 2, 4, 8, 16)
 #: Blocks (by number) of frequent words whose neighbours are summed together.
 BLOCKS = 256
+#: Occurrences of other words in a bucket, on average.
+OCCURRENCES = 200_000
 
 
 def ending(word: bytes) -> int:
@@ -358,21 +360,25 @@ def best_classes(near: np.ndarray, old: np.ndarray, g: np.ndarray, pick: np.ndar
 
 #: Entries of a block (a frequent word above a word or class beside it, and how often) and of a word's neighbours.
 _BLOCK, _NEAR = np.dtype([("at", "<u4"), ("n", "<u4")]), np.dtype([("at", "<u2"), ("n", "<u4")])
-#: What a row of the words' table is: a change of a class bigram, a frequent word, a block of neighbours of
-#: frequent words, or another word (or, with a class below 0, a neighbour of one).
-CHANGE, NUMBERED, BLOCK, WORD = range(4)
-_TOLD = "kind int, key bigint, class int, word string, codes binary, left binary, right binary, h bigint"
-_FOUND = "step int, key bigint, class int, word string, codes binary, left binary, right binary, near binary, h bigint"
-
-
-def _rows(schema: str, n: int, **columns) -> pa.RecordBatch:
-    """A batch of ``n`` rows of ``schema``, null or repeated where no array is given."""
+#: A neighbour of a word (by the key of the word) in a class.
+_MESSAGE = np.dtype([("key", "<i8"), ("at", "<u2")])
+#: What a row of the words' table is: changes of class bigrams, frequent words, neighbours of a block of frequent
+#: words, other words of a bucket (by their keys), neighbours that these have among each other, or their texts.
+CHANGE, NUMBERED, BLOCK, WORDS, MESSAGES, TEXTS = range(6)
+#: Arrays by word (keys, own class, hash, number of occurrences or neighbours, bytes of texts) and by occurrence.
+_ARRAYS = {"keys": "<i8", "own": "u1", "hash": "<u4", "n": "<u4", "codes": "<u4", "left": "<i8", "right": "<i8"}
+_TOLD = "kind int, key bigint, class int, " + ", ".join(f"{x} binary" for x in _ARRAYS) + ", size binary, texts binary, h bigint"
+_FOUND = "step int, key bigint, " + ", ".join(f"{x} binary" for x in _ARRAYS) + ", near binary, many binary, h bigint"
+
+
+def _rows(schema: str, count: int, /, **columns) -> pa.RecordBatch:
+    """A batch of ``count`` rows of ``schema``, null or repeated where no array is given."""
     types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     names, arrays = [], []
     for name, t in (x.split() for x in schema.split(", ")):
         v = columns.get(name)
         names.append(name)
-        arrays.append(pa.nulls(n, types[t]) if v is None else v if isinstance(v, pa.Array) else pa.array(np.broadcast_to(np.asarray(v, {"int": np.int32, "bigint": np.int64}[t]), n)))
+        arrays.append(pa.nulls(count, types[t]) if v is None else v if isinstance(v, pa.Array) else pa.array(np.broadcast_to(np.asarray(v, {"int": np.int32, "bigint": np.int64}[t]), count)))
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -395,6 +401,61 @@ def _values(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind), (offsets.astype(np.int64) - offsets[0]) // size
 
 
+def _one(x: np.ndarray) -> pa.Array:
+    """A column of one binary."""
+    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+
+
+class Words:
+    """Words of a bucket: keys, own classes, hashes, numbers of occurrences, and of each occurrence the frequent words
+    (or ``OTHER``) before and behind it; ``left`` and ``right`` have the keys of the other words there."""
+
+    def __init__(self, **arrays: np.ndarray):
+        self.arrays = arrays
+        self.__dict__.update(arrays)
+
+    @classmethod
+    def read(cls, row: dict) -> "Words":
+        return cls(**{x: np.frombuffer(row[x], t) for x, t in _ARRAYS.items()})
+
+    def columns(self) -> dict:
+        return {x: _one(v.astype(_ARRAYS[x], copy=False)) for x, v in self.arrays.items()}
+
+    def beside(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many other words each word has before and behind it."""
+        of = np.repeat(np.arange(len(self.keys)), self.n)
+        return tuple(np.bincount(of[code == OTHER], minlength=len(self.keys)) for code in (self.codes & 0xFFFF, self.codes >> 16))
+
+    def take(self, order: np.ndarray) -> "Words":
+        """The words of these numbers."""
+        out = {x: self.arrays[x][order] for x in ("keys", "own", "hash", "n")}
+        for x, n in zip(("codes", "left", "right"), (self.n, *self.beside()), strict=True):
+            out[x] = self.arrays[x][_ranges(n, order)]
+        return Words(**out)
+
+
+def _ranges(n: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the values of some rows, where all rows have ``n`` values each."""
+    n = n.astype(np.int64)
+    first, many = (np.cumsum(n) - n)[order], n[order]
+    return np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+
+
+def _together(rows: list[dict]) -> Words:
+    """The words of several rows in the order of their keys."""
+    parts = [Words.read(r) for r in rows]
+    w = Words(**{x: np.concatenate([p.arrays[x] for p in parts]) for x in _ARRAYS})
+    return w.take(np.lexsort((w.hash, w.keys)))
+
+
+def _buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by bucket, the buckets, and where each starts and ends."""
+    of = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    some, first = np.unique(of[order], return_index=True)
+    return order, some, np.append(first, len(keys))
+
+
 def _blocks(at: np.ndarray, n: np.ndarray, side: int):
     """Rows of blocks from entries with a frequent word each."""
     if not len(at):
@@ -408,7 +469,7 @@ def _blocks(at: np.ndarray, n: np.ndarray, side: int):
     yield _rows(_TOLD, len(some), kind=BLOCK, key=some, **{"class": side}, codes=_cut(np.append(stop[some], stop[-1]) * _BLOCK.itemsize, x.tobytes()))
 
 
-def _adjacent(end: int):
+def _adjacent(end: int, buckets: int):
     """Neighbours of words in texts: of the frequent ones by blocks, of the others as pairs of frequent words
     (or ``OTHER``) before and behind them with the keys of other words there."""
 
@@ -439,16 +500,14 @@ def _adjacent(end: int):
             beside = np.concatenate([x[5] for x in held])[order]
             held.clear()
             occurrences = 0
-            m = len(words.dictionary)
-            stop = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=m))])
-            first = np.zeros(m, np.int64)
+            first = np.zeros(len(words.dictionary), np.int64)
             first[index[::-1]] = np.arange(len(index))[::-1]
-            sides = []
-            for side in (0, 1):
-                rare = near[:, side] == OTHER
-                sides.append(_cut(np.concatenate([[0], np.cumsum(rare)])[stop] * 8, beside[rare, side].tobytes()))
-            h = [crc32(w.encode()) for w in words.dictionary.to_pylist()]
-            yield _rows(_TOLD, m, kind=WORD, key=keys[first], **{"class": own[first]}, word=words.dictionary, codes=_cut(stop * 4, near.tobytes()), left=sides[0], right=sides[1], h=h)
+            sides = [beside[near[:, side] == OTHER, side] for side in (0, 1)]
+            h = np.array([crc32(w.encode()) for w in words.dictionary.to_pylist()], np.uint32)
+            w = Words(keys=keys[first], own=own[first], hash=h, n=np.bincount(of, minlength=len(first)), codes=near.view("<u4")[:, 0], left=sides[0], right=sides[1])
+            order, some, stop = _buckets(w.keys, buckets)
+            w, texts = w.take(order), words.dictionary.take(pa.array(order))
+            yield from _by_bucket(w, some, stop, lambda a, z: _texts(texts[a:z]))
 
         for b in batches:
             ids, n = _joined(b.column(0), np.uint16)
@@ -496,20 +555,42 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
+def _texts(words: pa.Array) -> dict:
+    """Strings as one binary, and their lengths."""
+    b = words.cast(pa.binary())
+    offsets, data = _spans(b)
+    return {"size": _one(np.diff(offsets).astype("<u4")), "texts": _one(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]])}
+
+
+def _strings(row: dict) -> pa.Array:
+    size = np.frombuffer(row["size"], "<u4")
+    return _cut(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), row["texts"]).cast(pa.string())
+
+
+def _by_bucket(w: Words, some: np.ndarray, stop: np.ndarray, more):
+    """Rows of words that stand by bucket."""
+    ends = {x: np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for x, n in zip(("codes", "left", "right"), (w.n, *w.beside()), strict=True)}
+    for bucket, a, z in zip(some.tolist(), stop.tolist(), stop[1:].tolist(), strict=False):
+        part = Words(**{x: v[ends[x][a] : ends[x][z]] if x in ends else v[a:z] for x, v in w.arrays.items()})
+        yield _rows(_TOLD, 1, kind=WORDS, key=bucket, **part.columns(), **more(a, z))
+
+
 class Told:
     """Rows of words in their classes, with what their neighbours are told of these."""
 
-    def __init__(self, k: int):
-        self.k, self.waiting, self.size = k, [], 0
-
-    def rows(self, key, cls: np.ndarray, word, codes, left, right, h):
-        yield _rows(_TOLD, len(cls), kind=WORD, key=key, **{"class": cls}, word=word, codes=codes, left=left, right=right, h=h)
-        for column, above in ((left, self.k), (right, 0)):
-            to, first = _values(column, np.int64)
-            yield _rows(_TOLD, len(to), kind=WORD, key=to, **{"class": -1 - above - np.repeat(cls, np.diff(first))})
-        near, first = _values(codes, np.uint32)
-        of = np.repeat(cls, np.diff(first)).astype(np.uint32)
-        for code, above in ((near & 0xFFFF, self.k), (near >> 16, 0)):
+    def __init__(self, k: int, buckets: int):
+        self.k, self.buckets, self.waiting, self.messages, self.size = k, buckets, [], [], 0
+
+    def rows(self, bucket: int, w: Words, cls: np.ndarray):
+        """Words of a bucket in their classes ``cls``."""
+        yield _rows(_TOLD, 1, kind=WORDS, key=bucket, **Words(**{**w.arrays, "own": cls}).columns())
+        for to, n, above in zip((w.left, w.right), w.beside(), (self.k, 0), strict=True):
+            x = np.empty(len(to), _MESSAGE)
+            x["key"], x["at"] = to, np.repeat(cls, n) + above
+            self.messages.append(x)
+            self.size += len(x)
+        of = np.repeat(cls, w.n).astype(np.uint32)
+        for code, above in ((w.codes & 0xFFFF, self.k), (w.codes >> 16, 0)):
             known = code != OTHER
             self.waiting.append((code[known] << 16) | (of[known] + above).astype(np.uint32))
             self.size += int(known.sum())
@@ -520,41 +601,38 @@ class Told:
         if self.size:
             at, n = np.unique(np.concatenate(self.waiting), return_counts=True)
             yield from _blocks(at, n, 2)
-        self.waiting, self.size = [], 0
-
-
-def _gather(k: int):
-    """Rows of words in the order of their keys, one for each word."""
-
-    def run(batches):
-        told, kept = Told(k), None
-        names = ["key", "class", "word", "codes", "left", "right", "h"]
-
-        def whole(b: pa.RecordBatch, stop: np.ndarray):
-            first = stop[:-1]
-            cut = [_cut((x := _spans(b.column(c)))[0][stop], x[1]) for c in ("codes", "left", "right")]
-            some = b.take(pa.array(first))
-            return told.rows(some.column("key"), some.column("class").to_numpy().astype(np.int64), some.column("word"), *cut, some.column("h"))
-
-        for b in batches:
-            b = b.select(names)
-            if kept is not None:
-                b = pa.concat_batches([kept, b])
-            word = b.column("word")
-            start = np.concatenate([[0], np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)) + 1])
-            kept = b.slice(start[-1])
-            if len(start) > 1:
-                yield from whole(b, start)
-        if kept is not None and len(kept):
-            yield from whole(kept, np.array([0, len(kept)]))
-        yield from told.rest()
-        give_back()
+            x = np.concatenate(self.messages)
+            order, some, stop = _buckets(np.ascontiguousarray(x["key"]), self.buckets)
+            yield _rows(_TOLD, len(some), kind=MESSAGES, key=some, codes=_cut(stop * _MESSAGE.itemsize, x[order].tobytes()))
+        self.waiting, self.messages, self.size = [], [], 0
+
+
+def _gather(k: int, buckets: int):
+    """The words of a bucket, one behind another by their keys, with their texts in a row of its own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        texts = pa.concat_arrays([_strings(r) for r in rows]).dictionary_encode()
+        index, m = texts.indices.to_numpy(), len(texts.dictionary)
+        parts = [Words.read(r) for r in rows]
+        w = Words(**{x: np.concatenate([p.arrays[x] for p in parts]) for x in _ARRAYS})
+        first = np.zeros(m, np.int64)
+        first[index[::-1]] = np.arange(len(index))[::-1]
+        w = w.take(np.argsort(index, kind="stable"))  # rows of one word one behind another
+        same = np.sort(index, kind="stable")
+        start = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+        whole = Words(keys=w.keys[start], own=w.own[start], hash=w.hash[start], n=np.add.reduceat(w.n, start).astype("<u4"), codes=w.codes, left=w.left, right=w.right)
+        order = np.lexsort((whole.hash, whole.keys))
+        whole = whole.take(order)
+        told, key = Told(k, buckets), table.column("key")[0].as_py()
+        out = [_rows(_TOLD, 1, kind=TEXTS, key=key, keys=_one(whole.keys), n=_one(whole.n.astype("<u4")), **_texts(texts.dictionary.take(pa.array(order))))]
+        return pa.Table.from_batches([*out, *told.rows(key, whole, whole.own), *told.rest()])
 
     return run
 
 
-def _found(near: np.ndarray, cls: np.ndarray, table: np.ndarray) -> pa.Array:
-    """Neighbours of words by class, as entries; ``table`` gets their class bigrams."""
+def _found(near: np.ndarray, cls: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of words by class, as entries, and how many entries each word has; ``table`` gets their class bigrams."""
     k = len(table)
     flat = np.flatnonzero(near)
     row, at = np.divmod(flat, 2 * k)
@@ -562,7 +640,7 @@ def _found(near: np.ndarray, cls: np.ndarray, table: np.ndarray) -> pa.Array:
     x["at"], x["n"] = at, near[flat]
     before = at < k
     table += np.bincount(at[before] * k + cls[row[before]], weights=near[flat[before]], minlength=k * k).reshape(k, k).astype(np.int64)
-    return _cut(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(cls)))]) * _NEAR.itemsize, x.tobytes())
+    return x, np.bincount(row, minlength=len(cls)).astype("<u4")
 
 
 def _bigram_rows(table: np.ndarray) -> pa.RecordBatch:
@@ -576,36 +654,35 @@ def _steps(h: np.ndarray) -> np.ndarray:
 
 
 def _near(classes: np.ndarray, k: int):
-    """Words in the order of their keys, behind what their neighbours tell, with their neighbours by class;
-    at the end the class bigrams in which they come second."""
-
-    def run(batches):
-        table = np.zeros((k, k), np.int64)
-        of = np.zeros(OTHER + 1, np.int64)
-        of[: len(classes)] = classes
-        kept = np.zeros(0, np.int64)
-        for b in batches:
-            cls = b.column("class").to_numpy()
-            is_word = cls >= 0
-            to, at = (np.cumsum(is_word) - is_word)[~is_word], -1 - cls[~is_word].astype(np.int64)
-            to, at = np.concatenate([np.zeros(len(kept), np.int64), to]), np.concatenate([kept, at])
-            m = int(is_word.sum())
-            kept = at[to == m]
-            if not m:
-                continue
-            to, at = to[to < m], at[to < m]
-            w = b.filter(pa.array(is_word))
-            cls = cls[is_word].astype(np.int64)
-            codes, first = _values(w.column("codes"), np.uint32)
-            row = np.repeat(np.arange(m), np.diff(first)) * (2 * k)
+    """The words of a bucket, by group, with their neighbours by class, and the class bigrams in which they come second."""
+    of = np.zeros(OTHER + 1, np.int64)
+    of[: len(classes)] = classes
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        bucket = rows[0]["key"]
+        w = _together([r for r in rows if r["kind"] == WORDS])
+        x = np.concatenate([np.zeros(0, _MESSAGE), *(np.frombuffer(r["codes"], _MESSAGE) for r in rows if r["kind"] == MESSAGES)])
+        to = np.searchsorted(w.keys, x["key"])
+        at = x["at"][order := np.argsort(to, kind="stable")].astype(np.int64)
+        to = to[order]
+        bigrams, out = np.zeros((k, k), np.int64), []
+        groups = _steps(w.hash.astype(np.int64))
+        stop = np.concatenate([[0], np.cumsum(w.n, dtype=np.int64)])
+        for a in range(0, len(w.keys), 10_000):
+            z = min(a + 10_000, len(w.keys))
+            codes = w.codes[stop[a] : stop[z]]
+            row = np.repeat(np.arange(z - a), w.n[a:z]) * (2 * k)
             before, behind = codes & 0xFFFF, codes >> 16
-            x, y = before != OTHER, behind != OTHER
-            near = np.bincount(np.concatenate([row[x] + of[before[x]], row[y] + k + of[behind[y]], to * (2 * k) + at]), minlength=m * 2 * k)
-            found = _found(near, cls, table)
-            h = w.column("h")
-            yield _rows(_FOUND, m, step=_steps(h.to_numpy()), key=w.column("key"), **{"class": cls}, word=w.column("word"), codes=w.column("codes"), left=w.column("left"), right=w.column("right"), near=found, h=h)
-        yield _bigram_rows(table)
-        give_back()
+            p, q = before != OTHER, behind != OTHER
+            i, j = np.searchsorted(to, [a, z])
+            near = np.bincount(np.concatenate([row[p] + of[before[p]], row[q] + k + of[behind[q]], (to[i:j] - a) * (2 * k) + at[i:j]]), minlength=(z - a) * 2 * k)
+            found, many = _found(near, w.own[a:z].astype(np.int64), bigrams)
+            for step in range(len(BOUNDS) - 1):
+                some = np.flatnonzero(groups[a:z] == step)
+                if len(some):
+                    out.append(_rows(_FOUND, 1, step=step, key=bucket, **w.take(a + some).columns(), near=_one(found[_ranges(many, some)]), many=_one(many[some])))
+        return pa.Table.from_batches([*out, _bigram_rows(bigrams)])
 
     return run
 
@@ -624,38 +701,44 @@ def _near_frequent(classes: np.ndarray, h: np.ndarray, k: int):
             near += np.bincount((x["at"] >> 16).astype(np.int64) // BLOCKS * (2 * k) + at, weights=x["n"], minlength=len(near)).astype(np.int64)
         table = np.zeros((k, k), np.int64)
         cls = classes[words]
-        found = _found(near, cls, table)
-        step = np.where(words < len(classes) - 1, _steps(h[words]), -2)  # the end of a text stays
-        return pa.Table.from_batches([_rows(_FOUND, len(words), step=step, key=words, **{"class": cls}, near=found, h=h[words]), _bigram_rows(table)])
+        found, many = _found(near, cls, table)
+        group = np.where(words < len(classes) - 1, _steps(h[words]), -2)  # the end of a text stays
+        out = []
+        for step in range(len(BOUNDS) - 1):
+            some = np.flatnonzero(group == step)
+            if len(some):
+                w = {"keys": _one(words[some]), "own": _one(cls[some].astype("u1")), "hash": _one(h[words[some]].astype("<u4"))}
+                out.append(_rows(_FOUND, 1, step=step, key=block, **w, near=_one(found[_ranges(many, some)]), many=_one(many[some])))
+        return pa.Table.from_batches([*out, _bigram_rows(table)])
 
     return run
 
 
-def _move(g: np.ndarray):
+def _move(g: np.ndarray, buckets: int):
     """Words in their new classes, with what their neighbours are told, and by how much class bigrams change."""
     k = len(g)
 
     def run(batches):
-        best, told = Best(g), Told(k)
+        best, told = Best(g), Told(k, buckets)
         change = np.zeros(k * k, np.int64)
         for b in batches:
-            old = b.column("class").to_numpy().astype(np.int64)
-            sets = b.column("near").dictionary_encode()
-            x, first = _values(sets.dictionary, _NEAR)
-            at, n, row = x["at"].astype(np.int64), x["n"].astype(np.int64), sets.indices.to_numpy().astype(np.int64)
-            new = best(at, n, first, row, old, b.column("h").to_numpy() // GROUPS)
-            moved = np.flatnonzero(new != old)
-            many = np.diff(first)[row[moved]]
-            e = np.arange(many.sum()) + np.repeat(first[row[moved]] - (np.cumsum(many) - many), many)
-            before = at[e] < k
-            for c, sign in ((old, -1), (new, 1)):
-                c = np.repeat(c[moved], many)
-                change += np.bincount(np.where(before, at[e] * k + c, c * k + at[e] - k), weights=sign * n[e], minlength=k * k).astype(np.int64)
-            is_word = b.column("word").is_valid()
-            rare = is_word.to_numpy(zero_copy_only=False)
-            yield _rows(_TOLD, int((~rare).sum()), kind=NUMBERED, key=b.column("key").filter(pc.invert(is_word)), **{"class": new[~rare]})
-            w = b.filter(is_word)
-            yield from told.rows(w.column("key"), new[rare], w.column("word"), w.column("codes"), w.column("left"), w.column("right"), w.column("h"))
+            for r in b.to_pylist():
+                old, h = np.frombuffer(r["own"], "u1").astype(np.int64), np.frombuffer(r["hash"], "<u4").astype(np.int64)
+                many = np.frombuffer(r["many"], "<u4").astype(np.int64)
+                sets = _cut(np.concatenate([[0], np.cumsum(many)]) * _NEAR.itemsize, r["near"]).dictionary_encode()
+                x, first = _values(sets.dictionary, _NEAR)
+                at, n, row = x["at"].astype(np.int64), x["n"].astype(np.int64), sets.indices.to_numpy().astype(np.int64)
+                new = best(at, n, first, row, old, h // GROUPS)
+                moved = np.flatnonzero(new != old)
+                e, many = _ranges(np.diff(first), row[moved]), many[moved]
+                before = at[e] < k
+                for c, sign in ((old, -1), (new, 1)):
+                    c = np.repeat(c[moved], many)
+                    change += np.bincount(np.where(before, at[e] * k + c, c * k + at[e] - k), weights=sign * n[e], minlength=k * k).astype(np.int64)
+                if r["codes"] is None:
+                    yield _rows(_TOLD, len(new), kind=NUMBERED, key=np.frombuffer(r["keys"], "<i8"), **{"class": new})
+                else:
+                    yield from told.rows(r["key"], Words.read(r), new)
         yield from told.rest()
         at = np.flatnonzero(change)
         yield _rows(_TOLD, len(at), kind=CHANGE, key=at, h=change[at])
@@ -664,6 +747,14 @@ def _move(g: np.ndarray):
     return run
 
 
+def _last(rows: pa.Table) -> pa.Table:
+    """The words of a bucket, how often they occur, and their classes."""
+    rows = rows.to_pylist()
+    w = _together([r for r in rows if r["kind"] == WORDS])
+    t = next(r for r in rows if r["kind"] == TEXTS)
+    return pa.table({"word": _strings(t), "c": pa.array(np.frombuffer(t["n"], "<u4").astype(np.int64)), "k": pa.array(w.own.astype(np.int32))})
+
+
 _WHOLE = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, once bigint, base double, emission double, classes binary"
 
 
@@ -773,20 +864,21 @@ def cluster(scratch: Scratch, parts: DataFrame, scorer: Scorer) -> tuple[DataFra
     end, k = scorer.end, scorer.end + 1
     classes = np.append(scorer.word_class, end).astype(np.int64)
     h = np.array([*(crc32(w) for w in scorer.words), 0], np.int64)
-    small_batches(scratch.spark, 10_000)
+    buckets = int(max(scorer.n - scorer.counts.sum(), 0)) // OCCURRENCES + 16
     train = parts.where("not held_out").select("ids", "others", "words", "own", F.transform("words", lambda w: F.xxhash64(w)).alias("keys"))
-    adjacent = scratch.write(train.mapInArrow(_adjacent(len(classes) - 1), _TOLD), "adjacent")
-    words = adjacent.where(F.col("kind") == WORD).repartition("key").sortWithinPartitions("key", "word")
-    tables = [scratch.write(words.mapInArrow(_gather(k), _TOLD), "words")]
+    adjacent = scratch.write(train.mapInArrow(_adjacent(len(classes) - 1, buckets), _TOLD), "adjacent")
+    small_batches(scratch.spark, 10)  # rows are long from here on
+    first = scratch.write(adjacent.where(F.col("kind") == WORDS).groupBy("key").applyInArrow(_gather(k, buckets), _TOLD), "words")
+    tables = [first]
     blocks = scratch.write(adjacent.where(F.col("kind") == BLOCK).groupBy("key").applyInArrow(_sum_blocks, _TOLD), "blocks")
     scratch.drop(adjacent)
 
     g, won, before = None, 0.0, None
     while True:
         told = reduce(DataFrame.unionAll, tables)
-        words = told.where(F.col("kind") == WORD).drop("kind").repartition("key").sortWithinPartitions("key", "class")
+        words = told.where(F.col("kind").isin(WORDS, MESSAGES)).drop("class", "size", "texts", "h")
         beside = blocks.unionAll(told.where(F.col("kind") == BLOCK)).select("key", "class", "codes")
-        near = words.mapInArrow(_near(classes, k), _FOUND).unionAll(beside.groupBy("key").applyInArrow(_near_frequent(classes, h, k), _FOUND))
+        near = words.groupBy("key").applyInArrow(_near(classes, k), _FOUND).unionAll(beside.groupBy("key").applyInArrow(_near_frequent(classes, h, k), _FOUND))
         near = scratch.write(near, "near")
         table = np.zeros((k, k))
         for r in near.where("step = -1").groupBy("key").agg(F.sum("h").alias("n")).collect():
@@ -796,7 +888,7 @@ def cluster(scratch: Scratch, parts: DataFrame, scorer: Scorer) -> tuple[DataFra
         if gain < 0:
             scratch.drop(*tables)
             tables, classes = before
-        elif before:
+        elif before and before[0] != [first]:  # that has the texts of the words
             scratch.drop(*before[0])
         if g is not None and gain <= LEAST * won:
             scratch.drop(near, blocks)
@@ -804,7 +896,7 @@ def cluster(scratch: Scratch, parts: DataFrame, scorer: Scorer) -> tuple[DataFra
         g, before, tables = table, (tables, classes.copy()), []
         table = g.copy()
         for step in range(len(BOUNDS) - 1):
-            tables.append(scratch.write(near.where(F.col("step") == step).mapInArrow(_move(np.maximum(table, 0)), _TOLD), "words"))
+            tables.append(scratch.write(near.where(F.col("step") == step).mapInArrow(_move(np.maximum(table, 0), buckets), _TOLD), "words"))
             rows = tables[-1].where(F.col("kind").isin(CHANGE, NUMBERED)).groupBy("kind", "key").agg(F.sum("h").alias("h"), F.max("class").alias("class")).toArrow()
             kind, key = rows["kind"].to_numpy(), rows["key"].to_numpy()
             for of, x in ((CHANGE, "h"), (NUMBERED, "class")):
@@ -816,7 +908,8 @@ def cluster(scratch: Scratch, parts: DataFrame, scorer: Scorer) -> tuple[DataFra
         scratch.drop(near)
 
     small_batches(scratch.spark)
-    of = reduce(DataFrame.unionAll, tables).where((F.col("kind") == WORD) & (F.col("class") >= 0)).select("word", (F.octet_length("codes") / 4).cast("bigint").alias("c"), F.col("class").alias("k"))
+    last = reduce(DataFrame.unionAll, tables).where(F.col("kind") == WORDS).unionAll(first.where(F.col("kind") == TEXTS))
+    of = scratch.write(last.groupBy("key").applyInArrow(_last, "word string, c bigint, k int"), "last")
     others = parts.select("row", F.posexplode(F.arrays_zip("words", "n")).alias("i", "x")).select("row", "i", F.col("x.words").alias("word"), "x.n")
     rare = others.join(of, "word").groupBy("row").agg(
         F.collect_list(F.col("i") * 256 + F.col("k")).alias("found"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"),
