@@ -234,22 +234,30 @@ def resize(pixels, old: tuple[int, int], new: tuple[int, int]):
 def rotate(pixels, size: tuple[int, int], angle: float, mode: str = "spec"):
     """Nearest by the inverse map about the centres; targets without a source are left out (they are 0).
 
-    ``pixels`` has image_id, x, y. The grid of targets is built for each image by a generator and joined
-    back on image and place. ``compat`` takes degrees, centres on whole pixels and cuts places towards zero.
+    ``pixels`` has image_id, x, y. Each source pixel emits the targets that map to it, so no join is needed:
+    of the targets near its own place those whose inverse map gives it. ``compat`` takes degrees, centres on
+    whole pixels and cuts places towards zero.
     """
     compat = mode == "compat"
     w, h = size
     angle = math.radians(angle) if compat else angle
     c, s = math.cos(angle), math.sin(angle)
     nw, nh = int(w * abs(c) + h * abs(s)), int(w * abs(s) + h * abs(c))
-    images = pixels.select("image_id").distinct()
-    grid = images.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(nw - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(nh - 1))))
     half = (lambda n: n // 2) if compat else (lambda n: n / 2)
+    # the places that are cut to a pixel lie up to half a pixel from its centre, those cut to 0 up to a whole one
+    reach, middle = (1 if compat else 0.5) * (abs(c) + abs(s)) + 1e-6, 0 if compat else 0.5
+    near_x, near_y = F.col("__x") + middle - half(w), F.col("__y") + middle - half(h)
+
+    def span(at: Column, n: int) -> Column:
+        low, high = F.greatest(F.ceil(at - reach), F.lit(0)).cast("int"), F.least(F.floor(at + reach), F.lit(n - 1)).cast("int")
+        return F.when(low <= high, F.sequence(low, high))
+
+    rows = pixels.where(F.col("image_id").isNotNull()).withColumnsRenamed({"x": "__x", "y": "__y"})
+    rows = rows.withColumn("x", F.explode(span(near_x * c - near_y * s + half(nw), nw))).withColumn("y", F.explode(span(near_x * s + near_y * c + half(nh), nh)))
     dx, dy = F.col("x") - half(nw), F.col("y") - half(nh)
     place = (lambda v: v.cast("int")) if compat else (lambda v: F.when(v >= 0, F.floor(v).cast("int")))
-    grid = grid.withColumns({"__x": place(dx * c + dy * s + half(w)), "__y": place(-dx * s + dy * c + half(h))})
-    source = pixels.withColumnsRenamed({"x": "__x", "y": "__y"})
-    return grid.join(source, ["image_id", "__x", "__y"]).select(pixels.columns)
+    hit = (place(dx * c + dy * s + half(w)) == F.col("__x")) & (place(-dx * s + dy * c + half(h)) == F.col("__y"))
+    return rows.where(hit).select(pixels.columns)
 
 
 # --- 8x8 blocks -----------------------------------------------------------------------------------
