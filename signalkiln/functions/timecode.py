@@ -10,6 +10,8 @@ from .bits import bits_msb, uint
 #: Seconds from 1900-01-01 and from 2036-02-07T06:28:16 to 1970-01-01 (RFC 4330).
 ERA0, ERA1 = 2208988800, -2085978496
 _WIDE = "decimal(20,0)"
+#: Ticks after which a 33-bit field of 90 kHz begins anew.
+ROUND = 1 << 33
 
 
 def micros(ts: Column) -> Column:
@@ -76,6 +78,16 @@ def pts(b: Column, offset: int) -> Column:
     return F.shiftleft(bits_msb(b, at + 4, 3), 30) + F.shiftleft(bits_msb(b, at + 8, 15), 15) + bits_msb(b, at + 24, 15)
 
 
+def unwrapped(ticks: Column, near: Column, period: int) -> Column:
+    """The time nearest to ``near`` that a counter which begins anew after ``period`` shows as ``ticks``.
+
+    The field of a clock tells no more than its bits (33 at 90 kHz are 26.5 hours), so a clock that is right
+    to less than half a period tells the rounds.
+    """
+    half = period // 2
+    return near + F.pmod(ticks - near + half, F.lit(period)) - half
+
+
 def pcm_bytes(ms: Column, rate: int, channels: int, bits: int) -> Column:
     """Whole sample frames of a duration, in bytes."""
     frame = channels * bits // 8

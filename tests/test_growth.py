@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from signalkiln.functions import signal
+from signalkiln.plans import catalog
 
 
 def plan(df) -> str:
@@ -22,3 +23,11 @@ def test_rotate_neither_joins_nor_shuffles(spark):
     nw, nh = int(abs(c) + 5 * abs(s)), int(abs(s) + 5 * abs(c))
     places = {(x, y): ((x - nw / 2) * c + (y - nh / 2) * s + 0.5, (nw / 2 - x) * s + (y - nh / 2) * c + 2.5) for x in range(nw) for y in range(nh)}
     assert {tuple(r) for r in got.collect()} == {(1, x, y, math.floor(v)) for (x, y), (u, v) in places.items() if 0 <= u < 1 and 0 <= v < 5}
+
+
+def test_clock_fields_beyond_a_round(spark, tmp_path):
+    """From event 453,332 on the clock of ``pcr_decode`` is beyond 33 bits."""
+    spark.createDataFrame([(i,) for i in (0, 453_331, 453_332, 600_000, 36_000_000)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    for r in catalog.QUERIES["pcr_decode"](spark, str(tmp_path)).collect():
+        base = r.event_id * 7919 + 5_000_000_000
+        assert (r.pcr, r.scr, r.pts) == (base * 300 + r.event_id % 300, base * 300 + r.event_id % 300, base)
