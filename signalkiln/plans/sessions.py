@@ -56,7 +56,7 @@ def lookup_by_media(spark, sf_dir):
 def csrc_membership(spark, sf_dir):
     csrc = F.transform(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int")), lambda i: F.col("ssrc") + i)
     raw = pk.build(F.col("payload"), F.col("seq"), F.col("rtp_ts"), F.col("ssrc"), F.col("payload_type"), F.col("marker"), csrc)
-    return packets(spark, sf_dir).select("event_id", "copy", lookups.contributes(pk.parse(raw)["csrc"], F.col("ssrc") + F.col("event_id") % 4).alias("contributes"))
+    return packets(spark, sf_dir).withColumn("raw", raw).select("event_id", "copy", lookups.contributes(pk.parse(F.col("raw"))["csrc"], F.col("ssrc") + F.col("event_id") % 4).alias("contributes"))
 
 
 # --- control packets ------------------------------------------------------------------------------
