@@ -166,7 +166,12 @@ def feedback(b: Column) -> Column:
 def nack_sequences(fci: Column) -> Column:
     """Lost sequence numbers of generic negative acknowledgements: an id and a bit mask of the next 16."""
     n = F.floor(F.octet_length(fci) / 4).cast("int")
-    one = lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.lit(16)), lambda j: (j == 0) | (F.floor(u16(fci, 4 * k + 2) / F.pow(F.lit(2), j - 1)) % 2 == 1)), lambda j: ((u16(fci, 4 * k) + j) % 65536).cast("int"))
+
+    def one(k: Column) -> Column:
+        # the word is read once: 17 bits from it on are the id itself and the mask
+        lost = lambda w: F.filter(F.sequence(F.lit(0), F.lit(16)), lambda j: (j == 0) | (F.bit_get(w, F.greatest(j - 1, F.lit(0))) == 1))
+        return let(u32(fci, 4 * k), lambda w: F.transform(lost(w), lambda j: ((F.shiftright(w, 16) + j) % 65536).cast("int")))
+
     return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), one)))
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from signalkiln.functions import signal
+from signalkiln.operators import packets as pk
 from signalkiln.plans import catalog
 
 
@@ -14,6 +15,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def nodes(df, kind: str) -> int:
+    """How often an expression stands in the optimized plan."""
+    return df._jdf.queryExecution().optimizedPlan().toJSON().count(f'catalyst.expressions.{kind}"')
+
+
 def test_rotate_neither_joins_nor_shuffles(spark):
     """A grid of targets that is joined back gets broadcast, with all its rows on the driver."""
     rows = spark.range(2).select(F.when(F.col("id") == 1, F.col("id")).alias("image_id"), F.lit(0).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("y"), F.col("y").alias("c0"))
@@ -31,3 +37,16 @@ def test_clock_fields_beyond_a_round(spark, tmp_path):
     for r in catalog.QUERIES["pcr_decode"](spark, str(tmp_path)).collect():
         base = r.event_id * 7919 + 5_000_000_000
         assert (r.pcr, r.scr, r.pts) == (base * 300 + r.event_id % 300, base * 300 + r.event_id % 300, base)
+
+
+def test_packets_are_built_once_before_they_are_parsed(spark, sf_dir):
+    """A parsed expression, not a column, is computed again for each field."""
+    for name in ("rtp_packet_full", "rtp_rewrite"):
+        assert nodes(catalog.QUERIES[name](spark, sf_dir), "Concat") < 100, name
+
+
+def test_nack_reads_its_word_once(spark):
+    fci = F.unhex(F.col("f"))
+    rows = spark.createDataFrame([("FFFE8001" "00010000",), ("0000FFFF" "00",), ("0000",), ("",), (None,)], "f string")
+    assert [r.n for r in rows.select(pk.nack_sequences(fci).alias("n")).collect()] == [[65534, 65535, 14, 1], [*range(17)], None, None, None]
+    assert nodes(rows.select(pk.nack_sequences(F.encode("f", "UTF-8"))), "Conv") <= 4
