@@ -121,14 +121,30 @@ def control_text(text: Column) -> Column:
     return F.transform(F.filter(groups, lambda g: F.contains(g, F.lit("="))), one)
 
 
-def read_text(spark, path: str) -> DataFrame:
-    """The lines of text dumps below ``path`` with their file, as ``text_packets`` gives them."""
-    return text_packets(spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
+def read_text(spark, path: str, together: bool = False) -> DataFrame:
+    """The lines of text dumps below ``path`` with their file, as ``text_packets`` gives them.
+
+    ``together``: of the files that ``write_text`` gives with it, with the stream (text, null without one) in front of each line.
+    """
+    rows = spark.read.text(path)
+    if together:
+        at = F.position(F.lit("\t"), F.col("value"))
+        stream = F.when(at > 1, F.substring("value", F.lit(1), at - 1))
+        return text_packets(rows.select(stream.alias("stream"), F.substring("value", at + 1, F.length("value")).alias("value")))
+    return text_packets(rows.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
-def write_text(rows: DataFrame, path: str, line: Column, key: str = "ssrc", order: str = "seconds") -> None:
-    """Text dumps, one folder a stream: rows are dealt by stream, sorted, and written as they pass."""
-    rows.withColumn("value", line).repartition(key).sortWithinPartitions(key, order).select(key, "value").write.partitionBy(key).mode("overwrite").text(path)
+def write_text(rows: DataFrame, path: str, line: Column, key: str = "ssrc", order: str = "seconds", together: bool = False) -> None:
+    """Text dumps, one folder a stream: rows are dealt by stream, sorted, and written as they pass.
+
+    Each stream costs a file to open, move and list. ``together`` writes the streams of a task to one
+    file, one behind the other, with the stream and a tab in front of each line.
+    """
+    dealt = rows.withColumn("value", line).repartition(key).sortWithinPartitions(key, order)
+    if together:
+        dealt.select(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\t"), "value").alias("value")).write.mode("overwrite").text(path)
+    else:
+        dealt.select(key, "value").write.partitionBy(key).mode("overwrite").text(path)
 
 
 def write_files(rows: DataFrame, path: str, address: str, start_us: int, key: str = "ssrc", order: str = "offset_ms", entry: str = "entry") -> DataFrame:

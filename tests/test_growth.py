@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from signalkiln.functions import signal
 from signalkiln.operators import packets as pk
 from signalkiln.plans import catalog
+from signalkiln.sources import dump
 
 
 def plan(df) -> str:
@@ -50,3 +51,12 @@ def test_nack_reads_its_word_once(spark):
     rows = spark.createDataFrame([("FFFE8001" "00010000",), ("0000FFFF" "00",), ("0000",), ("",), (None,)], "f string")
     assert [r.n for r in rows.select(pk.nack_sequences(fci).alias("n")).collect()] == [[65534, 65535, 14, 1], [*range(17)], None, None, None]
     assert nodes(rows.select(pk.nack_sequences(F.encode("f", "UTF-8"))), "Conv") <= 4
+
+
+def test_text_dumps_of_many_streams_share_files(spark, tmp_path):
+    rows = spark.range(300).select(F.when(F.col("id") > 0, F.col("id")).alias("ssrc"), F.lit(1.0).alias("seconds"))
+    line = dump.short_line(F.col("seconds"), F.coalesce("ssrc", F.lit(0)), F.lit(5004), F.col("ssrc") == 7)
+    dump.write_text(rows, f"{tmp_path}/d", line, together=True)
+    assert len(list((tmp_path / "d").rglob("part-*"))) <= 4
+    got = {(r.stream, r.form, r.seq, r.marker) for r in dump.read_text(spark, f"{tmp_path}/d", together=True).collect()}
+    assert got == {(str(i) if i else None, "short", i, i == 7) for i in range(300)}
