@@ -85,48 +85,51 @@ class JitterBuffer(StatefulProcessor):
         self.capacity = capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = handle.getMapState("frames", "payload_type int, rtp_ts long", "seqs array<int>, markers int, first long")
-        self.gone = handle.getMapState("gone", "payload_type int, rtp_ts long", "at long")
+        # lists, read and written once a batch: each call for a single frame is a round trip to the JVM
+        self.frames = handle.getListState("live", "payload_type int, rtp_ts long, seqs array<int>, markers int, first long")
+        self.gone = handle.getListState("left", "payload_type int, rtp_ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        live = {tuple(k): [set(v[0]), v[1], v[2]] for k, v in self.frames.iterator()}
-        gone = {tuple(k): v[0] for k, v in self.gone.iterator()}
-        count = max(gone.values(), default=0)
-        out, changed = [], set()
+        # of each frame its numbers, markers, first arrival, and the least and greatest place of its numbers about the first of them
+        live = {}
+        for kind, ts, seqs, markers, first in self.frames.get():
+            places = [(q - seqs[0] + 32768) % 65536 for q in seqs]
+            live[kind, ts] = [dict.fromkeys(seqs), markers, first, min(places), max(places)]
+        gone = dict.fromkeys(tuple(k) for k in self.gone.get())
+        held, known, out = bool(live), len(gone), []
 
         def leave(k, whole: bool) -> None:
-            nonlocal count
-            seqs, markers, _ = live.pop(k)
-            out.append((key[0], *k, len(seqs), markers, whole))
-            count += 1
-            gone[k] = count
-            self.gone.updateValue(k, (count,))
-            if self.frames.containsKey(k):
-                self.frames.removeKey(k)
+            frame = live.pop(k)
+            out.append((key[0], *k, len(frame[0]), frame[1], whole))
+            gone[k] = None
 
         for part in rows:
             part = part.sort_values(["arrival", "event_id", "copy"])
-            for kind, ts, seq, marker, at in zip(part.payload_type, part.rtp_ts, part.seq, part.marker, part.arrival, strict=True):
-                k = (int(kind), int(ts))
+            arrivals = part.arrival.astype("datetime64[ns]").astype("int64")
+            for kind, ts, seq, marker, at in zip(*(c.astype("int64").tolist() for c in (part.payload_type, part.rtp_ts, part.seq, part.marker, arrivals)), strict=True):
+                k = kind, ts
                 if k in gone:
                     continue
-                if k not in live:
+                frame = live.get(k)
+                if frame is None:
                     if len(live) >= self.capacity:
                         leave(min(live, key=lambda x: live[x][2]), False)
-                    live[k] = [set(), 0, int(pd.Timestamp(at).value)]
-                frame = live[k]
-                if int(seq) not in frame[0]:
-                    frame[0].add(int(seq))
-                    frame[1] += int(marker)
-                    changed.add(k)
-                some = int(seq)
-                place = [(q - some + 32768) % 65536 for q in frame[0]]
-                if frame[1] and max(place) - min(place) + 1 == len(place):
+                    frame = live[k] = [{}, 0, at, 65536, -1]
+                if seq not in frame[0]:
+                    frame[0][seq] = None
+                    frame[1] += marker
+                    place = (seq - next(iter(frame[0])) + 32768) % 65536
+                    frame[3], frame[4] = min(frame[3], place), max(frame[4], place)
+                if frame[1] and frame[4] - frame[3] + 1 == len(frame[0]):
                     leave(k, True)
-        for k in changed & live.keys():
-            self.frames.updateValue(k, (sorted(live[k][0]), live[k][1], live[k][2]))
-        for k in sorted(gone, key=gone.get)[: -4 * self.capacity]:
-            self.gone.removeKey(k)
+        if live:
+            self.frames.put([(*k, list(v[0]), v[1], v[2]) for k, v in live.items()])
+        elif held:
+            self.frames.clear()
+        if len(gone) > 4 * self.capacity:
+            self.gone.put(list(gone)[-4 * self.capacity :])
+        elif len(gone) > known:
+            self.gone.appendList(list(gone)[known:])
         yield pd.DataFrame(out, columns=["ssrc", "payload_type", "rtp_ts", "packets", "markers", "whole"])
 
     def close(self) -> None:
