@@ -6,28 +6,74 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bits import int_bytes, join_bytes, u8, u16, uint
 from . import packets as pk
 
 
-def h264_units(packets: DataFrame) -> DataFrame:
+def h264_units(packets: DataFrame, frames: bool = False) -> DataFrame:
     """(ssrc, rtp_ts, unit, nal_type, complete, data) of packets (ssrc, rtp_ts, ext_seq, payload): aggregates split, fragments joined.
 
-    A fragment run is complete if it has its first and last part and no number between is missing.
+    A fragment run is complete if it has its first and last part and no number between is missing. Packets
+    are dealt by frame, sorted once and folded as they pass; one unit is held. With ``frames`` each unit
+    tells by key_frame whether its frame holds a type 5, and one frame is held.
     """
-    parts = pk.split(packets.select("ssrc", "rtp_ts", "ext_seq", "payload"), "h264")
-    w = W.partitionBy("ssrc", "rtp_ts").orderBy("ext_seq", "ord")
-    # a part begins a unit if it says so, or if it does not follow a part of its type that is still open
-    last = lambda c: F.lag(c).over(w)
-    follows = ~F.col("starts") & ~last("ends") & (last("nal_type") == F.col("nal_type")) & (last("ext_seq") + 1 == F.col("ext_seq"))
-    unit = F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(w).cast("int")
-    got = parts.withColumnRenamed("unit", "part").withColumn("unit", unit).groupBy("ssrc", "rtp_ts", "unit").agg(
-        F.min("nal_type").alias("nal_type"), (F.bool_or("starts") & F.bool_or("ends")).alias("complete"), F.array_sort(F.collect_list(F.struct("ext_seq", "ord", "part"))).alias("parts"),
-    )
-    return got.select("ssrc", "rtp_ts", "unit", "nal_type", "complete", join_bytes(F.transform("parts", lambda x: x["part"])).alias("data"))
+    from pyspark.sql.types import StructType
+
+    n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    added = "unit int, nal_type int, complete boolean, data binary" + (", key_frame boolean" if frames else "")
+    schema = StructType([packets.schema["ssrc"], packets.schema["rtp_ts"], *StructType.fromDDL(added).fields])
+    walk, _ = pk.SPLITTERS["h264"]
+
+    def parts(batches) -> Iterator[tuple]:
+        """(frame, number, ord, nal_type, starts, ends, bytes) in order; packets of one number go by the places of their parts."""
+        at, same = None, []
+        for b in batches:
+            for ssrc, ts, seq, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (ssrc, ts, seq):
+                    yield from ((at[:2], at[2], *r) for r in sorted(same, key=lambda r: (r[0], r[4])))
+                    at, same = (ssrc, ts, seq), []
+                same.extend(walk(data) if data is not None else ())
+        yield from ((at[:2], at[2], *r) for r in sorted(same, key=lambda r: (r[0], r[4])))
+
+    def units(batches) -> Iterator[tuple]:
+        """(frame, unit, nal_type, starts, ends, list of bytes)."""
+        now, before, ended = None, None, True
+        for frame, seq, _, kind, starts, ends, data in parts(batches):
+            # a part begins a unit if it says so, or if it does not follow a part of its type that is still open
+            if now and now[0] == frame and not starts and not ended and now[2] == kind and None not in (seq, before) and before + 1 == seq:
+                now[4] |= ends
+                now[5].append(data)
+            else:
+                if now:
+                    yield now
+                now = [frame, now[1] + 1 if now and now[0] == frame else 1, kind, starts, ends, [data]]
+            before, ended = seq, ends
+        if now:
+            yield now
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+        emit = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)], names=schema.names)
+        rows, held, size, key, at = [], [], 0, False, None
+        for frame, unit, kind, starts, ends, some in units(batches):
+            if frames and frame != at:
+                rows.extend((*r, key) for r in held)
+                held, key, at = [], False, frame
+            row = (*frame, unit, kind, starts and ends, b"".join(some))
+            key |= kind == 5
+            size += len(row[5])
+            (held if frames else rows).append(row)
+            if len(rows) >= 8192 or (rows and size >= 1 << 24):
+                yield emit(rows)
+                rows, size = [], 0
+        yield emit(rows + [(*r, key) for r in held])
+
+    ordered = packets.select("ssrc", "rtp_ts", "ext_seq", "payload").repartition(n, "ssrc", "rtp_ts").sortWithinPartitions("ssrc", "rtp_ts", "ext_seq")
+    return ordered.mapInArrow(run, schema)
 
 
 def h264_frames(units: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from signalkiln.functions import signal
 from signalkiln.operators import packets as pk
+from signalkiln.operators import payloads
 from signalkiln.plans import catalog
-from signalkiln.sources import dump
+from signalkiln.sources import dump, images
 
 
 def plan(df) -> str:
@@ -60,3 +61,21 @@ def test_text_dumps_of_many_streams_share_files(spark, tmp_path):
     assert len(list((tmp_path / "d").rglob("part-*"))) <= 4
     got = {(r.stream, r.form, r.seq, r.marker) for r in dump.read_text(spark, f"{tmp_path}/d", together=True).collect()}
     assert got == {(str(i) if i else None, "short", i, i == 7) for i in range(300)}
+
+
+def test_units_take_one_sort(spark):
+    rows = spark.createDataFrame([(1, 2, 3, bytearray(b"\x7c\x45ab")), (1, 2, 2, bytearray(b"\x7c\x85cd")), (1, 2, 1, bytearray(b"\x67x")), (None, 2, 1, bytearray(b"\x7c\x81e")), (2, 2, 1, None)], "ssrc long, rtp_ts long, ext_seq long, payload binary")
+    got = payloads.h264_units(rows, frames=True)
+    text = plan(got)
+    assert text.count("Exchange") == 1 and text.count("Sort ") == 1 and "Join" not in text
+    assert {(r.ssrc, r.unit, r.nal_type, r.complete, bytes(r.data), r.key_frame) for r in got.collect()} == {(1, 1, 7, True, b"gx", True), (1, 2, 5, True, b"ecdab", True), (None, 1, 1, False, b"ae", False)}
+
+
+def test_images_are_made_in_one_pass_over_sorted_rows(spark):
+    """A group of 10,000 rows and more spans several batches; a key may be null."""
+    rows = spark.range(30_000).select(F.when(F.col("id") >= 3, F.lit(5)).alias("image_id"), (F.col("id") % 200).cast("int").alias("x"), F.expr("id div 200").cast("int").alias("y"), *((F.col("id") % 251).cast("int").alias(f"c{k}") for k in range(3)))
+    files = images.image_files(rows, "bmp")
+    assert "FlatMapGroups" not in plan(files)
+    got = {r.image_id: images.bmp_array(bytes(r.content)) for r in files.collect()}
+    assert set(got) == {None, 5} and got[None].shape == (1, 3, 3) and got[5].shape == (150, 200, 3)
+    assert all(got[5][i // 200, i % 200, 0] == i % 251 for i in range(3, 30_000))
