@@ -118,17 +118,40 @@ def pixels(files: DataFrame, key: str = "path", content: str = "content") -> Dat
 
 
 def image_files(rows: DataFrame, kind: str, key: str = "image_id") -> DataFrame:
-    """(key, content): an image file of the pixels (x, y, c0, c1, c2) of each key; a pixel that is missing is black."""
+    """(key, content): an image file of the pixels (x, y, c0, c1, c2) of each key; a pixel that is missing is black.
+
+    Pixels are dealt by image, sorted and read as they pass; those of one image are held.
+    """
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     schema = StructType([StructField(key, rows.schema[key].dataType), StructField("content", BinaryType())])
     write = FILES[kind]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def one(_, table):
-        x, y = (table.column(c).to_numpy() for c in "xy")
+    def one(parts: list[pa.RecordBatch]) -> bytes:
+        x, y, *c = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(1, 6))
         px = np.zeros((y.max() + 1, x.max() + 1, 3), np.uint8)
         for k in range(3):
-            px[y, x, k] = table.column(f"c{k}").to_numpy()
-        return pa.table({key: table.column(key).slice(0, 1), "content": pa.array([write(px)], pa.binary())})
+            px[y, x, k] = c[k]
+        return write(px)
 
-    return rows.select(key, "x", "y", "c0", "c1", "c2").groupBy(key).applyInArrow(one, schema)
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        kind_of_key, held = None, []
+        emit = lambda done: pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], kind_of_key), pa.array([v for _, v in done], pa.binary())], names=schema.names)
+        for b in batches:
+            kind_of_key, done = b.schema.types[0], []
+            if not b.num_rows:
+                continue
+            codes = b.column(0).dictionary_encode("encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), b.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                some = b.slice(low, high - low)
+                if held and not held[0].column(0)[0].equals(some.column(0)[0]):
+                    done.append((held[0].column(0)[0].as_py(), one(held)))
+                    held = []
+                held.append(some)
+            yield emit(done)
+        if held:
+            yield emit([(held[0].column(0)[0].as_py(), one(held))])
+
+    return rows.select(key, "x", "y", "c0", "c1", "c2").repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
