@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from signalkiln.functions import signal
@@ -11,6 +12,7 @@ from signalkiln.operators import packets as pk
 from signalkiln.operators import payloads
 from signalkiln.plans import catalog
 from signalkiln.sources import dump, images
+from signalkiln.streaming import sessions
 
 
 def plan(df) -> str:
@@ -79,3 +81,28 @@ def test_images_are_made_in_one_pass_over_sorted_rows(spark):
     got = {r.image_id: images.bmp_array(bytes(r.content)) for r in files.collect()}
     assert set(got) == {None, 5} and got[None].shape == (1, 3, 3) and got[5].shape == (150, 200, 3)
     assert all(got[5][i // 200, i % 200, 0] == i % 251 for i in range(3, 30_000))
+
+
+def test_jitter_buffer_calls_its_state_once_a_batch():
+    class State:
+        calls = 0
+
+        def __getattr__(self, name):
+            def call(*_):
+                State.calls += 1
+                return False if name in ("exists", "containsKey") else iter(())
+
+            return call
+
+    class Handle:
+        def getListState(self, *_):
+            return State()
+
+        getMapState = getListState
+
+    buffer = sessions.JitterBuffer(1000)
+    buffer.init(Handle())
+    rows = pd.DataFrame({"payload_type": 96, "rtp_ts": range(100), "seq": range(100), "marker": [k % 2 == 0 for k in range(100)], "arrival": pd.Timestamp("2024-01-01"), "event_id": range(100), "copy": 0})
+    (got,) = buffer.handleInputRows((1,), iter([rows]), None)
+    assert len(got) == 50 and got.whole.all()
+    assert State.calls <= 4
